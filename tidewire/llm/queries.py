@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import simhash
+from tidewire.llm import mixing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,49 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents: words that it takes of each, repeats counted."""
+    found = mixing.mix(table(spark, sf_dir, "documents"), most=3)
+    return found.select(
+        F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken")
+    )
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::DOUBLE AS total, count(*) AS n,
+         [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
+  FROM d GROUP BY source
+), fill AS (
+  -- Rounds of the resharing: sources over their cap stop there, the rest share again.
+  SELECT 0 AS round, source, total, weight, false AS stopped, 0::DOUBLE AS target FROM s
+  UNION ALL
+  SELECT round + 1, source, total, weight, stopped OR share >= 3 * total, CASE WHEN stopped OR share >= 3 * total THEN 3 * total ELSE share END
+  FROM (
+    SELECT *, CASE WHEN stopped THEN 0 ELSE weight / sum(CASE WHEN stopped THEN 0 ELSE weight END) OVER ()
+        * (sum(total) OVER () - sum(CASE WHEN stopped THEN 3 * total ELSE 0 END) OVER ()) END AS share
+    FROM fill WHERE round < 40
+  )
+), t AS (
+  SELECT source, total, target, ('0x' || substr(md5(concat_ws(':', 'mix', source)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS shift
+  FROM fill WHERE round = (SELECT max(round) FROM fill)
+), r AS (
+  SELECT d.doc_id, d.size, t.total, t.target, t.shift,
+         CASE WHEN t.total = 0 THEN 0 ELSE least(t.target / t.total, 3) END AS each,
+         row_number() OVER (PARTITION BY d.source ORDER BY d.size, substr(md5(d.doc_id::VARCHAR), 1, 2), d.doc_id) AS rank
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size::BIGINT AS size, total::BIGINT AS source_size, round(target, 6) AS target,
+       (size * least(floor(rank * each + shift) - floor((rank - 1) * each + shift), 3))::BIGINT AS taken
+FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_simhash": op8_simhash}
+    return {"op8_simhash": op8_simhash, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": OP9_SQL}
