@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import mixing, simhash
+from tidewire.llm import license_scan, mixing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,26 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and passages of licenses in every document."""
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    exact = F.filter("spans", lambda s: s["exact"])
+
+    def labels(spans: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.size(exact).cast("long").alias("n_base"),
+        F.array_min(F.transform(exact, lambda s: s["start"])).cast("long").alias("first_word"),
+        F.array_max(F.transform(exact, lambda s: s["start"])).cast("long").alias("last_word"),
+        labels(exact).alias("base_labels"),
+        labels(F.col("spans")).alias("labels"),
+        F.when(F.size("spans") > 0, F.col("score")).otherwise(0.0).alias("score"),
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents: words that it takes of each, repeats counted."""
     found = mixing.mix(table(spark, sf_dir, "documents"), most=3)
@@ -65,7 +85,7 @@ FROM r
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_simhash": op8_simhash, "op9_mixing": op9_mixing}
+    return {"op10_license_scan": op10_license_scan, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
