@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import license_scan, mixing, quality_rules, simhash
+from tidewire.llm import license_scan, mixing, quality_rules, simhash, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the windows of 50 words that earlier ones have."""
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents"), window=50, texts=False)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document, and what the learned rules make of them."""
     found, _ = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -92,7 +98,7 @@ FROM r
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_license_scan": op10_license_scan, "op7_quality_rules": op7_quality_rules, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing}
+    return {"op1_substring_dedup": op1_substring_dedup, "op10_license_scan": op10_license_scan, "op7_quality_rules": op7_quality_rules, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters that separate words.
 SPACE = " \t\n\x0b\x0c\r"
@@ -26,7 +27,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4_000_000) -> It
     """Cut a batch into runs of rows with at most `max_bytes` of text each (or one row)."""
     if batch.num_rows == 0:
         return
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     start = 0
     while start < batch.num_rows:
