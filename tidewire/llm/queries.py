@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import license_scan, media, mixing, quality_rules, simhash, substring_dedup
+from tidewire.llm import license_scan, media, mixing, quality_rules, sentencepiece, simhash, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,16 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+#: The vocabulary file; the driver alone reads it.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether they decode to its text."""
+    found = sentencepiece.round_trip(spark, table(spark, sf_dir, "documents"), PIECES)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document, and what the learned rules make of them."""
     found, _ = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -103,7 +113,7 @@ FROM r
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op10_license_scan": op10_license_scan, "op4_media": op4_media, "op7_quality_rules": op7_quality_rules, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing}
+    return {"op1_substring_dedup": op1_substring_dedup, "op10_license_scan": op10_license_scan, "op4_media": op4_media, "op6_sentencepiece": op6_sentencepiece, "op7_quality_rules": op7_quality_rules, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
