@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import license_scan, media, mixing, quality_rules, sentencepiece, simhash, substring_dedup
+from tidewire.llm import importance, license_scan, media, mixing, quality_rules, sentencepiece, simhash, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of every document for text like that of good quality, and the sample by it."""
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 #: The vocabulary file; the driver alone reads it.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -113,7 +119,7 @@ FROM r
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op10_license_scan": op10_license_scan, "op4_media": op4_media, "op6_sentencepiece": op6_sentencepiece, "op7_quality_rules": op7_quality_rules, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing}
+    return {"op1_substring_dedup": op1_substring_dedup, "op10_license_scan": op10_license_scan, "op4_media": op4_media, "op5_importance": op5_importance, "op6_sentencepiece": op6_sentencepiece, "op7_quality_rules": op7_quality_rules, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:

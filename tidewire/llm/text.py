@@ -65,14 +65,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+#: Which bytes are in words: all but white space.
+VISIBLE = np.array([c not in SPACE.encode() for c in range(256)])
+#: Which bytes are in words: ASCII letters and digits, and those of other characters.
+ALNUM = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
+#: A-Z in lower case, other bytes as they are.
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+
+
 class Words:
-    """Words of a batch of texts: byte spans, row of each word, first word of each row."""
+    """Words of a batch of texts: byte spans, row of each word, first word of each row.
+
+    `kinds` tells which bytes are in words.
+    """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, kinds: np.ndarray = VISIBLE):
         self.raw, self.offsets = utf8(column)
         raw = self.raw
         inside = np.zeros(len(raw) + 2, bool)
-        inside[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
+        inside[1:-1] = kinds[raw]
         # A word starts or ends where the kind of byte changes, and at the rows' bounds.
         follows = inside[:-1].copy()
         follows[self.offsets] = False
@@ -93,15 +104,16 @@ class Words:
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
-    def hashes(self, raw: np.ndarray | None = None) -> np.ndarray:
-        """A 64-bit hash of each word's bytes (of `raw`, if given, in place of the text's own)."""
-        raw = self.raw if raw is None else raw
+    def hashes(self, lower: bool = False, first: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word's bytes: with A-Z in lower case, of its `first` bytes alone."""
+        raw = LOWER[self.raw] if lower else self.raw
+        ends = self.ends if first is None else np.minimum(self.ends, self.starts + first)
         n = len(raw)
         total = np.zeros(n + 1, _U)
         # Horner's rule backwards: the hash of a span is (T[s] - T[e]) * BASE**-s.
         np.cumsum((raw.astype(_U) + _U(1)) * powers(n), out=total[1:])
-        span = (total[self.ends] - total[self.starts]) * powers(n + 1, INVERSE)[self.starts]
-        return mix(span ^ (self.ends - self.starts).astype(_U))
+        span = (total[ends] - total[self.starts]) * powers(n + 1, INVERSE)[self.starts]
+        return mix(span ^ (ends - self.starts).astype(_U))
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
