@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import importance, license_scan, media, mixing, quality_rules, sentencepiece, simhash, substring_dedup
+from tidewire.llm import importance, language_id, license_scan, media, mixing, quality_rules, sentencepiece, simhash, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,19 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def fold(id_: Column, n: int) -> Column:
+    """The fold of an id: crc32 of its text modulo n; null for a null id."""
+    return F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(n))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three folds of four."""
+    held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    found = language_id.identify(table(spark, sf_dir, "documents"), ~held_out & F.col("doc_id").isNotNull())
+    found = found.withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits")
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as a bitmap, found by its signature and read back."""
     return media.stored(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -119,7 +132,7 @@ FROM r
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op10_license_scan": op10_license_scan, "op4_media": op4_media, "op5_importance": op5_importance, "op6_sentencepiece": op6_sentencepiece, "op7_quality_rules": op7_quality_rules, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing}
+    return {"op1_substring_dedup": op1_substring_dedup, "op10_license_scan": op10_license_scan, "op2_language_id": op2_language_id, "op4_media": op4_media, "op5_importance": op5_importance, "op6_sentencepiece": op6_sentencepiece, "op7_quality_rules": op7_quality_rules, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
