@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import importance, language_id, license_scan, media, mixing, quality_rules, sentencepiece, simhash, substring_dedup
+from tidewire.llm import importance, language_id, license_scan, media, mixing, quality_rules, sentencepiece, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How toxic every document is, learned from labels of two folds of three."""
+    taught = F.coalesce(fold(F.col("id"), 3) != 1, F.lit(False))
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), taught)
+    held_out = F.coalesce(fold(F.col("id"), 3) == 1, F.lit(False)).alias("held_out")
+    return found.select(
+        F.col("id").alias("doc_id"), held_out, "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as a bitmap, found by its signature and read back."""
     return media.stored(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -132,7 +142,7 @@ FROM r
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op10_license_scan": op10_license_scan, "op2_language_id": op2_language_id, "op4_media": op4_media, "op5_importance": op5_importance, "op6_sentencepiece": op6_sentencepiece, "op7_quality_rules": op7_quality_rules, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing}
+    return {"op1_substring_dedup": op1_substring_dedup, "op10_license_scan": op10_license_scan, "op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_media": op4_media, "op5_importance": op5_importance, "op6_sentencepiece": op6_sentencepiece, "op7_quality_rules": op7_quality_rules, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
