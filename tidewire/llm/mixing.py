@@ -63,9 +63,12 @@ def mix(
     weights: tuple[int, ...] = (5, 2, 1),
     most: int = 3,
     seed: str = "mix",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """(id, source, size, source_size, target, copies) of each row of `frame`.
 
+    A column `row` holds the columns in `carry`, if any, as a struct.
+
     `copies` says how often the mix takes the document, at most `most` times; reruns
     agree, for the offset of a source comes from a digest of its name and `seed`.
     Null and empty texts have size 0 and may be taken, at no words. Rows with a null
@@ -77,7 +80,9 @@ def mix(
     """
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     keys = ["named", "name", "size", "block"]
+    own = [F.struct(*carry).alias("row")] if carry else []
     rows = frame.select(
+        *own,
         F.col(id_col).alias("id"),
         F.col(source_col).isNotNull().alias("named"),
         F.coalesce(F.col(source_col), F.lit("")).alias("name"),
@@ -118,4 +123,11 @@ def mix(
         return F.floor(rank * expected + F.col("offset"))
 
     copies = F.least(crossed(F.col("rank")) - crossed(F.col("rank") - 1), F.lit(most)).cast("long")
-    return placed.select("id", source.alias("source"), "size", "source_size", "target", copies.alias("copies"))
+    return placed.select("id", source.alias("source"), "size", "source_size", "target", copies.alias("copies"), *(["row"] if carry else []))
+
+
+def apply(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **mixing) -> DataFrame:
+    """The rows of `frame`, each as often as the mix takes it."""
+    found = mix(frame, id_col, text_col, source_col, carry=tuple(frame.columns), **mixing)
+    taken = found.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return taken.select("row.*")

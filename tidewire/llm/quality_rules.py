@@ -37,8 +37,9 @@ RATIOS = {
 
 
 def statistics(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_distinct, ...) of each row.
+    """(id, key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ...) of each row.
 
+    `key` is a hash of the text.
     A null or empty text has 0 everywhere. Rows with null ids and repeated rows stay;
     an empty table gives no rows; other columns are left out.
     """
@@ -52,6 +53,7 @@ def statistics(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     counted = frame.select(
         F.col(id_col).alias("id"),
+        F.xxhash64(text).alias("key"),
         words.alias("words"),
         lines.alias("lines"),
         left(r"#*$%&|<>").alias("n_symbols"),
@@ -93,7 +95,7 @@ def statistics(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "n_marks": F.col("n_marks"),
         "n_digits": F.col("n_digits"),
     }
-    return placed.select("id", *(c.cast("long").alias(name) for name, c in counts.items()))
+    return placed.select("id", "key", *(c.cast("long").alias(name) for name, c in counts.items()))
 
 
 def base_failed() -> Column:
@@ -243,3 +245,11 @@ def judge(
     rules = learn(labelled, **learning)
     failed = base_failed()
     return stats.withColumns({"base_failed": failed, "kept": ~failed & verdict(rules)}), rules
+
+
+def keep(frame: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **learning: float) -> DataFrame:
+    """The rows of `frame` that `judge` keeps, as they are."""
+    found, _ = judge(frame, labels, id_col, text_col, **learning)
+    kept = found.where("kept").select(F.col("id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("kept_key"))
+    return frame.join(kept, same, "left_semi")

@@ -13,6 +13,9 @@ bits: two groups at least then agree in every coordinate, and an equality join o
 the coordinates of each pair of groups meets every pair within r. The largest
 coordinate difference over all pivots then discards most pairs that met, and the
 survivors are verified on the fingerprints themselves.
+
+For similarities that part many bits, `near_copies` takes wider fingerprints and joins
+on many random selections of coordinates; the rest is the same.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.llm import text as words
@@ -39,18 +43,23 @@ RANDOM = tuple(int(x) for x in np.random.default_rng(8).integers(-(1 << 63), (1
 WIDE = 4096
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """SimHash of a text's word shingles, repeats included (a short text: its whole sequence)."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each of a text's word shingles (a short text: of its whole sequence)."""
     tokens = text.lower().split()  # of bytes: A-Z and ASCII white space only
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(lengths + 1) - 1
     width = min(shingle, len(tokens))
     spans = zip((ends - lengths)[: len(tokens) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, len(tokens) - width + 1)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, len(tokens) - width + 1)
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    """SimHash of a text's word shingles, repeats included; 0 of a text without words."""
+    hashes = shingle_hashes(text, shingle)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         block = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
@@ -167,3 +176,108 @@ def near_duplicates(
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
     labels = rooted.join(named, "root").select("print", "component")
     return rows.join(labels, "print").select("id", "print", "component")
+
+
+#: Bits of a wide fingerprint, tables that meet, and bits that agree in a table.
+WIDE_BITS, TABLES, TABLE_BITS = 256, 112, 24
+
+
+def wide_fingerprint(text: bytes, shingle: int) -> np.ndarray:
+    """SimHash of `WIDE_BITS` bits over a text's distinct shingles, as 0 and 1."""
+    hashes = np.unique(shingle_hashes(text, shingle))
+    counts = np.zeros(WIDE_BITS, np.int64)
+    for at in range(0, len(hashes), 16384):
+        block = hashes[at : at + 16384]
+        wide = np.stack([wide_hash(block, k) for k in range(WIDE_BITS // 64)], axis=1)
+        counts += np.unpackbits(wide.view(np.uint8).reshape(len(block), -1), axis=1).sum(0, dtype=np.int64)
+    return (2 * counts > len(hashes)).astype(np.uint8)
+
+
+def wide_hash(hashes: np.ndarray, k: int) -> np.ndarray:
+    return words.mix(hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))
+
+
+def wide_fingerprints(frame: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, wide, keys): fingerprints, and what each table has of their pivot coordinates.
+
+    The pivots are a base and the base with each bit inverted: the coordinate of a bit is
+    one more or less than that of the base. A table's key numbers the table and holds the
+    signs of `TABLE_BITS` coordinates.
+    """
+    draw = np.random.default_rng(80)
+    base = draw.integers(0, 2, WIDE_BITS).astype(np.uint8)
+    picked = np.stack([draw.permutation(WIDE_BITS)[:TABLE_BITS] for _ in range(TABLES)])
+    place = 1 << np.arange(TABLE_BITS, dtype=np.int64)
+    table = np.arange(TABLES, dtype=np.int64) << TABLE_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bits = np.stack([wide_fingerprint((t.as_py() or "").encode(), shingle) for t in batch.column(1)])
+            prints = np.packbits(bits, axis=1).view(np.int64).reshape(-1)
+            # Distances to the pivots over the distance to the base: an equal bit adds one.
+            from_base = (bits ^ base).sum(1, dtype=np.int64)[:, None]
+            coordinates = from_base + 1 - 2 * (bits ^ base)
+            signs = coordinates > from_base
+            keys = np.stack([table[t] + signs[:, p] @ place for t, p in enumerate(picked)], axis=1).astype(np.int32)
+
+            def lists(values: np.ndarray, width: int) -> pa.Array:
+                return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, width, dtype=np.int32)), pa.array(values))
+
+            columns = [batch.column(0), lists(prints, WIDE_BITS // 64), lists(keys.reshape(-1), TABLES)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "wide", "keys"])
+
+    rows = frame.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, wide array<long>, keys array<int>")
+
+
+def most_bits(similarity: float) -> int:
+    """Bits that two wide fingerprints may differ in, for texts of a Jaccard similarity.
+
+    The expected number of bits for that similarity, and a standard deviation more.
+    """
+    apart = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
+    return int(WIDE_BITS * apart + (WIDE_BITS * apart * (1 - apart)) ** 0.5)
+
+
+def near_copies(
+    frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """(id, component) of each row of `frame` with an id: groups of texts of a similarity or more.
+
+    The similarity is that of the sets of shingles, as wide fingerprints tell it: texts link
+    where these differ in `most_bits(similarity)` bits or fewer. Fingerprints meet where a
+    table has equal keys. In each table's bucket, ordered by a hash that differs from table
+    to table, a fingerprint meets the first one and the two before it; members of a large
+    group so meet many others over all tables, while a bucket's links stay in proportion to
+    its size. `component` is the least id that links reach. Texts that are equal but for
+    case and white space always link, null and empty ones with each other.
+    """
+    rows = cut(wide_fingerprints(frame.where(F.col(id_col).isNotNull()), id_col, text_col, shingle))
+    rows = rows.withColumn("node", F.xxhash64("wide"))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("least"), F.first("wide").alias("wide"), F.first("keys").alias("keys"))
+    nodes = cut(nodes)
+    dealt = nodes.select("node", F.explode("keys").alias("key"))
+    order = W.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
+    partners = F.array(*(F.lag("node", n).over(order) for n in (1, 2)), F.first("node").over(order))
+    met = dealt.select("node", F.explode(F.array_distinct(F.array_compact(partners))).alias("other")).where("node <> other")
+    pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    wide = nodes.select(F.col("node").alias("n"), "wide")
+    paired = pairs.join(wide.select(F.col("n").alias("a"), F.col("wide").alias("x")), "a")
+    paired = paired.join(wide.select(F.col("n").alias("b"), F.col("wide").alias("y")), "b")
+    apart = reduce(lambda p, q: p + q, (distance(F.get("x", F.lit(i)), F.get("y", F.lit(i))) for i in range(WIDE_BITS // 64)))
+    # Pivots' coordinates bound the distance: what differs more from the base is no pair.
+    bound = F.abs(base_distance("x") - base_distance("y")) <= most_bits(similarity)
+    links = paired.where(bound).where(apart <= most_bits(similarity)).select("a", "b")
+    roots = components(links)
+    rooted = nodes.select("node", "least").join(roots, "node", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "node"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    return rows.select("id", "node").join(rooted.join(named, "root").select("node", "component"), "node").select("id", "component")
+
+
+def base_distance(column: str) -> Column:
+    """A wide fingerprint's distance to a base fingerprint."""
+    parts = (distance(F.get(column, F.lit(i)), F.lit(RANDOM[i])) for i in range(WIDE_BITS // 64))
+    return reduce(lambda p, q: p + q, parts)

@@ -334,9 +334,12 @@ def dedup(
     window: int = 50,
     gram: int = 20,
     texts: bool = True,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """(id, key, n_words, n_removed, kept or kept_sha256) of each row of `frame`.
 
+    A column `row` holds the columns in `carry`, if any, as a struct.
+
     Each word is removed that lies in a window of `window` words whose sequence also
     starts in a document with a smaller id; windows are judged on the input. The words
     kept are joined by one space; with `texts` false only their SHA-256 is given.
@@ -346,8 +349,9 @@ def dedup(
     An empty table gives no rows; other columns are left out.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = frame.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    found = repeats(rows.where("id IS NOT NULL"), window, gram)
+    own = [F.struct(*carry).alias("row")] if carry else []
+    rows = frame.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"), *own)
+    found = repeats(rows.where("id IS NOT NULL").select("id", "key", "text"), window, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -360,10 +364,23 @@ def dedup(
                     removed.append(len(words) - len(left))
                     joined = b" ".join(left)
                     kept.append(joined.decode() if texts else hashlib.sha256(joined).hexdigest())
-                columns = [batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "key", "n_words", "n_removed", out])
+                columns = [batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *batch.columns[4:]]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "key", "n_words", "n_removed", out, *extra])
 
     out = "kept" if texts else "kept_sha256"
-    joined = rows.join(found, ["id", "key"], "left").select("id", "key", "text", "spans")
+    extra = ["row"] if carry else []
+    joined = rows.join(found, ["id", "key"], "left").select("id", "key", "text", "spans", *extra)
     kind = rows.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"id {kind}, key long, n_words long, n_removed long, {out} string")
+    schema = f"id {kind}, key long, n_words long, n_removed long, {out} string"
+    return joined.mapInArrow(run, schema + "".join(f", row {rows.schema['row'].dataType.simpleString()}" for _ in extra))
+
+
+def apply(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", **removal: int) -> DataFrame:
+    """The rows of `frame` with repeated passages cut out of the text.
+
+    A text without repeats stays as it is; another is its kept words, joined by one space.
+    """
+    others = tuple(c for c in frame.columns if c != text_col)
+    found = dedup(frame, id_col, text_col, carry=(*others, text_col), **removal)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"row.{text_col}"))
+    return found.select(*(text.alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in frame.columns))
