@@ -14,8 +14,9 @@ the coordinates of each pair of groups meets every pair within r. The largest
 coordinate difference over all pivots then discards most pairs that met, and the
 survivors are verified on the fingerprints themselves.
 
-For similarities that part many bits, `near_copies` takes wider fingerprints and joins
-on many random selections of coordinates; the rest is the same.
+For similarities that part many bits, `near_copies` takes wider fingerprints, joins on
+many random selections of coordinates and sorts what meets by further ones; the rest is
+the same.
 """
 
 from __future__ import annotations
@@ -57,13 +58,20 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, len(tokens) - width + 1)
 
 
+def ones(bits: np.ndarray) -> np.ndarray:
+    """How often each column of 0 and 1 is 1: bytes hold the sums of up to 255 rows."""
+    full = len(bits) // 255 * 255
+    blocks = bits[:full].reshape(-1, 255, bits.shape[1]).sum(1, dtype=np.uint8)
+    return blocks.sum(0, dtype=np.int64) + bits[full:].sum(0, dtype=np.uint8)
+
+
 def fingerprint(text: bytes, shingle: int) -> int:
     """SimHash of a text's word shingles, repeats included; 0 of a text without words."""
     hashes = shingle_hashes(text, shingle)
     counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        block = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(block, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    for at in range(0, len(hashes), 65280):
+        block = hashes[at : at + 65280].view(np.uint8).reshape(-1, 8)
+        counts += ones(np.unpackbits(block, axis=1, bitorder="little"))
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
 
 
@@ -178,18 +186,22 @@ def near_duplicates(
     return rows.join(labels, "print").select("id", "print", "component")
 
 
-#: Bits of a wide fingerprint, tables that meet, and bits that agree in a table.
-WIDE_BITS, TABLES, TABLE_BITS = 256, 112, 24
+#: Bits of a wide fingerprint, and tables that meet.
+WIDE_BITS, TABLES = 512, 112
+#: Bits of a table that agree in a bucket, and further ones that order it.
+TABLE_BITS, ORDER_BITS = 24, 32
+#: Partners of a fingerprint in a bucket: so many before it in the bucket's order, and the first.
+BEFORE = 3
 
 
 def wide_fingerprint(text: bytes, shingle: int) -> np.ndarray:
     """SimHash of `WIDE_BITS` bits over a text's distinct shingles, as 0 and 1."""
     hashes = np.unique(shingle_hashes(text, shingle))
     counts = np.zeros(WIDE_BITS, np.int64)
-    for at in range(0, len(hashes), 16384):
-        block = hashes[at : at + 16384]
+    for at in range(0, len(hashes), 4080):
+        block = hashes[at : at + 4080]
         wide = np.stack([wide_hash(block, k) for k in range(WIDE_BITS // 64)], axis=1)
-        counts += np.unpackbits(wide.view(np.uint8).reshape(len(block), -1), axis=1).sum(0, dtype=np.int64)
+        counts += ones(np.unpackbits(wide.view(np.uint8).reshape(len(block), -1), axis=1))
     return (2 * counts > len(hashes)).astype(np.uint8)
 
 
@@ -202,13 +214,14 @@ def wide_fingerprints(frame: DataFrame, id_col: str, text_col: str, shingle: int
 
     The pivots are a base and the base with each bit inverted: the coordinate of a bit is
     one more or less than that of the base. A table's key numbers the table and holds the
-    signs of `TABLE_BITS` coordinates.
+    signs of its coordinates: those of the bucket above, those that order it below.
     """
     draw = np.random.default_rng(80)
     base = draw.integers(0, 2, WIDE_BITS).astype(np.uint8)
-    picked = np.stack([draw.permutation(WIDE_BITS)[:TABLE_BITS] for _ in range(TABLES)])
-    place = 1 << np.arange(TABLE_BITS, dtype=np.int64)
-    table = np.arange(TABLES, dtype=np.int64) << TABLE_BITS
+    taken = TABLE_BITS + ORDER_BITS
+    picked = np.stack([draw.permutation(WIDE_BITS)[:taken] for _ in range(TABLES)])
+    place = 1 << np.arange(taken, dtype=np.int64)[::-1]
+    table = np.arange(TABLES, dtype=np.int64) << taken
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,9 +231,9 @@ def wide_fingerprints(frame: DataFrame, id_col: str, text_col: str, shingle: int
             prints = np.packbits(bits, axis=1).view(np.int64).reshape(-1)
             # Distances to the pivots over the distance to the base: an equal bit adds one.
             from_base = (bits ^ base).sum(1, dtype=np.int64)[:, None]
-            coordinates = from_base + 1 - 2 * (bits ^ base)
+            coordinates = from_base + 1 - 2 * (bits ^ base).astype(np.int64)
             signs = coordinates > from_base
-            keys = np.stack([table[t] + signs[:, p] @ place for t, p in enumerate(picked)], axis=1).astype(np.int32)
+            keys = np.stack([table[t] + signs[:, p] @ place for t, p in enumerate(picked)], axis=1)
 
             def lists(values: np.ndarray, width: int) -> pa.Array:
                 return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, width, dtype=np.int32)), pa.array(values))
@@ -229,7 +242,7 @@ def wide_fingerprints(frame: DataFrame, id_col: str, text_col: str, shingle: int
             yield pa.RecordBatch.from_arrays(columns, ["id", "wide", "keys"])
 
     rows = frame.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, wide array<long>, keys array<int>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, wide array<long>, keys array<long>")
 
 
 def most_bits(similarity: float) -> int:
@@ -248,20 +261,22 @@ def near_copies(
 
     The similarity is that of the sets of shingles, as wide fingerprints tell it: texts link
     where these differ in `most_bits(similarity)` bits or fewer. Fingerprints meet where a
-    table has equal keys. In each table's bucket, ordered by a hash that differs from table
-    to table, a fingerprint meets the first one and the two before it; members of a large
-    group so meet many others over all tables, while a bucket's links stay in proportion to
-    its size. `component` is the least id that links reach. Texts that are equal but for
-    case and white space always link, null and empty ones with each other.
+    table has equal keys for its bucket. A bucket's fingerprints are in order of further
+    bits, as other tables have other ones, so that near copies stand side by side however
+    many fingerprints share the bucket; each meets those just before it and the bucket's
+    first, and a bucket's links stay in proportion to its size. `component` is the least
+    id that links reach. Texts that are equal but for case and white space always link,
+    null and empty ones with each other.
     """
     rows = cut(wide_fingerprints(frame.where(F.col(id_col).isNotNull()), id_col, text_col, shingle))
     rows = rows.withColumn("node", F.xxhash64("wide"))
     nodes = rows.groupBy("node").agg(F.min("id").alias("least"), F.first("wide").alias("wide"), F.first("keys").alias("keys"))
     nodes = cut(nodes)
-    dealt = nodes.select("node", F.explode("keys").alias("key"))
-    order = W.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
-    partners = F.array(*(F.lag("node", n).over(order) for n in (1, 2)), F.first("node").over(order))
-    met = dealt.select("node", F.explode(F.array_distinct(F.array_compact(partners))).alias("other")).where("node <> other")
+    dealt = nodes.select("node", F.explode("keys").alias("key")).withColumn("bucket", F.shiftright("key", ORDER_BITS))
+    order = W.partitionBy("bucket").orderBy("key", "node")
+    partners = F.array(*(F.lag("node", n + 1).over(order) for n in range(BEFORE)), F.first("node").over(order))
+    dealt = dealt.withColumn("partners", partners)
+    met = dealt.select("node", F.explode(F.array_distinct(F.array_compact("partners"))).alias("other")).where("node <> other")
     pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     wide = nodes.select(F.col("node").alias("n"), "wide")
     paired = pairs.join(wide.select(F.col("n").alias("a"), F.col("wide").alias("x")), "a")
