@@ -48,3 +48,26 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
         seen = state
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def dense_components(edges: DataFrame, left: str = "a", right: str = "b", max_phases: int = 30) -> DataFrame:
+    """As `components`, for edges that are many times their nodes: (node, root) of each node.
+
+    Each node hooks to its least neighbour, if that is smaller; the hooks' components, found
+    over as many edges as there are nodes at most, become single nodes, and only edges
+    between different ones go on. No edge is dropped that joins what isn't joined yet.
+    """
+    kept = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b")
+    now = cut(kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = now.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
+    for _ in range(max_phases):
+        if now.isEmpty():
+            return labels
+        hooks = now.groupBy("b").agg(F.min("a").alias("a"))
+        roots = components(hooks)
+        up = roots.select(F.col("node").alias("n"), F.col("root").alias("r"))
+        moved = now.join(up, F.col("a") == F.col("n"), "left").select(F.coalesce("r", "a").alias("x"), "b")
+        moved = moved.join(up, F.col("b") == F.col("n"), "left").select("x", F.coalesce("r", "b").alias("y")).where("x <> y")
+        labels = cut(labels.join(up, F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root")))
+        now = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    raise RuntimeError(f"components did not settle in {max_phases} phases")

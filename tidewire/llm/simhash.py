@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.llm import text as words
-from tidewire.llm.cluster import components, cut
+from tidewire.llm.cluster import components, cut, dense_components
 
 #: Cells of two bits each.
 CELLS = 32
@@ -285,7 +285,7 @@ def near_copies(
     # Pivots' coordinates bound the distance: what differs more from the base is no pair.
     bound = F.abs(base_distance("x") - base_distance("y")) <= most_bits(similarity)
     links = paired.where(bound).where(apart <= most_bits(similarity)).select("a", "b")
-    roots = components(links)
+    roots = dense_components(links)
     rooted = nodes.select("node", "least").join(roots, "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
