@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import dates, text, urls
 from tidewire.operators import archive, cluster, evaluate, resolve, rollups, rules, state
+from tidewire.sinks import outputs
+from tidewire.sources import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,11 +82,11 @@ def net_sentiment_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH c AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS volume FROM orders GROUP BY 1),
 d AS (SELECT *, lag(volume) OVER (ORDER BY month) AS prior FROM c)
-SELECT month, volume, prior, (volume - prior)::BIGINT AS change, CASE WHEN prior > 0 THEN floor(100.0 * (volume - prior) / prior + 0.5)::BIGINT END AS percent FROM d""")
+SELECT month, volume, prior, (volume - prior)::BIGINT AS change, CASE WHEN prior > 0 THEN floor(100.0 * (volume - prior) / prior + 0.5)::BIGINT END AS percent FROM d WHERE prior IS NOT NULL""")
 def monthly_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     found = rollups.monthly_report(orders, dates.utc_month(F.col("o_orderdate")), F.col("o_orderpriority"), F.col("o_totalprice"), PRIORITIES)
-    return found.select("month", "volume", "prior", "change", F.col("percent").cast("long").alias("percent"))
+    return found.where("prior IS NOT NULL").select("month", "volume", "prior", "change", F.col("percent").cast("long").alias("percent"))
 
 
 @query("""SELECT source AS name, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM documents WHERE source IS NOT NULL GROUP BY 1 ORDER BY n DESC, name LIMIT 5""")
@@ -422,3 +424,22 @@ SELECT o_orderstatus, o_orderkey, o_totalprice FROM r WHERE n = 1""")
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", "o_totalprice")
     return state.latest_state(rows, "o_orderstatus", "o_totalprice", "o_orderkey")
+
+
+@query()
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.article_text(table(spark, sf_dir, "pages"), "page_id", "html").withColumnRenamed("id", "page_id")
+
+
+@query("""
+SELECT doc_id, replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;') AS xml FROM documents""")
+def xml_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.escape_xml(F.col("text")).alias("xml"))
+
+
+@query()
+def rss_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id") * 3600)
+    title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
+    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("link"), F.col("url").alias("guid"), title.alias("title"), F.lit("").alias("summary"), day.alias("published"), (F.col("page_id") % 7 != 0).alias("relevant"))
+    return outputs.rss_items(pages)
