@@ -117,7 +117,9 @@ def dedupe_titles(frame: DataFrame, position: str, title: str = "title", outlet:
     untitled = keyed.where("_key = ''").drop("_key")
     kinds = ["_key", domain, outlet, curated, aggregated]
     filled = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in kinds]
-    firsts = keyed.where("_key <> ''").groupBy(*filled).agg(F.min(position).alias(position))
+    # Rows with neither domain nor outlet are nobody's copy.
+    nowhere = F.when(F.coalesce(F.col(domain), F.col(outlet), F.lit("")) == "", F.col(position)).alias("_own")
+    firsts = keyed.where("_key <> ''").groupBy(*filled, nowhere).agg(F.min(position).alias(position))
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         domains, outlets, kept = set(), set(), []
@@ -180,7 +182,7 @@ def pack(frame: DataFrame, group: str, position: str, text: str, most: int) -> D
 
 
 def stable_ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """FNV-1a over code points, 32 bits in hex, for `mapInPandas` and pandas UDFs."""
+    """FNV-1a over code points, 32 bits in hex."""
     for series in texts:
         out = []
         for text in series.fillna(""):
@@ -191,4 +193,6 @@ def stable_ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out)
 
 
-stable_id = F.pandas_udf(stable_ids, "string")
+def stable_id(text: Column) -> Column:
+    """`stable_ids` of a column."""
+    return F.pandas_udf(stable_ids, "string")(text)

@@ -55,4 +55,4 @@ def ics_blocks(events: DataFrame, stamp: Column, zone: str = "America/New_York")
         F.concat(F.lit("SUMMARY:"), escape_ics(F.col("title"))), F.concat(F.lit("DESCRIPTION:"), escape_ics(F.col("body"))),
         F.concat(F.lit("URL:"), F.coalesce("url", F.lit(""))), F.lit("END:VEVENT"),
     )
-    return events.select("day", "time", F.array_join(F.transform(lines, fold), "\r\n").alias("value"))
+    return events.select("day", "time", F.array_join(F.transform(lines, lambda line: fold(line)), "\r\n").alias("value"))
