@@ -85,7 +85,7 @@ def scores(frame: DataFrame, ratios: np.ndarray, id_col: str, text_col: str) ->
                 row, bucket = grams(batch.column(1), bits)
                 total = np.bincount(row, shared.value[bucket], minlength=batch.num_rows)
                 n = np.bincount(row, minlength=batch.num_rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total)], ["id", "n_grams", "log_ratio"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total.astype(float))], ["id", "n_grams", "log_ratio"])
 
     rows = frame.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_grams long, log_ratio double")
