@@ -119,6 +119,37 @@ def test_near_copies_by_five_words(spark):
     assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
 
 
+def near_the_threshold() -> dict[int, str]:
+    """Texts around one template, in families whose members are a little more or less than 0.8 similar."""
+    draw = random.Random(5)
+    own = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    template = own(120)
+    out = []
+    for _ in range(50):
+        tail = own(40)
+        out.append([*template, *tail])
+        out += [[*template, *tail[: 40 - k], *own(k + more)] for k, more in ((draw.randrange(10, 26), draw.randrange(3)) for _ in range(3))]
+    # Chains, of which each link alone is near, and exactly 0.8: 8 of 10 shingles.
+    chain = own(140)
+    out += [chain[k : k + 100] for k in range(0, 41, 5)]
+    exact = own(13)
+    out += [exact, exact[:12], exact[:11], [*exact[:5], "x", *exact[6:]]]
+    draw.shuffle(out)
+    return {i: " ".join(x) for i, x in enumerate(out)}
+
+
+def test_near_copies_are_those_of_all_pairs(spark):
+    docs = near_the_threshold()
+    sets = {i: frozenset(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in docs.items()}
+    want = {i: i for i in docs}
+    near = [(a, b) for a in docs for b in docs if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert len(near) > 20 and len(near) < len(docs) * 5
+    for _ in docs:
+        for a, b in near:
+            want[a] = want[b] = min(want[a], want[b])
+    assert {r["id"]: r["component"] for r in simhash.near_copies(frame(spark, docs)).collect()} == want
+
+
 def test_pairs_are_whole(spark):
     draw = random.Random(3)
     prints = {draw.getrandbits(64) for _ in range(60)}

@@ -14,13 +14,13 @@ the coordinates of each pair of groups meets every pair within r. The largest
 coordinate difference over all pivots then discards most pairs that met, and the
 survivors are verified on the fingerprints themselves.
 
-For similarities that part many bits, `near_copies` takes wider fingerprints, joins on
-many random selections of coordinates and sorts what meets by further ones; the rest is
-the same.
+Fingerprints only estimate a Jaccard similarity. `near_copies` therefore meets texts on
+their rarest shingles and counts what they share.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -32,7 +32,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewire.llm import text as words
 from tidewire.llm.cluster import components, cut, dense_components
 
 #: Cells of two bits each.
@@ -186,72 +185,67 @@ def near_duplicates(
     return rows.join(labels, "print").select("id", "print", "component")
 
 
-#: Bits of a wide fingerprint, and tables that meet.
-WIDE_BITS, TABLES = 512, 112
-#: Bits of a table that agree in a bucket, and further ones that order it.
-TABLE_BITS, ORDER_BITS = 24, 32
-#: Partners of a fingerprint in a bucket: so many before it in the bucket's order, and the first.
-BEFORE = 3
+#: Rounds in which each shingle's texts meet one of them, before all that still differ meet.
+STARS = 2
+#: Parts that a shingle's texts are dealt to when all of them meet.
+SALTS = 4
+#: Bits of a set's parity, and shingles before a place that are held against meeting twice.
+PARITY_BITS, EARLIER = 1024, 32
 
 
-def wide_fingerprint(text: bytes, shingle: int) -> np.ndarray:
-    """SimHash of `WIDE_BITS` bits over a text's distinct shingles, as 0 and 1."""
-    hashes = np.unique(shingle_hashes(text, shingle))
-    counts = np.zeros(WIDE_BITS, np.int64)
-    for at in range(0, len(hashes), 4080):
-        block = hashes[at : at + 4080]
-        wide = np.stack([wide_hash(block, k) for k in range(WIDE_BITS // 64)], axis=1)
-        counts += ones(np.unpackbits(wide.view(np.uint8).reshape(len(block), -1), axis=1))
-    return (2 * counts > len(hashes)).astype(np.uint8)
+def least_shared(n: int, similarity: float) -> int:
+    """Shingles that a set of `n` shares with any other of the similarity or more."""
+    return math.ceil(similarity * n - 1e-9)
 
 
-def wide_hash(hashes: np.ndarray, k: int) -> np.ndarray:
-    return words.mix(hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))
+def sketch(n: int, similarity: float) -> tuple[int, int]:
+    """How many of `n` ordered shingles to look at, and how many of them any similar set has there too.
 
+    Sets of n and m >= n shingles that share o have, before the l-th shared one, at most n - o
+    and m - o others, so they share l among their first n - o + l and m - o + l. A set asks for
+    a fifth of its shingles; a similar set may be smaller and ask for less.
+    """
+    return min(n, n - least_shared(n, similarity) + math.ceil(n / 5)), math.ceil(least_shared(n, similarity) / 5)
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls to each of `PARITY_BITS` places, as 64-bit integers.
+
+    Parities of two sets differ only in places of shingles that one of them has alone, so in
+    no more places than there are such shingles.
+    """
+    odd = np.bincount((hashes % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-def wide_fingerprints(frame: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, wide, keys): fingerprints, and what each table has of their pivot coordinates.
 
-    The pivots are a base and the base with each bit inverted: the coordinate of a bit is
-    one more or less than that of the base. A table's key numbers the table and holds the
-    signs of its coordinates: those of the bucket above, those that order it below.
+def shingle_sets(frame: DataFrame, shingle: int, similarity: float | None) -> DataFrame:
+    """(id, node, n, need, shingles, parity) of (id, text): a digest of the set of shingles, its size and its shingles in order.
+
+    With a similarity only the `sketch` of the shingles is there, and `need` of them must be others' too;
+    `parity` is then empty.
     """
-    draw = np.random.default_rng(80)
-    base = draw.integers(0, 2, WIDE_BITS).astype(np.uint8)
-    taken = TABLE_BITS + ORDER_BITS
-    picked = np.stack([draw.permutation(WIDE_BITS)[:taken] for _ in range(TABLES)])
-    place = 1 << np.arange(taken, dtype=np.int64)[::-1]
-    table = np.arange(TABLES, dtype=np.int64) << taken
+    longs = PARITY_BITS // 64 if similarity is None else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            bits = np.stack([wide_fingerprint((t.as_py() or "").encode(), shingle) for t in batch.column(1)])
-            prints = np.packbits(bits, axis=1).view(np.int64).reshape(-1)
-            # Distances to the pivots over the distance to the base: an equal bit adds one.
-            from_base = (bits ^ base).sum(1, dtype=np.int64)[:, None]
-            coordinates = from_base + 1 - 2 * (bits ^ base).astype(np.int64)
-            signs = coordinates > from_base
-            keys = np.stack([table[t] + signs[:, p] @ place for t, p in enumerate(picked)], axis=1)
-
-            def lists(values: np.ndarray, width: int) -> pa.Array:
-                return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, width, dtype=np.int32)), pa.array(values))
-
-            columns = [batch.column(0), lists(prints, WIDE_BITS // 64), lists(keys.reshape(-1), TABLES)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "wide", "keys"])
+            sets = [np.unique(shingle_hashes((t.as_py() or "").encode(), shingle)) for t in batch.column(1)]
+            nodes = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets), np.uint64, len(sets)).view(np.int64)
+            taken = [(len(x), len(x)) if similarity is None else sketch(len(x), similarity) for x in sets]
+            ends = np.cumsum([0, *(t for t, _ in taken)]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *(x[:t] for x, (t, _) in zip(sets, taken))]).view(np.int64)
+            columns = [batch.column(0), pa.array(nodes), pa.array([len(x) for x in sets], pa.int64())]
+            columns += [pa.array([n for _, n in taken], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            odd = np.concatenate([np.zeros(0, np.int64), *(parity(x) for x in sets if longs)])
+            columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * longs), pa.array(odd)))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "n", "need", "shingles", "parity"])
 
-    rows = frame.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, wide array<long>, keys array<long>")
+    kind = frame.schema["id"].dataType.simpleString()
+    return frame.select("id", "text").mapInArrow(run, f"id {kind}, node long, n long, need long, shingles array<long>, parity array<long>")
 
 
-def most_bits(similarity: float) -> int:
-    """Bits that two wide fingerprints may differ in, for texts of a Jaccard similarity.
-
-    The expected number of bits for that similarity, and a standard deviation more.
-    """
-    apart = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
-    return int(WIDE_BITS * apart + (WIDE_BITS * apart * (1 - apart)) ** 0.5)
+def enough(shared: Column, n: Column, m: Column, similarity: float) -> Column:
+    """Whether sets of n and m have the similarity if they share so many."""
+    return shared * (1 + similarity) >= (n + m) * similarity - 1e-6
 
 
 def near_copies(
@@ -259,40 +253,106 @@ def near_copies(
 ) -> DataFrame:
     """(id, component) of each row of `frame` with an id: groups of texts of a similarity or more.
 
-    The similarity is that of the sets of shingles, as wide fingerprints tell it: texts link
-    where these differ in `most_bits(similarity)` bits or fewer. Fingerprints meet where a
-    table has equal keys for its bucket. A bucket's fingerprints are in order of further
-    bits, as other tables have other ones, so that near copies stand side by side however
-    many fingerprints share the bucket; each meets those just before it and the bucket's
-    first, and a bucket's links stay in proportion to its size. `component` is the least
-    id that links reach. Texts that are equal but for case and white space always link,
-    null and empty ones with each other.
+    Texts link where the Jaccard similarity of their sets of shingles, counted exactly, is at
+    least `similarity`. `component` is the least id that links reach. Texts with equal sets
+    always link, so those that are equal but for case and white space, and null and empty
+    ones with each other.
+
+    Every pair that links is met, or its texts are joined already: with a text's shingles in
+    order of how many texts have them, one of the first n - ceil(similarity * n) + 1 is among
+    the other's first ones. Texts meet on these, and where so many shingles are left behind
+    the first they share that the similarity can be reached. A large group of copies would
+    meet in the square of its size; so each shingle's texts first meet a single one of them,
+    which joins the group, and then only texts that are not joined yet meet.
     """
-    rows = cut(wide_fingerprints(frame.where(F.col(id_col).isNotNull()), id_col, text_col, shingle))
-    rows = rows.withColumn("node", F.xxhash64("wide"))
-    nodes = rows.groupBy("node").agg(F.min("id").alias("least"), F.first("wide").alias("wide"), F.first("keys").alias("keys"))
-    nodes = cut(nodes)
-    dealt = nodes.select("node", F.explode("keys").alias("key")).withColumn("bucket", F.shiftright("key", ORDER_BITS))
-    order = W.partitionBy("bucket").orderBy("key", "node")
-    partners = F.array(*(F.lag("node", n + 1).over(order) for n in range(BEFORE)), F.first("node").over(order))
-    dealt = dealt.withColumn("partners", partners)
-    met = dealt.select("node", F.explode(F.array_distinct(F.array_compact("partners"))).alias("other")).where("node <> other")
-    pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    wide = nodes.select(F.col("node").alias("n"), "wide")
-    paired = pairs.join(wide.select(F.col("n").alias("a"), F.col("wide").alias("x")), "a")
-    paired = paired.join(wide.select(F.col("n").alias("b"), F.col("wide").alias("y")), "b")
-    apart = reduce(lambda p, q: p + q, (distance(F.get("x", F.lit(i)), F.get("y", F.lit(i))) for i in range(WIDE_BITS // 64)))
-    # Pivots' coordinates bound the distance: what differs more from the base is no pair.
-    bound = F.abs(base_distance("x") - base_distance("y")) <= most_bits(similarity)
-    links = paired.where(bound).where(apart <= most_bits(similarity)).select("a", "b")
-    roots = dense_components(links)
-    rooted = nodes.select("node", "least").join(roots, "node", "left")
+    given = frame.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = cut(shingle_sets(given, shingle, similarity).drop("parity"))
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("need").alias("need"), F.count("*").alias("copies")))
+    # Only texts whose sketch has enough shingles of other texts can have a similar one.
+    seen = W.partitionBy("shingle")
+    dealt = rows.select("node", F.explode("shingles").alias("shingle"))
+    dealt = dealt.withColumn("other", F.min("node").over(seen) != F.max("node").over(seen)).where("other")
+    hits = dealt.groupBy("node").agg(F.count("*").alias("hits"))
+    likely = nodes.join(hits, "node").where("hits >= need * copies").select("node", F.col("least").alias("id"))
+    texts = given.join(likely.select("id").distinct(), "id")
+    sets = shingle_sets(texts, shingle, None).join(likely.select("node"), "node", "left_semi")
+    sets = cut(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "shingles", "parity"))))
+    first = cut(prefixes(sets, similarity))
+
+    links = None
+    labels = None
+    for round_ in range(STARS + 1):
+        labelled = first.withColumn("part", F.col("node"))
+        if labels is not None:
+            up = labels.select(F.col("node").alias("k"), "root")
+            labelled = first.join(up, F.col("node") == F.col("k"), "left").select(*first.columns, F.coalesce("root", "node").alias("part"))
+        met = star_pairs(labelled, round_, similarity) if round_ < STARS else all_pairs(labelled, sets, similarity)
+        fresh = similar(met, sets, similarity)
+        links = cut(fresh if links is None else links.union(fresh))
+        labels = cut(dense_components(links))
+    rooted = nodes.select("node", "least").join(labels, "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
     return rows.select("id", "node").join(rooted.join(named, "root").select("node", "component"), "node").select("id", "component")
 
 
-def base_distance(column: str) -> Column:
-    """A wide fingerprint's distance to a base fingerprint."""
-    parts = (distance(F.get(column, F.lit(i)), F.lit(RANDOM[i])) for i in range(WIDE_BITS // 64))
-    return reduce(lambda p, q: p + q, parts)
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(shingle, node, n, place): each set's first shingles, rarest first, that other sets have too."""
+    dealt = sets.select("node", "n", F.explode("shingles").alias("shingle"))
+    shared = dealt.withColumn("sets", F.count("*").over(W.partitionBy("shingle"))).where("sets > 1")
+    order = F.sort_array(F.collect_list(F.struct("sets", "shingle")))
+    ordered = shared.groupBy("node", "n").agg(order.alias("found"))
+    # A set's own shingles come before those it shares.
+    own = F.col("n") - F.size("found")
+    most = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    taken = F.expr("slice(found, 1, cast(greatest(0, most - own) as int))")
+    placed = ordered.withColumns({"own": own, "most": most}).select("node", "n", "own", F.posexplode(taken).alias("at", "x"))
+    return placed.select(F.col("x.shingle").alias("shingle"), "node", "n", (F.col("own") + F.col("at")).alias("place"))
+
+
+def reachable(similarity: float) -> Column:
+    """Whether x and y can be similar, if the shingle they meet on is the first one they share."""
+    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    return (F.col("x.part") != F.col("y.part")) & enough(left, F.col("x.n"), F.col("y.n"), similarity)
+
+
+def ordered_pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def star_pairs(rows: DataFrame, draw: int, similarity: float) -> DataFrame:
+    """(a, b): each shingle's sets with one of them, another one for each `draw`."""
+    star = F.min_by(F.struct("node", "n", "place", "part"), F.xxhash64("node", F.lit(draw)))
+    stars = rows.groupBy("shingle").agg(star.alias("s")).select("shingle", "s.*")
+    return ordered_pairs(rows.alias("x").join(stars.alias("y"), "shingle").where(reachable(similarity)))
+
+
+def all_pairs(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all sets of a shingle that are in different parts and may be similar.
+
+    The sets of the shingle's largest part don't meet each other, so only the others are on one
+    side. A pair comes from the first shingle it shares, and only if its parities differ in no
+    more places than similar sets have shingles alone.
+    """
+    parts = rows.groupBy("shingle", "part").agg(F.count("*").alias("size"))
+    mixed = parts.groupBy("shingle").agg(F.max_by("part", F.struct("size", "part")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+    before = W.partitionBy("node").orderBy("place").rowsBetween(-EARLIER, -1)
+    right = rows.join(mixed.select("shingle", "largest"), "shingle").withColumn("before", F.collect_list("shingle").over(before))
+    right = right.join(sets.select("node", "parity"), "node")
+    left = right.where("part <> largest").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    right = right.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    once = (F.col("y.part") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
+    apart = reduce(lambda p, q: p + q, (distance(F.get("x.parity", F.lit(i)), F.get("y.parity", F.lit(i))) for i in range(PARITY_BITS // 64)))
+    # Sets that have d shingles alone share (n + m - d) / 2.
+    size = F.col("x.n") + F.col("y.n")
+    close = enough((size - apart) / 2, F.col("x.n"), F.col("y.n"), similarity)
+    first = ~F.arrays_overlap("x.before", "y.before")
+    return ordered_pairs(left.alias("x").join(right.alias("y"), ["shingle", "salt"]).where(reachable(similarity) & once & close & first))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets, intersected, have the similarity."""
+    x = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("xs"))
+    y = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("ys"))
+    both = pairs.join(x, "a").join(y, "b")
+    return both.where(enough(F.size(F.array_intersect("xs", "ys")), F.col("na"), F.col("nb"), similarity)).select("a", "b")
