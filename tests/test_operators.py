@@ -110,3 +110,29 @@ def test_article_text(spark):
     html = "<html><title>T</title><nav><p>menu</p></nav><article><p>First paragraph, long enough.</p></article><p>foot</p></html>"
     row = feeds.article_text(spark.createDataFrame([(1, html), (2, None)], "id int, html string"), "id", "html").orderBy("id").collect()
     assert (row[0]["title"], row[0]["text"], row[1]["text"]) == ("T", "First paragraph, long enough.", "")
+
+
+def test_stories_of_many_copies_are_those_of_all_pairs(spark):
+    copies = [(i, "Harbour ferry sinks near island", "Crew rescued after ferry capsized at dawn") for i in range(210)]
+    others = [(300, "Council debates parking levy", "Members postponed voting"), (301, "Council debates parking levy again", "Members postponed voting"), (302, "Orchard frost ruins apples", "Growers count losses")]
+    rows = [(i, t, x, f"outlet{i}", "news") for i, t, x in copies + others]
+    frame = spark.createDataFrame(rows, "id long, title string, text string, outlet string, block string").withColumn("at", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 60))
+    found = {r["id"]: r["group"] for r in cluster.groups(frame, "id", "title", "text", "at", "outlet", "block", F.lit(False)).collect()}
+    assert found == {i: 0 for i in range(210)} | {300: 300, 301: 300, 302: 302}
+
+
+def test_leading_terms_meet_all_pairs(spark):
+    import random
+
+    draw = random.Random(6)
+    rows = [(i, [f"t{min(draw.randrange(1, 40), draw.randrange(1, 40))}" for _ in range(draw.randrange(1, 15))]) for i in range(60)]
+    weights = cluster.vectors(spark.createDataFrame(rows, "id long, terms array<string>"), "id", F.col("terms")).cache()
+    vector: dict[int, dict[str, float]] = {}
+    for r in weights.collect():
+        vector.setdefault(r["id"], {})[r["term"]] = r["w"]
+    for least in (0.25, 0.5):
+        first: dict[int, set[str]] = {i: set() for i in vector}
+        for r in cluster.leading(weights, least).collect():
+            first[r["id"]].add(r["term"])
+        near = [(a, b) for a in vector for b in vector if a < b and sum(w * vector[b].get(t, 0) for t, w in vector[a].items()) >= least]
+        assert near and all(first[a] & first[b] for a, b in near)

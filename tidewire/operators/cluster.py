@@ -32,24 +32,37 @@ def cosine_pairs(left: DataFrame, candidates: DataFrame) -> DataFrame:
     return candidates.join(dot, ["a", "b"], "left").withColumn("cosine", F.coalesce("dot", F.lit(0.0))).drop("dot")
 
 
-def band_pairs(frame: DataFrame, identity: str, at: str, days: int, block: str, rare: Column, most_block: int = 200) -> DataFrame:
-    """(a, b): pairs of rows of a block within so many days of each other that share a rare term.
+def leading(weights: DataFrame, least: float) -> DataFrame:
+    """(id, term) of `vectors`: each row's rarest terms, up to where the rest is shorter than `least`.
+
+    Where a pair's first shared term is in the rest of either one, its cosine is below `least`:
+    so pairs of that cosine or more share one of these terms.
+    """
+    counted = weights.join(weights.groupBy("term").agg(F.count("*").alias("df")), "term")
+    rest = F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id").orderBy("df", "term").rowsBetween(0, W.unboundedFollowing))
+    return counted.withColumn("rest", rest).where(F.col("rest") >= least * least - 1e-9).select("id", "term")
+
+
+def band_pairs(frame: DataFrame, identity: str, at: str, days: int, block: str, terms: DataFrame) -> DataFrame:
+    """(a, b): pairs of rows of a block within so many days of each other that share one of `terms`, (id, term).
 
     The time band is an equality join: every row is in its own bucket of `days` days, and
-    its probes go to that bucket and the two beside it. `rare` is an array of terms to meet
-    on; only terms that at most `most_block` rows of the block and bucket have take part, for
-    commoner ones tell no stories apart, so no bucket's pairs grow with its square.
+    its probes go to that bucket and the two beside it. No term is left out, so terms of
+    large groups of copies give pairs in the square of the group.
     """
     bucket = F.floor(F.unix_seconds(at) / (days * 86_400)).cast("long")
-    rows = frame.select(F.col(identity).alias("id"), F.col(at).alias("at"), F.col(block).alias("block"), bucket.alias("bucket"), F.explode(F.array_distinct(rare)).alias("term"))
-    common = rows.groupBy("block", "bucket", "term").agg(F.count("*").alias("n")).where(F.col("n") <= most_block).drop("n")
-    left = rows.join(common, ["block", "bucket", "term"])
+    placed = frame.select(F.col(identity).alias("id"), F.col(at).alias("at"), F.col(block).alias("block"), bucket.alias("bucket"))
+    left = placed.join(terms.distinct(), "id")
     right = left.withColumn("bucket", F.explode(F.array(*(F.col("bucket") + i for i in (-1, 0, 1)))))
     met = left.alias("x").join(right.alias("y"), ["block", "bucket", "term"])
     close = F.abs(F.unix_micros("x.at") - F.unix_micros("y.at")) <= days * 86_400_000_000
     return met.where(close & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
+#: The least cosines of text, or else of title, that two related stories have.
+LEAST_FULL, LEAST_TITLE = 0.25, 0.5
+
+
 def related(same_outlet: Column, opinion: Column, title: Column, full: Column, figure: Column) -> Column:
     """Whether two stories are one: by title alone in one outlet, else by text, title, or a shared figure."""
     across = (full >= 0.45) | (title >= 0.5) | (figure & (full >= 0.25) & (title >= 0.2))
@@ -125,14 +138,19 @@ def groups(frame: DataFrame, identity: str, title: str, text: str, at: str, outl
     """
     base = frame.select(F.col(identity).alias("id"), F.col(title).alias("title"), F.col(text).alias("body"), F.col(at).alias("at"), F.col(outlet).alias("outlet"), F.col(block).alias("block"), opinion.alias("opinion"))
     dated = base.where("at IS NOT NULL").withColumns({"full": story_terms(F.concat_ws(" ", "title", "title", "body")), "own": story_terms(F.col("title"))})
-    pairs = band_pairs(dated, "id", "at", days, "block", F.col("full"))
-    scored = cosine_pairs(vectors(dated, "id", F.col("full")), pairs).withColumnRenamed("cosine", "full_cosine")
-    scored = cosine_pairs(vectors(dated, "id", F.col("own")), scored).withColumnRenamed("cosine", "title_cosine")
+    # Term columns are long expressions: they are computed once, and plans stay short.
+    checkpointed(dated)
+    dated = dated.drop("title", "body").checkpoint()
+    full, own = (vectors(dated, "id", F.col(c)).checkpoint() for c in ("full", "own"))
+    # What `related` links has at least one of these cosines, in text or in title.
+    terms = leading(full, LEAST_FULL).union(leading(own, LEAST_TITLE).select("id", F.concat(F.lit("title "), "term")))
+    pairs = band_pairs(dated, "id", "at", days, "block", terms).checkpoint()
+    scored = cosine_pairs(full, pairs).withColumnRenamed("cosine", "full_cosine")
+    scored = cosine_pairs(own, scored).withColumnRenamed("cosine", "title_cosine")
     figures = F.filter("full", lambda t: t.rlike(r"^\d{3,}$"))
     side = dated.select("id", "outlet", "opinion", figures.alias("figures"))
     x = scored.join(side.toDF("a", "xo", "xp", "xf"), "a").join(side.toDF("b", "yo", "yp", "yf"), "b")
     links = x.where(related(F.col("xo") == F.col("yo"), F.col("xp") | F.col("yp"), F.col("title_cosine"), F.col("full_cosine"), F.arrays_overlap("xf", "yf"))).select("a", "b")
-    checkpointed(links)
     links = links.checkpoint()
     found = average_linkage(links, components(links))
     return base.select("id").join(found, "id", "left").select("id", F.coalesce("group", "id").alias("group"))
