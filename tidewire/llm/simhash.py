@@ -5,14 +5,13 @@ it. Its pivot table row holds its Hamming distances to reference fingerprints. B
 the triangle inequality two fingerprints within distance r differ by at most r in
 each coordinate.
 
-The pivots are one base fingerprint, the base with one cell of bits inverted for
-each of `CELLS` cells, and some random ones. What a cell's coordinate has over the
-base coordinate depends on that cell's bits alone, so r differing bits leave all
-but r cells' differences as they are. The cells form groups, r + 2 of them for r
-bits: two groups at least then agree in every coordinate, and an equality join on
-the coordinates of each pair of groups meets every pair within r. The largest
-coordinate difference over all pivots then discards most pairs that met, and the
-survivors are verified on the fingerprints themselves.
+The pivots are one base fingerprint, the base with one bit inverted for each bit, and
+some random ones. What a bit's coordinate has over the base coordinate depends on that
+bit alone, so r differing bits leave all but r of these differences as they are. The
+bits form groups, r + 2 of them for r bits: two groups at least then agree in every
+coordinate, and an equality join on the coordinates of each pair of groups meets every
+pair within r. The largest difference in the random pivots' coordinates then discards
+most pairs that met, and the survivors are verified on the fingerprints themselves.
 
 Fingerprints only estimate a Jaccard similarity. `near_copies` therefore meets texts on
 their rarest shingles and counts what they share.
@@ -34,13 +33,13 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.cluster import components, cut, dense_components
 
-#: Cells of two bits each.
-CELLS = 32
-#: The base pivot, and random pivots that lie off the cells.
+#: Bits of a fingerprint.
+BITS = 64
+#: The base pivot, and random pivots.
 BASE = 0x5B1D6E93C4A7F208
 RANDOM = tuple(int(x) for x in np.random.default_rng(8).integers(-(1 << 63), (1 << 63) - 1, 16))
-#: Buckets with more fingerprints than this are met through masked bits instead of pairs.
-WIDE = 4096
+#: Fingerprints of a bucket that meet in pairs; larger buckets meet at their neighbours.
+CROWD = 256
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -90,15 +89,9 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def masks(parts: int) -> list[int]:
-    """Bit masks of `parts` nearly equal runs of cells."""
-    bounds = [round(CELLS * i / parts) for i in range(parts + 1)]
-    return [sum(3 << 2 * c for c in range(a, b)) for a, b in zip(bounds, bounds[1:])]
-
-
 def pivots() -> list[int]:
-    """The reference fingerprints: base, base with each cell inverted, random ones."""
-    return [signed(BASE), *(signed(BASE ^ (3 << 2 * c)) for c in range(CELLS)), *RANDOM]
+    """The reference fingerprints: base, base with each bit inverted, random ones."""
+    return [signed(BASE), *(signed(BASE ^ (1 << b)) for b in range(BITS)), *RANDOM]
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -112,51 +105,54 @@ def pivot_table(frame: DataFrame) -> DataFrame:
 
 
 def keys(max_distance: int) -> list[Column]:
-    """A key for each pair of groups: what the cells' coordinates have over the base's, in base 3."""
+    """A key for each pair of groups: which of their bits' coordinates are over the base's."""
     parts = max_distance + 2
-    bounds = [round(CELLS * i / parts) for i in range(parts + 1)]
+    bounds = [round(BITS * i / parts) for i in range(parts + 1)]
+    base = F.get("table", F.lit(0)).cast("long")
 
-    def over_base(cell: int) -> Column:
-        return ((F.get("table", F.lit(cell + 1)) - F.get("table", F.lit(0)) + 2) / 2).cast("long")
+    def key(*groups: int) -> Column:
+        at = F.concat(*(F.slice("table", bounds[g] + 2, bounds[g + 1] - bounds[g]) for g in groups))
+        return F.aggregate(at, F.lit(0).cast("long"), lambda made, x: F.shiftleft(made, 1) + F.shiftright(x - base + 1, 1))
 
-    out = []
-    for pair in combinations(range(parts), 2):
-        cells = [c for g in pair for c in range(bounds[g], bounds[g + 1])]
-        out.append(reduce(lambda a, b: a + b, (over_base(c) * F.lit(3**i) for i, c in enumerate(cells))))
-    return out
+    return [key(*pair) for pair in combinations(range(parts), 2)]
 
 
-def near_pairs(prints: DataFrame, max_distance: int = 2) -> DataFrame:
-    """Links between the distinct values of `print` that differ in 1 to `max_distance` bits.
+def near_pairs(prints: DataFrame, max_distance: int = 2, crowd: int = CROWD) -> DataFrame:
+    """Links between distinct values of `print` that differ in 1 to `max_distance` bits (2 at most).
 
-    Returns (a, b), a < b. Every pair is there, but for buckets with more than `WIDE`
-    fingerprints: these give, for each way to mask `max_distance` bits, links from
-    each fingerprint to the least one that agrees outside the mask. Such links are
-    true ones and join whatever the left-out pairs would have joined, and their
-    number grows in proportion to the bucket.
+    Returns (a, b), a < b. Every pair is there, but for buckets with more than `crowd`
+    fingerprints, as groups of near copies have them. There each fingerprint meets the others
+    at the fingerprints one bit away from it, or half of `max_distance`: who meets at one of
+    these is within `max_distance`, and whoever is within it meets. Each links to the least
+    one that is there. Such links are true ones, they join whatever the left-out pairs join,
+    and there are `BITS` + 1 for a fingerprint at most. Nulls are left out.
     """
-    tabled = pivot_table(prints.select("print").distinct())
-    probes = F.array(*keys(max_distance))
-    dealt = tabled.select("print", F.posexplode(probes).alias("probe", "key"))
+    if not 1 <= max_distance <= 2:
+        raise ValueError("links are by one or two bits")
+    tabled = pivot_table(prints.select("print").where("print IS NOT NULL").distinct())
+    random = F.slice("table", BITS + 2, len(RANDOM))
+    dealt = tabled.select("print", random.alias("far"), F.posexplode(F.array(*keys(max_distance))).alias("probe", "key"))
     sizes = dealt.groupBy("probe", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = cut(dealt.join(sizes, ["probe", "key"]))
-    narrow = met.where(F.col("n") <= WIDE)
-    left = narrow.select("probe", "key", F.col("print").alias("a"))
-    right = narrow.select("probe", "key", F.col("print").alias("b"))
-    pairs = left.join(right, ["probe", "key"]).where("a < b")
+    few = met.where(F.col("n") <= crowd)
+    x = few.select("probe", "key", F.col("print").alias("a"), F.col("far").alias("xs"))
+    y = few.select("probe", "key", F.col("print").alias("b"), F.col("far").alias("ys"))
     # Discard by the largest coordinate difference, then verify.
-    apart = F.greatest(*(F.abs(distance(F.col("a"), F.lit(p)) - distance(F.col("b"), F.lit(p))) for p in pivots()))
-    found = pairs.where(apart <= max_distance).where(distance(F.col("a"), F.col("b")) <= max_distance)
-    out = found.select("a", "b")
-    if not met.where(F.col("n") > WIDE).isEmpty():
-        hidden = [signed(sum(1 << i for i in bits)) for bits in combinations(range(64), max_distance)]
-        many = met.where(F.col("n") > WIDE).select("print").distinct()
-        masked = many.select("print", F.explode(F.array(*map(F.lit, hidden))).alias("mask"))
-        masked = masked.withColumn("rest", F.col("print").bitwiseAND(F.bitwise_not("mask")))
-        least = masked.groupBy("mask", "rest").agg(F.min("print").alias("a"), F.count("*").alias("n")).where("n > 1")
-        stars = masked.join(least.select("mask", "rest", "a"), ["mask", "rest"]).where("a <> print")
-        out = out.union(stars.select("a", F.col("print").alias("b")))
-    return out.distinct()
+    apart = F.greatest(*(F.abs(F.get("xs", F.lit(i)) - F.get("ys", F.lit(i))) for i in range(len(RANDOM))))
+    pairs = x.join(y, ["probe", "key"]).where("a < b").where(apart <= max_distance)
+    close = pairs.where(distance(F.col("a"), F.col("b")) <= max_distance).select("a", "b")
+    crowded = met.where(F.col("n") > crowd).select("print").distinct()
+    flips = F.array(F.lit(0).cast("long"), *(F.lit(signed(1 << b)) for b in range(BITS)))
+    beside = crowded.select("print", F.explode(flips).alias("flip")).withColumn("at", F.col("print").bitwiseXOR(F.col("flip")))
+    if max_distance == 1:
+        # Who is one bit apart is at the other's place.
+        own = F.col("flip") == 0
+        ends = beside.where(own).select("at", F.col("print").alias("a")).join(beside.where(~own).select("at", F.col("print").alias("b")), "at")
+        stars = ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    else:
+        least = beside.groupBy("at").agg(F.min("print").alias("a"), F.count("*").alias("n")).where("n > 1")
+        stars = beside.join(least.select("at", "a"), "at").where("a <> print").select("a", F.col("print").alias("b"))
+    return close.union(stars).distinct()
 
 
 def near_duplicates(
@@ -173,7 +169,8 @@ def near_duplicates(
     Texts without a word (null and empty ones too) have fingerprint 0 and link like
     any others. Rows with a null id keep it, and join components that other rows'
     ids name (null where no row of the component has an id). Repeated rows stay
-    repeated. An empty table gives no rows; other columns are left out.
+    repeated. A bit that exactly half of the hashes have is 0. Texts count whole, however
+    long. An empty table gives no rows; other columns are left out.
     """
     rows = cut(fingerprints(frame, id_col, text_col, shingle))
     distinct = cut(rows.groupBy("print").agg(F.min("id").alias("least")))
