@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewire.llm.cluster import cut
+
 SEPARATORS = r"\x20\x09-\x0D"
 
 
@@ -73,7 +75,12 @@ def mix(
     agree, for the offset of a source comes from a digest of its name and `seed`.
     Null and empty texts have size 0 and may be taken, at no words. Rows with a null
     source form a source of their own, rows with a null id stand first among equals.
-    Repeated rows count and are taken each for itself. An empty table gives no rows.
+    Documents of one source and size stand in order of a digest and their id; repeated
+    rows count and are taken each for itself. An empty table gives no rows; texts count
+    whole, however long; other columns are left out.
+
+    As a source's documents stand in order of size, the words taken differ from the target
+    by less than its largest document has.
 
     Prefix sums are taken in two steps, so that no source stands in one task: within
     blocks of a source (a size and 256 hash classes of ids), and over the counts of blocks.
@@ -89,8 +96,10 @@ def mix(
         word_count(F.col(text_col)).alias("size"),
         F.substring(digest, 1, 2).alias("block"),
     )
+    # Words are counted once; carried rows are too wide to be written for that.
+    rows = rows if carry else cut(rows)
     # One small row per block: source, size, hash class, number of documents.
-    blocks = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    blocks = cut(rows.groupBy(*keys).agg(F.count("*").alias("n")))
     source = F.when(F.col("named"), F.col("name"))
     sizes = blocks.groupBy("named", "name").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     aims = targets(sizes.select(source.alias("source"), "source_size"), weights, float(most))
@@ -127,7 +136,10 @@ def mix(
 
 
 def apply(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **mixing) -> DataFrame:
-    """The rows of `frame`, each as often as the mix takes it."""
+    """The rows of `frame`, each as often as the mix takes it, with all their columns.
+
+    Nulls, empty and long texts, ties and repeated rows as in `mix`; columns may have any name.
+    """
     found = mix(frame, id_col, text_col, source_col, carry=tuple(frame.columns), **mixing)
     taken = found.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return taken.select("row.*")
