@@ -3,23 +3,49 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def cut(frame: DataFrame) -> DataFrame:
     """The frame, computed once and read back from the shared checkpoint folder.
 
-    The folder is the session's `spark.checkpoint.dir`. Only where none is set, as
-    in local tests, is a folder of this machine taken.
+    The folder is the one that `shared_folder` finds.
     """
-    context = frame.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: the one set, or `spark.checkpoint.dir`.
+
+    Only a session that runs on this machine alone, as in tests, gets a folder of this
+    machine where none is named; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp())
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def bucketed(frame: DataFrame, key: str) -> DataFrame:
+    """The frame written to the shared folder in buckets of `key`: joins on it don't shuffle it again.
+
+    As many buckets as shuffles have partitions; the frame should come partitioned so.
+    """
+    spark = frame.sparkSession
+    name = f"cut_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_folder(spark)}/{name}"
+    frame.write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
     """Component of each node that has an edge: (node, root), root its least node.
 

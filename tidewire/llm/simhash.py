@@ -13,8 +13,9 @@ coordinate, and an equality join on the coordinates of each pair of groups meets
 pair within r. The largest difference in the random pivots' coordinates then discards
 most pairs that met, and the survivors are verified on the fingerprints themselves.
 
-Fingerprints only estimate a Jaccard similarity. `near_copies` therefore meets texts on
-their rarest shingles and counts what they share.
+Fingerprints only estimate a Jaccard similarity. `near_copies` therefore counts the
+shingles that texts share: of those that pivot tables bring together first, and then of
+those not joined yet that meet on their rarest shingles.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewire.llm.cluster import components, cut, dense_components
+from tidewire.llm.cluster import bucketed, components, cut, dense_components
 
 #: Bits of a fingerprint.
 BITS = 64
@@ -63,9 +64,8 @@ def ones(bits: np.ndarray) -> np.ndarray:
     return blocks.sum(0, dtype=np.int64) + bits[full:].sum(0, dtype=np.uint8)
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """SimHash of a text's word shingles, repeats included; 0 of a text without words."""
-    hashes = shingle_hashes(text, shingle)
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of the hashes of shingles, repeats included; 0 if there are none."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65280):
         block = hashes[at : at + 65280].view(np.uint8).reshape(-1, 8)
@@ -78,7 +78,7 @@ def fingerprints(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint((t.as_py() or "").encode(), shingle) for t in batch.column(1)]
+            prints = [fingerprint(shingle_hashes((t.as_py() or "").encode(), shingle)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["id", "print"])
 
     rows = frame.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -182,10 +182,10 @@ def near_duplicates(
     return rows.join(labels, "print").select("id", "print", "component")
 
 
-#: Rounds in which each shingle's texts meet one of them, before all that still differ meet.
-STARS = 2
-#: Parts that a shingle's texts are dealt to when all of them meet.
-SALTS = 4
+#: Fingerprints of a bucket that meet in pairs when pivot tables bring near copies together.
+FEW = 32
+#: Sets of a shingle that are dealt to one part of it when all of them meet.
+PART = 1024
 #: Bits of a set's parity, and shingles before a place that are held against meeting twice.
 PARITY_BITS, EARLIER = 1024, 32
 
@@ -200,9 +200,9 @@ def sketch(n: int, similarity: float) -> tuple[int, int]:
 
     Sets of n and m >= n shingles that share o have, before the l-th shared one, at most n - o
     and m - o others, so they share l among their first n - o + l and m - o + l. A set asks for
-    a fifth of its shingles; a similar set may be smaller and ask for less.
+    a twentieth of its shingles; a similar set may be smaller and ask for less.
     """
-    return min(n, n - least_shared(n, similarity) + math.ceil(n / 5)), math.ceil(least_shared(n, similarity) / 5)
+    return min(n, n - least_shared(n, similarity) + math.ceil(n / 20)), math.ceil(least_shared(n, similarity) / 20)
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
@@ -215,29 +215,47 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def shingle_sets(frame: DataFrame, shingle: int, similarity: float | None) -> DataFrame:
-    """(id, node, n, need, shingles, parity) of (id, text): a digest of the set of shingles, its size and its shingles in order.
+def shingle_sketches(frame: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(id, node, need, shingles) of (id, text): a digest of the set of shingles and its `sketch`.
 
-    With a similarity only the `sketch` of the shingles is there, and `need` of them must be others' too;
-    `parity` is then empty.
+    `need` of the sketch must be others' too. The shingles are cut to 32 bits, which can only add
+    to what sets share.
     """
-    longs = PARITY_BITS // 64 if similarity is None else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes((t.as_py() or "").encode(), shingle)) for t in batch.column(1)]
-            nodes = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets), np.uint64, len(sets)).view(np.int64)
-            taken = [(len(x), len(x)) if similarity is None else sketch(len(x), similarity) for x in sets]
+            taken = [sketch(len(x), similarity) for x in sets]
             ends = np.cumsum([0, *(t for t, _ in taken)]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.uint64), *(x[:t] for x, (t, _) in zip(sets, taken))]).view(np.int64)
-            columns = [batch.column(0), pa.array(nodes), pa.array([len(x) for x in sets], pa.int64())]
-            columns += [pa.array([n for _, n in taken], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            odd = np.concatenate([np.zeros(0, np.int64), *(parity(x) for x in sets if longs)])
-            columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * longs), pa.array(odd)))
-            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "n", "need", "shingles", "parity"])
+            flat = np.concatenate([np.zeros(0, np.uint64), *(x[:t] for x, (t, _) in zip(sets, taken))]) >> np.uint64(32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.uint32).view(np.int32)))
+            columns = [batch.column(0), pa.array([node(x) for x in sets], pa.int64()), pa.array([n for _, n in taken], pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "need", "shingles"])
 
     kind = frame.schema["id"].dataType.simpleString()
-    return frame.select("id", "text").mapInArrow(run, f"id {kind}, node long, n long, need long, shingles array<long>, parity array<long>")
+    return frame.select("id", "text").mapInArrow(run, f"id {kind}, node long, need long, shingles array<int>")
+
+
+def node(hashes: np.ndarray) -> int:
+    """A digest of a set of shingles."""
+    return signed(xxhash.xxh64_intdigest(hashes.tobytes(), 7))
+
+
+def shingle_sets(frame: DataFrame, shingle: int) -> DataFrame:
+    """(node, n, print, shingles, parity) of `text`: a digest of the set of shingles, its size, fingerprint and shingles in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes((t.as_py() or "").encode(), shingle)) for t in batch.column(0)]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            odd = np.concatenate([np.zeros(0, np.int64), *map(parity, sets)])
+            rows = np.arange(len(sets) + 1, dtype=np.int32) * (PARITY_BITS // 64)
+            columns = [pa.array([f(x) for x in sets], pa.int64()) for f in (node, len, fingerprint)]
+            columns += [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for at, x in ((ends, flat), (rows, odd))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "print", "shingles", "parity"])
+
+    return frame.select("text").mapInArrow(run, "node long, n long, print long, shingles array<long>, parity array<long>")
 
 
 def enough(shared: Column, n: Column, m: Column, similarity: float) -> Column:
@@ -255,15 +273,20 @@ def near_copies(
     always link, so those that are equal but for case and white space, and null and empty
     ones with each other.
 
-    Every pair that links is met, or its texts are joined already: with a text's shingles in
+    Fingerprints of the sets and their pivot tables first bring most copies together, each set
+    with the least one near it. Whatever they miss is met exactly: with a text's shingles in
     order of how many texts have them, one of the first n - ceil(similarity * n) + 1 is among
     the other's first ones. Texts meet on these, and where so many shingles are left behind
     the first they share that the similarity can be reached. A large group of copies would
     meet in the square of its size; so each shingle's texts first meet a single one of them,
     which joins the group, and then only texts that are not joined yet meet.
+
+    Rows without an id are left out; repeated rows have a row each. Texts count whole, however
+    long. An empty table gives no rows; other columns are left out. There are no ties: a
+    similarity of exactly `similarity` links.
     """
     given = frame.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = cut(shingle_sets(given, shingle, similarity).drop("parity"))
+    rows = cut(shingle_sketches(given, shingle, similarity))
     nodes = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("need").alias("need"), F.count("*").alias("copies")))
     # Only texts whose sketch has enough shingles of other texts can have a similar one.
     seen = W.partitionBy("shingle")
@@ -272,27 +295,33 @@ def near_copies(
     hits = dealt.groupBy("node").agg(F.count("*").alias("hits"))
     likely = nodes.join(hits, "node").where("hits >= need * copies").select("node", F.col("least").alias("id"))
     texts = given.join(likely.select("id").distinct(), "id")
-    sets = shingle_sets(texts, shingle, None).join(likely.select("node"), "node", "left_semi")
-    sets = cut(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "shingles", "parity"))))
-    first = cut(prefixes(sets, similarity))
+    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = shingle_sets(texts, shingle).repartition(parts, "node").join(likely.select("node"), "node", "left_semi")
+    sets = bucketed(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "print", "shingles", "parity"))), "node")
 
-    links = None
-    labels = None
-    for round_ in range(STARS + 1):
-        labelled = first.withColumn("part", F.col("node"))
-        if labels is not None:
-            up = labels.select(F.col("node").alias("k"), "root")
-            labelled = first.join(up, F.col("node") == F.col("k"), "left").select(*first.columns, F.coalesce("root", "node").alias("part"))
-        met = star_pairs(labelled, round_, similarity) if round_ < STARS else all_pairs(labelled, sets, similarity)
-        fresh = similar(met, sets, similarity)
-        links = cut(fresh if links is None else links.union(fresh))
-        labels = cut(dense_components(links))
+    links = cut(similar(pivot_pairs(sets), sets, similarity))
+    first = cut(prefixes(sets, similarity))
+    for meet in (star_pairs, all_pairs):
+        labels = cut(dense_components(links)).select(F.col("node").alias("k"), "root")
+        labelled = first.join(labels, F.col("node") == F.col("k"), "left").select(*first.columns, F.coalesce("root", "node").alias("part"))
+        links = cut(links.union(similar(meet(labelled, sets, similarity), sets, similarity)))
+    labels = cut(dense_components(links))
     rooted = nodes.select("node", "least").join(labels, "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
     return rows.select("id", "node").join(rooted.join(named, "root").select("node", "component"), "node").select("id", "component")
 
 
+def pivot_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): each set with one of its fingerprint, and one set of each fingerprint with the least near it."""
+    prints = sets.groupBy("print").agg(F.min("node").alias("first"))
+    equal = sets.select("node", "print").join(prints, "print").where("node <> first").select("first", "node")
+    near = near_pairs(prints, crowd=FEW).groupBy("b").agg(F.min("a").alias("a"))
+    x, y = (prints.select(F.col("print").alias(side), F.col("first").alias(f"{side}_node")) for side in "ab")
+    both = equal.union(near.join(x, "a").join(y, "b").select("a_node", "b_node")).toDF("x", "y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     """(shingle, node, n, place): each set's first shingles, rarest first, that other sets have too."""
     dealt = sets.select("node", "n", F.explode("shingles").alias("shingle"))
@@ -317,9 +346,9 @@ def ordered_pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def star_pairs(rows: DataFrame, draw: int, similarity: float) -> DataFrame:
-    """(a, b): each shingle's sets with one of them, another one for each `draw`."""
-    star = F.min_by(F.struct("node", "n", "place", "part"), F.xxhash64("node", F.lit(draw)))
+def star_pairs(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each shingle's sets with one of them."""
+    star = F.min_by(F.struct("node", "n", "place", "part"), F.xxhash64("node"))
     stars = rows.groupBy("shingle").agg(star.alias("s")).select("shingle", "s.*")
     return ordered_pairs(rows.alias("x").join(stars.alias("y"), "shingle").where(reachable(similarity)))
 
@@ -328,16 +357,19 @@ def all_pairs(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): all sets of a shingle that are in different parts and may be similar.
 
     The sets of the shingle's largest part don't meet each other, so only the others are on one
-    side. A pair comes from the first shingle it shares, and only if its parities differ in no
-    more places than similar sets have shingles alone.
+    side, dealt to one task for each `PART` sets of the shingle. A pair comes from the first
+    shingle it shares, and only if its parities differ in no more places than similar sets have
+    shingles alone.
     """
     parts = rows.groupBy("shingle", "part").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("shingle").agg(F.max_by("part", F.struct("size", "part")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = parts.groupBy("shingle").agg(
+        F.max_by("part", F.struct("size", "part")).alias("largest"), F.count("*").alias("parts"), F.ceil(F.sum("size") / PART).cast("int").alias("salts")
+    ).where("parts > 1")
     before = W.partitionBy("node").orderBy("place").rowsBetween(-EARLIER, -1)
-    right = rows.join(mixed.select("shingle", "largest"), "shingle").withColumn("before", F.collect_list("shingle").over(before))
+    right = rows.join(mixed.select("shingle", "largest", "salts"), "shingle").withColumn("before", F.collect_list("shingle").over(before))
     right = right.join(sets.select("node", "parity"), "node")
-    left = right.where("part <> largest").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    right = right.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    left = right.where("part <> largest").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     once = (F.col("y.part") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
     apart = reduce(lambda p, q: p + q, (distance(F.get("x.parity", F.lit(i)), F.get("y.parity", F.lit(i))) for i in range(PARITY_BITS // 64)))
     # Sets that have d shingles alone share (n + m - d) / 2.
