@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import dates, text, urls
 from tidewire.operators import archive, cluster, evaluate, resolve, rollups, rules, state
-from tidewire.plans import profiles, queues  # noqa: F401 - they register their queries
+from tidewire.plans import libraries, people, profiles, queues  # noqa: F401 - they register their queries
 from tidewire.plans.registry import QUERIES, SQL, query, table  # noqa: F401
 from tidewire.sinks import outputs
 from tidewire.sources import feeds
@@ -183,13 +183,13 @@ def duplicate_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH o AS (SELECT user_id, max(ts) AS ts, max(value) AS value FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1),
-n AS (SELECT user_id, max(ts) AS ts, max(value) AS value FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND user_id % 3 <> 0 GROUP BY 1),
+n AS (SELECT user_id, max(ts) AS ts, max(value) AS value FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1),
 m AS (SELECT coalesce(n.user_id, o.user_id) AS user_id, least(coalesce(n.ts, o.ts), coalesce(o.ts, n.ts)) AS ts, coalesce(n.value, o.value) AS value FROM o FULL JOIN n ON o.user_id = n.user_id)
 SELECT * FROM m WHERE ts <= TIMESTAMP '2024-04-14 06:00:00' AND (user_id % 10 = 0 OR ts >= TIMESTAMP '2024-04-14' - INTERVAL 92 DAY)""")
 def archive_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, cut, now = table(spark, sf_dir, "events"), dates.instant("2024-01-15"), dates.instant("2024-04-14")
     last = lambda rows: rows.groupBy("user_id").agg(F.max("ts").alias("ts"), F.max("value").alias("value"))
-    old, new = last(events.where(F.col("ts") < cut)), last(events.where((F.col("ts") >= cut) & (F.col("user_id") % 3 != 0)))
+    old, new = last(events.where(F.col("ts") < cut)), last(events.where(F.col("ts") >= cut))
     merged = archive.upsert(old, new, "user_id", fresh_first=["value"], earliest=["ts"])
     return archive.retained(merged, F.col("ts"), now, F.col("user_id") % 10 == 0)
 
@@ -213,15 +213,15 @@ def backfill_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT c.c_custkey FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey
-LEFT JOIN (SELECT o_custkey, max(CASE WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'sent' END) AS status, count(*) AS attempts FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) o ON o.o_custkey = c.c_custkey
+LEFT JOIN (SELECT o_custkey, max(CASE WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'sent' END) AS status, count(*) AS attempts FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) o ON o.o_custkey = c.c_custkey
 WHERE c.c_acctbal > 0 AND (o.status IS NULL OR (o.status = 'failed' AND o.attempts < 3))""")
 def send_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer")
     people = customer.select("c_custkey", F.when(F.col("c_acctbal") > 0, "active").otherwise("pending").alias("status"))
     lists = customer.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("list"))
     status = F.max(F.when(F.col("o_orderstatus") == "F", "failed").otherwise("sent")).alias("status")
-    sends = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(status, F.count("*").alias("attempts")).withColumn("content_key", F.lit("c"))
-    return state.send_candidates(people, lists, sends, "c_custkey", "c", dates.instant("2024-01-01")).select("c_custkey")
+    sends = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("content_key")).agg(status, F.count("*").alias("attempts"))
+    return state.send_candidates(people, lists, sends, "c_custkey", "1-URGENT", dates.instant("2024-01-01")).select("c_custkey")
 
 
 @query("""
@@ -313,10 +313,10 @@ def miss_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", "user_id").join(keyed, "user_id").select("event_id", "reason")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'removed' WHEN o_orderkey % 7 = 0 THEN 'changed' END AS change FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 7 = 0""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'removed' ELSE 'changed' END AS change FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority = '5-LOW'""")
 def delta_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    new = old.where("o_orderkey % 11 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    old = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    new = old.where("o_orderstatus <> 'P'").withColumn("o_totalprice", F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
     return archive.changes(old, new, "o_orderkey")
 
 

@@ -50,10 +50,9 @@ def newest_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.newest_months(rows, "month", 6)
 
 
-@query("""WITH l AS (SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 50) SELECT event_id, row_number() OVER (ORDER BY CASE WHEN value < 35 THEN 0 ELSE 1 END, event_id)::INTEGER AS rank FROM l""")
+@query("""SELECT s_suppkey, row_number() OVER (ORDER BY CASE WHEN s_acctbal < 0 THEN 0 ELSE 1 END, s_suppkey)::INTEGER AS rank FROM supplier""")
 def alert_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = table(spark, sf_dir, "events").orderBy(F.col("ts").desc(), "event_id").limit(50)
-    return selection.leading(newest, F.col("value") < 35, "event_id").select("event_id", "rank")
+    return selection.leading(table(spark, sf_dir, "supplier"), F.col("s_acctbal") < 0, "s_suppkey").select("s_suppkey", "rank")
 
 
 @query("""WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank, count(*) OVER () AS n FROM customer)
@@ -85,12 +84,11 @@ def findings_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.findings_order(months).withColumn("turn", F.col("turn").cast("int"))
 
 
-@query("""WITH l AS (SELECT doc_id, lang, octet_length(encode(coalesce(text, ''))) AS size FROM documents WHERE lang IS NOT NULL ORDER BY doc_id LIMIT 80),
-s AS (SELECT *, sum(size) OVER (ORDER BY lang, doc_id ROWS UNBOUNDED PRECEDING) + 500 AS upto FROM l) SELECT doc_id, lang, size::BIGINT AS size FROM s WHERE upto <= 100000""")
+@query("""WITH l AS (SELECT item_id, item_id % 4 AS section, octet_length(encode(coalesce(text, ''))) AS size FROM benchmark),
+s AS (SELECT *, sum(size) OVER (ORDER BY section, item_id ROWS UNBOUNDED PRECEDING) + 500 AS upto FROM l) SELECT item_id, section, size::BIGINT AS size FROM s WHERE upto <= 9000""")
 def digest_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("lang IS NOT NULL").orderBy("doc_id").limit(80)
-    entries = rows.select("doc_id", "lang", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
-    return selection.within_bytes(entries, "lang", "doc_id", "size", 100_000, 500)
+    entries = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 4).alias("section"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+    return selection.within_bytes(entries, "section", "item_id", "size", 9_000, 500)
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-10')
