@@ -9,12 +9,14 @@ four steps, none of which gathers a document's copies:
 2. Segments are counted by run. Where two documents have a run, one carrier of each
    distinct segment, the least document that has it, goes on. Other holders of the
    segment repeat all its windows.
+   That is exact and leaves the index one copy of each segment, however often it stands.
 3. Carriers go to shards by their run. A shard's segments form one text of words, of
    which it builds an FM-index: the Burrows-Wheeler transform as a wavelet tree of bit
    vectors with rank counts. The shard's segments stream through backward search,
    which gives each word's interval of suffixes and the length of its match; the
    intervals of matches at or above the threshold tell the least document that has
-   that window.
+   that window. The segments of a run with more words than a shard are dealt to several
+   shards, and all of them stream through each: no shard's index grows with a hot run.
 4. A document's repeated intervals meet its text again, and are cut out.
 """
 
@@ -173,7 +175,6 @@ def segments(frame: DataFrame, window: int, gram: int) -> DataFrame:
 
     `frame` has id, key and text. Words [start, end) hold the segment's windows.
     """
-    low_bits = np.uint64((1 << 23) - 1)
     grams = window - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,14 +187,12 @@ def segments(frame: DataFrame, window: int, gram: int) -> DataFrame:
                 total = tw.prefix(found.hashes())
                 at = np.arange(n - gram + 1)
                 runs = tw.span(total, at, at + gram)
-                # The first of the least runs of each window: hash above, place below.
-                least = (runs & ~low_bits) | at.astype(np.uint64)
-                width = 1
+                # Where the least run of each window is, the first one of equal ones.
+                place, width = at, 1
                 while width < grams:
                     step = min(width, grams - width)
-                    least = np.minimum(least[:-step], least[step:])
+                    place = np.where(runs[place[step:]] < runs[place[:-step]], place[step:], place[:-step])
                     width += step
-                place = (least & low_bits).astype(np.int64)
                 row = found.row
                 valid = np.arange(len(place)) + window <= found.first[1:][row[: len(place)]]
                 opens = valid.copy()
@@ -217,9 +216,9 @@ def segments(frame: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def carried_words(holders: DataFrame) -> DataFrame:
-    """(run, seg, id, words): the word hashes of each segment that a text carries.
+    """(run, seg, parts, id, words): the word hashes of each segment that a text carries.
 
-    `holders` has id, text and `carried`, an array of (run, seg, start, end).
+    `holders` has id, text and `carried`, an array of (run, seg, parts, start, end).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,25 +233,29 @@ def carried_words(holders: DataFrame) -> DataFrame:
                 bounds = zip((base + parts.field("start").to_numpy()).tolist(), (base + parts.field("end").to_numpy()).tolist())
                 words = pa.array([hashes[a:b].tobytes() for a, b in bounds], pa.binary())
                 ids = batch.column(0).take(pa.array(own))
-                yield pa.RecordBatch.from_arrays([parts.field("run"), parts.field("seg"), ids, words], ["run", "seg", "id", "words"])
+                names = ["run", "seg", "parts"]
+                yield pa.RecordBatch.from_arrays([*(parts.field(c) for c in names), ids, words], [*names, "id", "words"])
 
     kind = holders.schema["id"].dataType.simpleString()
-    return holders.select("id", "text", "carried").mapInArrow(run, f"run long, seg long, id {kind}, words binary")
+    return holders.select("id", "text", "carried").mapInArrow(run, f"run long, seg long, parts int, id {kind}, words binary")
 
 
-def shard_matches(carried: DataFrame, window: int, shard_words: int = 1_500_000) -> DataFrame:
-    """(run, seg, spans): what of a carrier's segment stands in a document with a smaller id.
+#: Words of a shard, about.
+SHARD_WORDS = 1_500_000
 
-    Segments of one run meet in one task, in order of run; a task indexes and searches
-    them in shards of at least `shard_words` words that end where a run ends.
+
+def shard_matches(carried: DataFrame, window: int, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(run, seg, start, end): what of a carrier's segment stands in a document with a smaller id.
+
+    Segments of one part of a run meet in one task, in order; a task indexes and searches
+    them in shards of at least `shard_words` words that end where a part ends. Segments of a
+    run's other parts come after a part's own ones, and stream through its index in batches.
     """
 
-    def search(rows: list[pd.DataFrame]) -> pa.RecordBatch:
-        frame = pd.concat(rows, ignore_index=True)
+    def search(index: FMIndex, frame: pd.DataFrame) -> pa.RecordBatch:
         sizes = frame["words"].str.len().to_numpy() // 8
         words = np.frombuffer(b"".join(frame["words"]), np.uint64)
         owners = frame["id"].to_numpy()
-        index = FMIndex(words, sizes, owners, window)
         lane, start, least = index.matches(words, sizes)
         repeated = least < owners[lane]
         lane, start = lane[repeated], start[repeated]
@@ -263,39 +266,56 @@ def shard_matches(carried: DataFrame, window: int, shard_words: int = 1_500_000)
         opens[1:] = (lane[1:] != lane[:-1]) | (start[1:] > start[:-1] + window)
         heads = np.flatnonzero(opens)
         tails = np.append(heads[1:], len(lane)) - 1
-        found = pd.DataFrame({"lane": lane[heads], "start": start[heads], "end": start[tails] + window if len(heads) else start[:0]})
-        return pa.RecordBatch.from_arrays(
-            [pa.array(frame["run"].to_numpy()[found["lane"]]), pa.array(frame["seg"].to_numpy()[found["lane"]])]
-            + [pa.array(found[c].to_numpy(np.int32)) for c in ("start", "end")],
-            ["run", "seg", "start", "end"],
-        )
+        end = start[tails] + window if len(heads) else start[:0]
+        of = lane[heads]
+        columns = [pa.array(frame["run"].to_numpy()[of]), pa.array(frame["seg"].to_numpy()[of]), pa.array(start[heads].astype(np.int32)), pa.array(end.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, ["run", "seg", "start", "end"])
+
+    def build(frame: pd.DataFrame) -> FMIndex:
+        sizes = frame["words"].str.len().to_numpy() // 8
+        return FMIndex(np.frombuffer(b"".join(frame["words"]), np.uint64), sizes, frame["id"].to_numpy(), window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pd.DataFrame] = []
-        size = 0
+        size, index = 0, None
         for batch in batches:
-            frame = batch.to_pandas()
-            if frame.empty:
-                continue
-            if size >= shard_words:
-                # The held rows end with a run that may go on: it stays for the next shard.
-                last = held[-1]["run"].iloc[-1]
-                cut_at = frame["run"].searchsorted(last, side="right")
-                held.append(frame[:cut_at])
-                frame = frame[cut_at:]
-                if len(frame):
-                    yield search(held)
-                    held, size = [], 0
-            held.append(frame)
-            size += frame["words"].str.len().sum() // 8
+            whole = batch.to_pandas()
+            kinds = whole["own"].to_numpy()
+            for piece in np.split(np.arange(len(whole)), np.flatnonzero(kinds[1:] != kinds[:-1]) + 1):
+                frame = whole.iloc[piece]
+                if not len(frame):
+                    continue
+                if not frame["own"].iloc[0]:
+                    if held:
+                        shard = pd.concat(held, ignore_index=True)
+                        index, held, size = build(shard), [], 0
+                        yield search(index, shard)
+                    yield search(index, frame)
+                    continue
+                if size >= shard_words:
+                    # The held rows end with a part that may go on: it stays for the next shard.
+                    last = held[-1].iloc[-1]
+                    goes_on = (frame["run"].to_numpy() == last["run"]) & (frame["part"].to_numpy() == last["part"])
+                    held.append(frame[goes_on])
+                    frame = frame[~goes_on]
+                    if len(frame):
+                        shard = pd.concat(held, ignore_index=True)
+                        held, size = [], 0
+                        yield search(build(shard), shard)
+                held.append(frame)
+                size += int(frame["words"].str.len().sum()) // 8
         if held:
-            yield search(held)
+            shard = pd.concat(held, ignore_index=True)
+            yield search(build(shard), shard)
 
-    dealt = carried.repartition("run").sortWithinPartitions("run")
+    home = F.pmod(F.xxhash64("seg"), F.col("parts")).cast("int")
+    every = carried.withColumn("home", home).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    every = every.withColumn("own", F.col("part") == F.col("home")).select("run", "seg", "id", "words", "part", "own")
+    dealt = every.repartition("run", "part").sortWithinPartitions("run", "part", F.col("own").desc())
     return dealt.mapInArrow(run, "run long, seg long, start int, end int")
 
 
-def repeats(frame: DataFrame, window: int = 50, gram: int = 20) -> DataFrame:
+def repeats(frame: DataFrame, window: int = 50, gram: int = 20, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(id, key, spans): words of a document that repeat a document with a smaller id.
 
     `frame` has id, key (a hash of the text) and text. `spans` is an array of
@@ -305,12 +325,15 @@ def repeats(frame: DataFrame, window: int = 50, gram: int = 20) -> DataFrame:
     shared = every.groupBy("run").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("run")
     met = cut(every.join(shared, "run"))
     carriers = met.groupBy("run", "seg").agg(F.min(F.struct("id", "key", "start", "end")).alias("c"))
-    by_text = carriers.groupBy("c.id", "c.key").agg(F.collect_list(F.struct("run", "seg", "c.start", "c.end")).alias("carried"))
+    words = F.sum(F.col("c.end") - F.col("c.start"))
+    hot = carriers.groupBy("run").agg(F.ceil(words / shard_words).cast("int").alias("parts")).where("parts > 1")
+    placed = carriers.join(hot, "run", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    by_text = placed.groupBy("c.id", "c.key").agg(F.collect_list(F.struct("run", "seg", "parts", "c.start", "c.end")).alias("carried"))
     carried = carried_words(frame.join(by_text, ["id", "key"]))
     # Every holder but the carrier's document has all windows of the segment again.
     held = met.join(carriers.select("run", "seg", F.col("c.id").alias("carrier")), ["run", "seg"])
     copies = held.where("id > carrier").select("id", "key", "start", "end")
-    inside = shard_matches(carried, window).select("run", "seg", F.col("start").alias("low"), F.col("end").alias("high"))
+    inside = shard_matches(carried, window, shard_words).select("run", "seg", F.col("start").alias("low"), F.col("end").alias("high"))
     own = held.where("id = carrier").join(inside, ["run", "seg"])
     own = own.select("id", "key", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high")).alias("end"))
     spans = copies.union(own).groupBy("id", "key")
@@ -335,6 +358,7 @@ def dedup(
     gram: int = 20,
     texts: bool = True,
     carry: tuple[str, ...] = (),
+    shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
     """(id, key, n_words, n_removed, kept or kept_sha256) of each row of `frame`.
 
@@ -344,14 +368,16 @@ def dedup(
     starts in a document with a smaller id; windows are judged on the input. The words
     kept are joined by one space; with `texts` false only their SHA-256 is given.
 
-    A null or empty text has no words. Rows with a null id stay whole and take nothing
-    from others. Rows of one id are one document: they don't remove each other's words.
-    An empty table gives no rows; other columns are left out.
+    A null or empty text has no words; texts count whole, however long. Rows with a null id
+    stay whole and take nothing from others. Rows of one id are one document: they don't
+    remove each other's words; repeated rows have a row each. There are no ties: of equal
+    windows the document of the smallest id keeps its own. An empty table gives no rows;
+    other columns are left out.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = [F.struct(*carry).alias("row")] if carry else []
     rows = frame.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"), *own)
-    found = repeats(rows.where("id IS NOT NULL").select("id", "key", "text"), window, gram)
+    found = repeats(rows.where("id IS NOT NULL").select("id", "key", "text"), window, gram, shard_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -379,6 +405,8 @@ def apply(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", **re
     """The rows of `frame` with repeated passages cut out of the text.
 
     A text without repeats stays as it is; another is its kept words, joined by one space.
+    Nulls, empty and long texts, repeated rows and empty tables as in `dedup`; columns may
+    have any name.
     """
     others = tuple(c for c in frame.columns if c != text_col)
     found = dedup(frame, id_col, text_col, carry=(*others, text_col), **removal)
