@@ -139,14 +139,18 @@ def learn(
     max_rules: int = 8,
     max_conditions: int = 3,
     cuts: int = 24,
+    positive_cuts: int = 12,
     precision: float = 0.9,
 ) -> list[Rule]:
     """Rules for rows of statistics whose column `bad` is true.
 
-    All labelled rows count; null labels don't. What reaches the driver is a count per
-    statistic, threshold and label, which doesn't grow with the rows. A third of the
-    rows, by id, prunes rules. A rule stays if the share `precision` of what it covers
-    there is bad. Without rows of both kinds there are no rules.
+    All labelled rows count; null labels don't. Thresholds lie midway between neighbouring
+    quantiles of either kind's values, and of its positive values, for a statistic that is
+    mostly 0 has no other small ones. What reaches the driver is a count per statistic, threshold and label, which
+    doesn't grow with the rows. A third of the rows, by id, prunes rules. A rule stays if
+    the share `precision` of what it covers there is bad. Of conditions that gain the same
+    the first one by statistic and threshold is taken. Without rows of both kinds there are
+    no rules.
     """
     known = labelled.where(F.col(bad).isNotNull())
     ratios = known.select(
@@ -155,10 +159,13 @@ def learn(
         *(F.expr(f"CAST({sql} AS DOUBLE)").alias(name) for name, sql in RATIOS.items()),
     )
     at = [i / cuts for i in range(cuts + 1)]
-    quantiles = ratios.groupBy("bad").agg(*(F.percentile_approx(name, at, 1000).alias(name) for name in RATIOS)).collect()
+    above = [i / positive_cuts for i in range(positive_cuts + 1)]
+    positive = (F.percentile_approx(F.when(F.col(name) > 0, F.col(name)), above, 1000).alias(f"{name}_above") for name in RATIOS)
+    quantiles = ratios.groupBy("bad").agg(*(F.percentile_approx(name, at, 1000).alias(name) for name in RATIOS), *positive).collect()
     if len(quantiles) < 2:
         return []
-    thresholds = {name: sorted({x for row in quantiles for x in row[name] or ()}) for name in RATIOS}
+    values = {name: sorted({x for row in quantiles for c in (name, f"{name}_above") for x in row[c] or ()}) for name in RATIOS}
+    thresholds = {name: [(a + b) / 2 for a, b in zip(v, v[1:])] for name, v in values.items()}
 
     def bin_of(name: str) -> Column:
         # Thresholds below the value; null has a bin of its own, which no condition meets.
@@ -202,11 +209,11 @@ def learn(
         return found
 
     rules: list[Rule] = []
-    left = rows
+    left = growing = rows
     for _ in range(max_rules):
         conditions: tuple[Condition, ...] = ()
-        growing = left.where(~F.col("prune"))
-        while len(conditions) < max_conditions and (found := best(growing.where(meets(conditions)))):
+        grown = growing.where(~F.col("prune"))
+        while len(conditions) < max_conditions and (found := best(grown.where(meets(conditions)))):
             conditions += (found,)
         if not conditions:
             break
@@ -215,14 +222,13 @@ def learn(
         sums = [F.sum(F.when(part & (F.col("bad") == want), F.col("n")).otherwise(0)) for part in parts for want in (True, False)]
         counts = [x or 0 for x in left.where("prune").agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()]
         scored = [((x - y) / (x + y), x, -i) for i, (x, y) in enumerate(zip(counts[::2], counts[1::2])) if x + y]
-        if not scored:
-            break
-        worth, covered, i = max(scored)
-        if covered < 2 or (worth + 1) / 2 < precision:
-            break
+        worth, covered, i = max(scored, default=(-1.0, 0, -len(conditions) + 1))
         rule = Rule(conditions[: 1 - i])
-        rules.append(rule)
-        left = left.where(~meets(rule.conditions))
+        # What a rule covers grows no other one, though the rule itself stays only if it is precise.
+        growing = growing.where(~meets(rule.conditions))
+        if covered >= 2 and (worth + 1) / 2 >= precision:
+            rules.append(rule)
+            left = left.where(~meets(rule.conditions))
     return rules
 
 
@@ -248,7 +254,11 @@ def judge(
 
 
 def keep(frame: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **learning: float) -> DataFrame:
-    """The rows of `frame` that `judge` keeps, as they are."""
+    """The rows of `frame` that `judge` keeps, as they are, with all their columns.
+
+    Rows meet their verdict by id and text, so null ids and repeated rows get the one of
+    their own text; null, empty and long texts as in `statistics`. Columns may have any name.
+    """
     found, _ = judge(frame, labels, id_col, text_col, **learning)
     kept = found.where("kept").select(F.col("id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
     same = F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("kept_key"))
