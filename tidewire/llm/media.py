@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -21,6 +22,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+class Value(bytes):
+    """Bytes that find each mark that validators look for once, however many signatures they have."""
+
+    def places(self, mark: bytes) -> list[int]:
+        known = self.__dict__.setdefault("marks", {})
+        if mark not in known:
+            known[mark], at = [], self.find(mark)
+            while at >= 0:
+                known[mark].append(at)
+                at = self.find(mark, at + 1)
+        return known[mark]
+
+    def after(self, mark: bytes, at: int) -> list[int]:
+        """Places of a mark from `at` on."""
+        found = self.places(mark)
+        return found[bisect_left(found, at) :]
+
+    def between(self, mark: bytes, start: int, end: int) -> bool:
+        found = self.places(mark)
+        i = bisect_left(found, start)
+        return i < len(found) and found[i] + len(mark) <= end
+
+
 def png(data: bytes, at: int) -> int:
     """Length of a PNG file at `at`, 0 if none: chunks with right checksums up to IEND."""
     place, seen = at + 8, False
@@ -111,18 +135,20 @@ def riff(kind: bytes) -> Callable[[bytes, int], int]:
     return length
 
 
-def pdf(data: bytes, at: int) -> int:
-    """Length of a PDF file: its first %%EOF that a startxref stands before."""
+def pdf(data: Value, at: int) -> int:
+    """Length of a PDF file: its first %%EOF, if a startxref stands before that."""
     if not data[at + 5 : at + 6].isdigit():
         return 0
-    end = data.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and data.rfind(b"startxref", at, end) > 0 else 0
+    found = data.places(b"%%EOF")
+    i = bisect_left(found, at)
+    return found[i] + 5 - at if i < len(found) and data.between(b"startxref", at, found[i]) else 0
 
 
-def archive(data: bytes, at: int) -> int:
+def archive(data: Value, at: int) -> int:
     """Length of a ZIP file: its end record's directory lies where it says, and starts at an entry."""
-    end = at
-    while (end := data.find(b"PK\x05\x06", end + 1)) >= 0 and end + 22 <= len(data):
+    for end in data.after(b"PK\x05\x06", at):
+        if end + 22 > len(data):
+            break
         size, offset, comment = struct.unpack_from("<IIH", data, end + 12)
         if at + offset + size == end and data[at + offset : at + offset + 4] == b"PK\x01\x02" and end + 22 + comment <= len(data):
             return end + 22 + comment - at
@@ -155,7 +181,7 @@ def flac(data: bytes, at: int) -> int:
 
 
 #: Magic bytes, type and validator of each format. Fixed values.
-FORMATS: tuple[tuple[bytes, str, Callable[[bytes, int], int]], ...] = (
+FORMATS: tuple[tuple[bytes, str, Callable[[Value, int], int]], ...] = (
     (b"\x89PNG\r\n\x1a\n", "image/png", png),
     (b"\xff\xd8\xff", "image/jpeg", jpeg),
     (b"GIF87a", "image/gif", gif),
@@ -181,13 +207,18 @@ def automaton() -> ahocorasick.Automaton:
 
 def find(data: bytes) -> list[tuple[str, int, int]]:
     """(type, start, length) of the valid media in `data`, those inside others too, by start."""
-    out = []
+    value, out = Value(data), []
     for last, (size, formats) in automaton().iter(data.decode("latin-1")):
         at = last + 1 - size
-        out += [(kind, at, n) for kind, check in formats if (n := check(data, at))]
+        out += [(kind, at, n) for kind, check in formats if (n := check(value, at))]
     return out
 
 
+def carve(data: bytes, start: int, length: int) -> bytes:
+    """The media that `find` found at `start`."""
+    return data[start : start + length]
+
+
 def sniff(
     frame: DataFrame, id_col: str = "id", data_col: str = "data", type_col: str | None = None
 ) -> DataFrame:
@@ -211,7 +242,7 @@ def sniff(
                 sizes.append(len(data))
                 inside.append(
                     [
-                        {"type": kind, "start": at, "length": n, "sha256": hashlib.sha256(data[at : at + n]).hexdigest()}
+                        {"type": kind, "start": at, "length": n, "sha256": hashlib.sha256(carve(data, at, n)).hexdigest()}
                         for kind, at, n in media
                         if at
                     ]
@@ -237,6 +268,8 @@ def plain(data: bytes) -> str | None:
     return "application/octet-stream" if any(c in data for c in b"\x00\x01\x02\x03\x04\x05\x06\x07\x0e") else "text/plain"
 
 
+#: What stored files are declared to be.
+DECLARED = "application/octet-stream"
 #: Width of stored bitmaps in samples; rows of this width need no filling up.
 WIDTH = 192
 
@@ -263,9 +296,11 @@ def stored(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     multiple of `WIDTH`. The file is declared to be of no known type; its validated
     signature corrects that and gives its length, and the samples are read from what
     was found. Returns (id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature): `feature` tells the type, the bitmap's shape
-    and depth, the mean sample, and the number of media inside. Equal texts give equal
-    values. Null ids and repeated rows stay, an empty table gives no rows.
+    media_bytes, media_sha256, feature, declared, type, embedded): `feature` tells the
+    bitmap's shape and depth, the mean sample, and the number of media inside; `type`
+    corrects `declared`, and `embedded` counts media that the text itself carries. Equal
+    texts give equal values. Null ids and repeated rows stay, an empty table gives no
+    rows, texts are stored whole, however long; other columns are left out.
     """
 
     def one(text: str | None) -> tuple:
@@ -273,22 +308,22 @@ def stored(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         file = bitmap(raw + b" " * (WIDTH - len(raw) if not raw else -len(raw) % WIDTH))
         media = find(file)
         kind, start, length = next(m for m in media if m[1] == 0)
-        payload = bitmap_samples(file[start : start + length])
+        payload = bitmap_samples(carve(file, start, length))
         mean = sum(payload) // len(payload)
         feature = f"{kind};{WIDTH}x{len(payload) // WIDTH}x8;mean={mean};inside={len(media) - 1}"
         return (
             *(len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])),
-            *(len(file), hashlib.sha256(file).hexdigest(), feature),
+            *(len(file), hashlib.sha256(file).hexdigest(), feature, DECLARED, kind, len(media) - 1),
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = list(zip(*(one(t.as_py()) for t in batch.column(1)), strict=True)) or [[]] * 7
+            made = list(zip(*(one(t.as_py()) for t in batch.column(1)), strict=True)) or [[]] * len(names)
             columns = [pa.array(values, kind) for values, kind in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *names])
 
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "declared", "type", "embedded"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
     rows = frame.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     types = ["string" if k == pa.string() else "long" for k in kinds]
     schema = ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True))
