@@ -46,54 +46,40 @@ def bucketed(frame: DataFrame, key: str) -> DataFrame:
     return spark.table(name)
 
 
+#: Edges that a task of `components` takes, about.
+EDGES = 250_000
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
     """Component of each node that has an edge: (node, root), root its least node.
 
     Alternating large-star and small-star steps: each step is one aggregate over the
     edges, and their number falls quickly, so nothing but edge counts reaches the
     driver. A node's neighbours are reduced to their minimum by aggregation, never
-    gathered. Self loops and edges with a null end are ignored. A frame without
-    edges has no nodes.
+    gathered. What a round leaves is written in as many parts as its edges need. Self
+    loops and edges with a null end are ignored. A frame without edges has no nodes.
     """
+
+    def parts(n: int) -> int:
+        return max(1, -(-n // EDGES))
+
     kept = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b")
     now = cut(kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if now.isEmpty():
+    n = now.count()
+    if not n:
         return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    seen = None
+    now, seen = now.coalesce(parts(n)), None
     for _ in range(max_rounds):
         # Large star: each node's larger neighbours go to the least of it and its neighbours.
-        both = now.union(now.select(F.col("b"), F.col("a")))
+        both = now.union(now.select(F.col("b"), F.col("a"))).coalesce(parts(2 * n))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         # Small star: a node and its smaller neighbours go to the least of these.
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
-        now = cut(small.where("a <> b").distinct())
+        now = cut(small.where("a <> b").distinct().coalesce(parts(n)))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        seen = state
+        seen, n = state, state[0]
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def dense_components(edges: DataFrame, left: str = "a", right: str = "b", max_phases: int = 30) -> DataFrame:
-    """As `components`, for edges that are many times their nodes: (node, root) of each node.
-
-    Each node hooks to its least neighbour, if that is smaller; the hooks' components, found
-    over as many edges as there are nodes at most, become single nodes, and only edges
-    between different ones go on. No edge is dropped that joins what isn't joined yet.
-    """
-    kept = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b")
-    now = cut(kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = now.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
-    for _ in range(max_phases):
-        if now.isEmpty():
-            return labels
-        hooks = now.groupBy("b").agg(F.min("a").alias("a"))
-        roots = components(hooks)
-        up = roots.select(F.col("node").alias("n"), F.col("root").alias("r"))
-        moved = now.join(up, F.col("a") == F.col("n"), "left").select(F.coalesce("r", "a").alias("x"), "b")
-        moved = moved.join(up, F.col("b") == F.col("n"), "left").select("x", F.coalesce("r", "b").alias("y")).where("x <> y")
-        labels = cut(labels.join(up, F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root")))
-        now = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    raise RuntimeError(f"components did not settle in {max_phases} phases")

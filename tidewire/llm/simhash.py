@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewire.llm.cluster import bucketed, components, cut, dense_components
+from tidewire.llm.cluster import bucketed, components, cut
 
 #: Bits of a fingerprint.
 BITS = 64
@@ -273,13 +273,13 @@ def near_copies(
     always link, so those that are equal but for case and white space, and null and empty
     ones with each other.
 
-    Fingerprints of the sets and their pivot tables first bring most copies together, each set
-    with the least one near it. Whatever they miss is met exactly: with a text's shingles in
-    order of how many texts have them, one of the first n - ceil(similarity * n) + 1 is among
-    the other's first ones. Texts meet on these, and where so many shingles are left behind
-    the first they share that the similarity can be reached. A large group of copies would
-    meet in the square of its size; so each shingle's texts first meet a single one of them,
-    which joins the group, and then only texts that are not joined yet meet.
+    Fingerprints of the sets and their pivot tables bring most copies together, each set with
+    the least one near it. Whatever they miss is met exactly: with a text's shingles in order of
+    how many texts have them, one of the first n - ceil(similarity * n) + 1 is among the other's
+    first ones. Texts meet on these, and where so many shingles are left behind the first they
+    share that the similarity can be reached. A large group of copies would meet in the square
+    of its size; so each shingle's texts first meet a single one of them, which joins the group,
+    and then only texts that are not joined yet meet.
 
     Rows without an id are left out; repeated rows have a row each. Texts count whole, however
     long. An empty table gives no rows; other columns are left out. There are no ties: a
@@ -299,19 +299,25 @@ def near_copies(
     sets = shingle_sets(texts, shingle).repartition(parts, "node").join(likely.select("node"), "node", "left_semi")
     sets = bucketed(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "print", "shingles", "parity"))), "node")
 
-    links = cut(similar(pivot_pairs(sets), sets, similarity))
     first = cut(prefixes(sets, similarity))
-    for meet in (star_pairs, all_pairs):
-        labels = cut(dense_components(links)).select(F.col("node").alias("k"), "root")
-        labelled = first.join(labels, F.col("node") == F.col("k"), "left").select(*first.columns, F.coalesce("root", "node").alias("part"))
-        links = cut(links.union(similar(meet(labelled, sets, similarity), sets, similarity)))
-    labels = cut(dense_components(links))
-    rooted = nodes.select("node", "least").join(labels, "node", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "node"))
+    alone = first.withColumn("part", F.col("node"))
+    links = similar(pivot_pairs(sets).union(star_pairs(alone, similarity)).distinct(), sets, similarity)
+    labels = cut(components(links))
+    labelled = with_root(first, "node", labels, "part")
+    more = similar(all_pairs(labelled, sets, similarity), sets, similarity)
+    # What still links is joined on the level of the groups that there are.
+    higher = cut(components(with_root(with_root(more, "a", labels, "x"), "b", labels, "y"), "x", "y"))
+    rooted = with_root(with_root(nodes.select("node", "least"), "node", labels, "low"), "low", higher, "root")
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
     return rows.select("id", "node").join(rooted.join(named, "root").select("node", "component"), "node").select("id", "component")
 
 
+def with_root(frame: DataFrame, node: str, labels: DataFrame, out: str) -> DataFrame:
+    """The frame with the root of each row's `node`, itself where it has none."""
+    known = labels.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    return frame.join(known, F.col(node) == F.col("_node"), "left").withColumn(out, F.coalesce("_root", node)).drop("_node", "_root")
+
+
 def pivot_pairs(sets: DataFrame) -> DataFrame:
     """(a, b): each set with one of its fingerprint, and one set of each fingerprint with the least near it."""
     prints = sets.groupBy("print").agg(F.min("node").alias("first"))
@@ -346,7 +352,7 @@ def ordered_pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def star_pairs(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     """(a, b): each shingle's sets with one of them."""
     star = F.min_by(F.struct("node", "n", "place", "part"), F.xxhash64("node"))
     stars = rows.groupBy("shingle").agg(star.alias("s")).select("shingle", "s.*")
