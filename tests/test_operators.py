@@ -86,8 +86,56 @@ def test_votes_ties(spark):
 
 def test_average_linkage_stops_at_half(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (4, 5)], "a int, b int")
-    found = {r["id"]: r["group"] for r in cluster.average_linkage(links, cluster.components(links)).collect()}
-    assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+    sizes = spark.createDataFrame([(i, 1) for i in range(1, 6)], "id int, n int")
+    found = {r["id"]: r["group"] for r in cluster.average_linkage(links, sizes).collect()}
+    # Either end of the chain may go with its middle, but not both.
+    assert found in ({1: 1, 2: 1, 3: 3, 4: 4, 5: 4}, {1: 1, 2: 2, 3: 2, 4: 4, 5: 4})
+
+
+def test_average_linkage_is_that_of_single_merges(spark):
+    import random
+
+    draw = random.Random(5)
+    n = 45
+    links = [(a, b) for a in range(n) for b in range(a + 1, n) if draw.random() < (0.75 if a // 9 == b // 9 else 0.04)]
+    weight = {i: draw.randrange(1, 4) for i in range(n)}
+    every = spark.createDataFrame([(a, b) for a in range(n) for b in range(a + 1, n)], "a long, b long")
+    digest = {(r["a"], r["b"]): r["h"] for r in every.select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    linked = set(links)
+    around = {i: frozenset({i} | {b for a, b in linked if a == i} | {a for a, b in linked if b == i}) for i in range(n)}
+    groups = {}
+    for i in range(n):
+        groups.setdefault(next(j for j in range(n) if around[j] == around[i]), []).append(i)
+    while True:
+        best = None
+        for a in groups:
+            for b in groups:
+                if a < b:
+                    count = sum(weight[x] * weight[y] for x in groups[a] for y in groups[b] if (min(x, y), max(x, y)) in linked)
+                    size = sum(weight[x] for x in groups[a]) * sum(weight[y] for y in groups[b])
+                    if count / size > 0.5:
+                        best = max(best or (0,), (count / size, digest[a, b], a, b))
+        if best is None:
+            break
+        groups[best[2]] += groups.pop(best[3])
+    want = {x: g for g, members in groups.items() for x in members}
+    sizes = spark.createDataFrame(list(weight.items()), "id long, n long")
+    found = {r["id"]: r["group"] for r in cluster.average_linkage(spark.createDataFrame(links, "a long, b long"), sizes).collect()}
+    assert found == {i: want[i] for i in found} and len(set(found.values())) < 20
+
+
+def test_years_blank_outlets_and_word_endings(spark):
+    row = spark.range(1).select(text.story_terms(F.lit("Enrolled enrollees' enrollment under the Affordable Care Act: 1,200 people")).alias("t")).first()["t"]
+    assert row[0] == row[1] == row[2] == "enrol" and "aca" in row and "1200" in row
+    rows = [
+        (1, "Ferry harbour opens new pier 2026", "Mayor cuts ribbon 2026", "", 0),
+        (2, "Ferry harbour closes old berth 2026", "Engineers warn rust 2026", "", 1),
+        (3, "Orchard frost ruins apples - The Paper", "Growers count losses", "", 2),
+        (4, "Orchard frost ruins apples", "Growers count losses now", "", 3),
+    ]
+    frame = spark.createDataFrame([(*r[:4], datetime(2026, 1, 1 + r[4] // 3), "n") for r in rows], "id long, title string, text string, outlet string, at timestamp, block string")
+    found = {r["id"]: r["group"] for r in cluster.groups(frame, "id", "title", "text", "at", "outlet", "block", F.lit(False)).collect()}
+    assert found == {1: 1, 2: 2, 3: 3, 4: 3}
 
 
 def test_feeds(spark):

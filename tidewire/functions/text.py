@@ -218,15 +218,14 @@ def title_key(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", " "))
 
 
-#: Endings that `stem` takes off, longest first.
-ENDINGS = ("ations", "ation", "ments", "ment", "ings", "ing", "ies", "ers", "er", "ed", "es", "s")
+#: Endings that `stem` takes off. Fixed values.
+ENDINGS = ("ment", "ments", "ee", "ees", "ing", "ed", "er", "ers", "ies", "es", "s")
 
 
 def stem(word: Column) -> Column:
-    """A word without one usual ending, and then without a doubled last letter."""
-    bare = F.regexp_replace(word, rf"(?<=...)(?:{'|'.join(ENDINGS)})$", "")
-    once = F.regexp_replace(bare, r"([a-z])\1$", "$1")
-    return F.when((F.length(word) > 4) & ~word.rlike(r"\d"), once).otherwise(word)
+    """A word without one usual ending, and then without a doubled last letter; numbers and words of four letters stay."""
+    bare = F.regexp_replace(word, rf"(?:{'|'.join(sorted(ENDINGS, key=len, reverse=True))})$", "")
+    return F.when((F.length(word) > 4) & ~word.rlike(r"^\d"), F.regexp_replace(bare, r"(.)\1$", "$1")).otherwise(word)
 
 
 def plain_numbers(text: Column) -> Column:
@@ -242,13 +241,29 @@ def plain_numbers(text: Column) -> Column:
 
 #: Words that tell stories apart too little. Fixed values.
 STOP_WORDS = (
-    "a an and are as at be been but by for from had has have he her his how in into is it its more new not of on or our out over say said "
-    "she so than that the their them there they this to up was we were what when which who will with would you your"
+    "a about after again against all also am an and any are as at be because been before being between both but by can could did do does doing down during each few for from "
+    "further had has have having he her here hers him his how i if in into is it its just may me more most much must my new no nor not now of off on once only or other our out "
+    "over own per said same says she should so some such than that the their them then there these they this those through to too under until up us very was we were what when "
+    "where which while who whom why will with would you your amid plans plan set sets expected report reports reportedly according announce announces announced latest week today "
+    "year years news"
 ).split()
+#: Names that are written in several ways, and one word for each. Fixed values.
+PHRASES = (
+    (r"\baffordable care act\b", " aca "),
+    (r"\bobamacare\b", " aca "),
+    (r"\bhealthcare\.gov\b", " aca "),
+    (r"\bcenters for medicare (?:and|&) medicaid services\b", " cms "),
+    (r"\bhealth and human services\b", " hhs "),
+    (r"\bblue cross (?:and|&) blue shield\b", " bcbs "),
+    (r"\bu\.s\.(?=\s|$)", " us "),
+)
 
 
-def story_terms(text: Column) -> Column:
-    """Terms of a text, repeats included: numbers written alike, no stop words, stemmed."""
-    lowered = F.regexp_replace(plain_numbers(F.lower(F.coalesce(text, F.lit("")))), "['’]s\\b", "")
+def story_terms(text: Column, phrases: Sequence[tuple[str, str]] = PHRASES) -> Column:
+    """Terms of a text, repeats included: phrases and numbers written alike, no stop words, stemmed."""
+    lowered = F.lower(clean(text))
+    for pattern, word in phrases:
+        lowered = F.regexp_replace(lowered, pattern, word)
+    lowered = F.regexp_replace(plain_numbers(lowered), "['’]s\\b", "")
     found = F.regexp_extract_all(lowered, F.lit(r"([a-z0-9]{2,})"), F.lit(1))
-    return F.transform(F.filter(found, lambda w: ~w.isin(*STOP_WORDS)), stem)
+    return F.filter(F.transform(F.filter(found, lambda w: ~w.isin(*STOP_WORDS)), stem), lambda w: F.length(w) > 1)

@@ -2,26 +2,44 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import overlap, story_terms
+from tidewire.functions.text import clean, overlap, story_terms
+from tidewire.operators.profile import bare_title
 
 
-def vectors(frame: DataFrame, identity: str, terms: Column) -> DataFrame:
-    """(id, term, w): (1 + ln tf) times ln((N + 1) / (df + 1)) + 1, scaled to length 1.
+def inverse_frequencies(frame: DataFrame, terms: Column, rows: Column | None = None) -> DataFrame:
+    """(term, idf): ln((N + 1) / (df + 1)) + 1 over rows, each of which stands for `rows` of them."""
+    each = F.lit(1) if rows is None else rows
+    n = frame.agg(F.sum(each).alias("n"))
+    told = frame.select(each.alias("k"), F.explode(F.array_distinct(terms)).alias("term"))
+    frequency = told.groupBy("term").agg(F.sum("k").alias("df")).crossJoin(F.broadcast(n))
+    return frequency.select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+def term_weights(counted: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """(id, term, w) of (id, term, tf): (1 + ln tf) times the term's idf, scaled to length 1 for each id."""
+    weighted = counted.join(frequencies, "term").withColumn("w", (F.log("tf") + 1) * F.col("idf"))
+    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weighted.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
+
+
+def vectors(frame: DataFrame, identity: str, terms: Column, frequencies: DataFrame | None = None) -> DataFrame:
+    """(id, term, w) of each row's terms; the frequencies are those of the frame unless given.
 
     Every table here is keyed by (id, term) or term; N is one number.
     """
     counted = frame.select(F.col(identity).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    n = frame.agg(F.count("*").alias("n"))
-    frequency = counted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
-    idf = frequency.select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weighted = counted.join(idf, "term").withColumn("w", (F.log("tf") + 1) * F.col("idf"))
-    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
+    return term_weights(counted, inverse_frequencies(frame, terms) if frequencies is None else frequencies)
+
+
+def cosine_search(queries: DataFrame, weights: DataFrame) -> DataFrame:
+    """(a, b, cosine) of each query with every other row that shares a term; both are (id, term, w), queries few."""
+    x = queries.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"))
+    y = weights.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
+    return x.join(y, "term").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
 
 
 def cosine_pairs(left: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -69,91 +87,93 @@ def related(same_outlet: Column, opinion: Column, title: Column, full: Column, f
     return F.when(same_outlet | opinion, title >= 0.8).otherwise(across)
 
 
-def average_linkage(links: DataFrame, parts: DataFrame, least: float = 0.5) -> DataFrame:
-    """(id, group): within each part, groups merged while the share of linked pairs between two is over `least`.
+def average_linkage(links: DataFrame, sizes: DataFrame, least: float = 0.5, max_rounds: int = 60) -> DataFrame:
+    """(id, group): groups merged while the share of linked pairs between two is over `least`, best first.
 
-    `links` has (a, b), `parts` (id, part) of every linked row; parts are connected
-    components of the links inside a time band, so that one is a story's size. Of equal
-    shares the pair of the least group ids merges first; a group is named by its least id.
+    `links` has (a, b), a < b; `sizes` has (id, n) of every linked row, which stands for n equal ones.
+    Rows with the same links, to each other too, are one group at once. Then in each round all
+    pairs of groups merge that are each other's best; of equal shares a pair's digest decides, so
+    that large groups merge in few rounds. A group is named by its least id. Links are counted
+    between groups by aggregation; no group is gathered.
+    """
+    checkpoint_folder(links.sparkSession)
+    x, y = (sizes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}")) for side in "ab")
+    now = links.join(x, "a").join(y, "b").select("a", "b", (F.col("na") * F.col("nb")).alias("n")).checkpoint()
+    members = sizes.select("id", F.col("id").alias("group"), "n").checkpoint()
+    both = links.select("a", "b").union(links.select("b", "a"))
+    digest = lambda c: F.xxhash64(c).cast("decimal(38,0)")
+    around = both.groupBy("a").agg(F.sum(digest("b")).alias("s"), F.count("*").alias("k")).withColumn("s", F.col("s") + digest("a"))
+    same = around.withColumn("into", F.min("a").over(W.partitionBy("s", "k")))
+    merged = same.where("into <> a").select("into", F.col("a").alias("from")).checkpoint()
+    for _ in range(max_rounds):
+        members = members.join(merged, F.col("group") == F.col("from"), "left").select("id", F.coalesce("into", "group").alias("group"), "n").checkpoint()
+        moved = now.join(merged, F.col("a") == F.col("from"), "left").select(F.coalesce("into", "a").alias("a"), "b", "n")
+        moved = moved.join(merged, F.col("b") == F.col("from"), "left").select("a", F.coalesce("into", "b").alias("b"), "n").where("a <> b")
+        now = moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("n")).checkpoint()
+        whole = members.groupBy("group").agg(F.sum("n").alias("size"))
+        x, y = (whole.select(F.col("group").alias(side), F.col("size").alias(f"n{side}")) for side in "ab")
+        close = now.join(x, "a").join(y, "b").withColumn("share", F.col("n") / (F.col("na") * F.col("nb"))).where(F.col("share") > least)
+        rank = F.struct("share", F.xxhash64("a", "b").alias("h"), "a", "b")
+        ends = close.select(F.explode(F.array("a", "b")).alias("end"), rank.alias("rank"))
+        best = ends.groupBy("end").agg(F.max("rank").alias("rank"))
+        merged = best.groupBy("rank.a", "rank.b").agg(F.count("*").alias("k")).where("k = 2").select(F.col("a").alias("into"), F.col("b").alias("from")).checkpoint()
+        if merged.isEmpty():
+            return members.select("id", "group")
+    raise RuntimeError(f"groups did not settle in {max_rounds} rounds")
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: the one set, or the one that `spark.checkpoint.dir` names.
+
+    Only a session on this machine alone, as in tests, gets a folder of this machine where none is named.
     """
-    both = links.join(parts.select(F.col("id").alias("a"), "part"), "a")
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        groups = {i: {i} for i in sorted({*rows["a"], *rows["b"]})}
-        between: dict[tuple, int] = {}
-        for a, b in zip(rows["a"], rows["b"]):
-            between[min(a, b), max(a, b)] = 1
-        while between:
-            share, pair = max(((n / (len(groups[p[0]]) * len(groups[p[1]])), p) for p, n in between.items()), key=lambda x: (x[0], tuple(-v for v in x[1])))
-            if share <= least:
-                break
-            low, high = pair
-            groups[low] |= groups.pop(high)
-            moved: dict[tuple, int] = {}
-            for (a, b), n in between.items():
-                a, b = (low if x == high else x for x in (a, b))
-                if a != b:
-                    moved[min(a, b), max(a, b)] = moved.get((min(a, b), max(a, b)), 0) + n
-            between = moved
-        return pd.DataFrame([(i, g) for g, ids in groups.items() for i in ids], columns=["id", "group"])
-
-    kind = parts.schema["id"].dataType.simpleString()
-    return both.groupBy("part").applyInPandas(merge, f"id {kind}, group {kind}")
-
-
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, part): the least id that edges (a, b) reach, by repeated minima over neighbours and pointer jumps."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    if both.isEmpty():
-        return both.select(F.col("a").alias("id"), F.col("b").alias("part"))
-    checkpointed(edges)
-    both = both.checkpoint()
-    now = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("part"))
-    before = None
-    for _ in range(rounds):
-        spread = both.join(now, F.col("b") == F.col("id")).groupBy("a").agg(F.min("part").alias("m"))
-        least = now.join(spread, F.col("id") == F.col("a")).select("id", F.least("part", "m").alias("part"))
-        up = least.select(F.col("id").alias("up"), F.col("part").alias("next"))
-        now = least.join(up, F.col("part") == F.col("up"), "left").select("id", F.least("part", F.coalesce("next", "part")).alias("part")).checkpoint()
-        total = now.agg(F.sum(F.xxhash64("id", "part").cast("decimal(38,0)"))).first()[0]
-        if total == before:
-            return now
-        before = total
-    raise RuntimeError("components did not settle")
-
-
-def checkpointed(frame: DataFrame) -> None:
-    """Set the checkpoint folder that the session names; one of this machine only where none is named."""
-    context = frame.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+        context.setCheckpointDir(named or tempfile.mkdtemp())
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def groups(frame: DataFrame, identity: str, title: str, text: str, at: str, outlet: str, block: str, opinion: Column, days: int = 3) -> DataFrame:
     """(id, group) of each row: related stories within a block and `days` days, others by themselves.
 
-    Titles count twice in the text. Rows without a date are groups of their own.
+    Titles count twice in the text, without the outlet at their end. Rows without a date are
+    groups of their own. Rows of one block, time and outlet whose terms are equal are one
+    story from the start, and stand in one row from there on.
     """
-    base = frame.select(F.col(identity).alias("id"), F.col(title).alias("title"), F.col(text).alias("body"), F.col(at).alias("at"), F.col(outlet).alias("outlet"), F.col(block).alias("block"), opinion.alias("opinion"))
-    dated = base.where("at IS NOT NULL").withColumns({"full": story_terms(F.concat_ws(" ", "title", "title", "body")), "own": story_terms(F.col("title"))})
+    base = frame.select(F.col(identity).alias("id"), F.col(title).alias("title"), F.col(text).alias("body"), F.col(at).alias("at"), F.lower(clean(F.col(outlet))).alias("outlet"), F.col(block).alias("block"), opinion.alias("opinion"))
+    own = story_terms(bare_title(F.col("title")))
+    dated = base.where("at IS NOT NULL").withColumns({"own": own, "full": F.concat(own, own, story_terms(F.col("body")))})
+    # Equal rows without a title are not related by it: each stays its own.
+    key = F.xxhash64("block", "at", "outlet", "opinion", "own", "full", F.when(F.size("own") == 0, F.col("id")))
+    checkpoint_folder(frame.sparkSession)
     # Term columns are long expressions: they are computed once, and plans stay short.
-    checkpointed(dated)
-    dated = dated.drop("title", "body").checkpoint()
-    full, own = (vectors(dated, "id", F.col(c)).checkpoint() for c in ("full", "own"))
+    dated = dated.select("id", "at", "outlet", "block", "opinion", "own", "full", key.alias("key")).checkpoint()
+    kept = ("at", "outlet", "block", "opinion", "own", "full")
+    rows = dated.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in kept)).checkpoint()
+    frequencies = inverse_frequencies(rows, F.col("full"), F.col("rows")).checkpoint()
+    full, own = (vectors(rows, "id", F.col(c), frequencies).checkpoint() for c in ("full", "own"))
     # What `related` links has at least one of these cosines, in text or in title.
     terms = leading(full, LEAST_FULL).union(leading(own, LEAST_TITLE).select("id", F.concat(F.lit("title "), "term")))
-    pairs = band_pairs(dated, "id", "at", days, "block", terms).checkpoint()
+    pairs = band_pairs(rows, "id", "at", days, "block", terms).checkpoint()
     scored = cosine_pairs(full, pairs).withColumnRenamed("cosine", "full_cosine")
     scored = cosine_pairs(own, scored).withColumnRenamed("cosine", "title_cosine")
-    figures = F.filter("full", lambda t: t.rlike(r"^\d{3,}$"))
-    side = dated.select("id", "outlet", "opinion", figures.alias("figures"))
+    # Years are too common to tell stories apart.
+    figures = F.filter("full", lambda t: t.rlike(r"^\d{3,}$") & ~t.rlike(r"^(?:19|20)\d\d$"))
+    side = rows.select("id", "outlet", "opinion", figures.alias("figures"))
     x = scored.join(side.toDF("a", "xo", "xp", "xf"), "a").join(side.toDF("b", "yo", "yp", "yf"), "b")
-    links = x.where(related(F.col("xo") == F.col("yo"), F.col("xp") | F.col("yp"), F.col("title_cosine"), F.col("full_cosine"), F.arrays_overlap("xf", "yf"))).select("a", "b")
+    same_outlet = (F.col("xo") != "") & (F.col("xo") == F.col("yo"))
+    links = x.where(related(same_outlet, F.col("xp") | F.col("yp"), F.col("title_cosine"), F.col("full_cosine"), F.arrays_overlap("xf", "yf"))).select("a", "b")
     links = links.checkpoint()
-    found = average_linkage(links, components(links))
-    return base.select("id").join(found, "id", "left").select("id", F.coalesce("group", "id").alias("group"))
+    linked = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    found = average_linkage(links, rows.join(linked, "id", "left_semi").select("id", F.col("rows").alias("n")))
+    named = rows.select("key", F.col("id").alias("node")).join(found.withColumnRenamed("id", "node"), "node", "left").select("key", F.coalesce("group", "node").alias("group"))
+    placed = dated.select("id", "key").join(named, "key").select("id", "group")
+    return base.select("id").join(placed.distinct(), "id", "left").select("id", F.coalesce("group", "id").alias("group"))
 
 
 def nearest(queries: DataFrame, examples: DataFrame, query_id: str, query_terms: str, example_id: str, example_terms: str, most: int) -> DataFrame:
