@@ -124,18 +124,112 @@ def sections(frame: DataFrame, group: str, section: str, at: str, identity: str)
     return found.select(group, "x.section", "x.lead", "x.at", (F.col("n") - 1).alias("others"), "n")
 
 
-def stories(frame: DataFrame, rank: Column, group: str, title: str, identity: str, most: int = 3) -> DataFrame:
-    """The `most` best rows of different groups and titles.
+def members(frame: DataFrame, group: str, at: str, identity: str) -> DataFrame:
+    """The frame with `place` of each row in its story, newest first from 1, and `leads`: who leads it.
 
-    The best row of each group and then of each title is found by aggregation, so a
-    top-k over what is left is all that is sorted.
+    The rows after the first are the story's other reports; they stay rows, for a story may be of any size.
     """
-    ranked = frame.withColumn("rank", rank)
-    order = F.struct(F.col("rank"), F.col(identity))
-    row = F.struct(*(c for c in ranked.columns))
-    by_group = ranked.groupBy(F.coalesce(F.col(group).cast("string"), F.col(identity).cast("string"))).agg(F.max_by(row, order).alias("row")).select("row.*")
-    by_title = by_group.groupBy(F.lower(title)).agg(F.max_by(row, order).alias("row")).select("row.*")
-    return by_title.orderBy(F.col("rank").desc(), F.col(identity).desc()).limit(most)
+    order = F.struct(F.coalesce(F.col(at), F.lit("1970-01-01").cast("timestamp")), F.col(identity))
+    lead = frame.groupBy(group).agg(F.max_by(identity, order).alias("leads"))
+    place = F.row_number().over(W.partitionBy(group).orderBy(F.col(at).desc_nulls_last(), F.col(identity).desc()))
+    return frame.withColumn("place", place).join(lead, group)
+
+
+def sort_time(published: Column, *others: Column) -> Column:
+    """The time by which a row is sorted: its publication, else the latest of its other known times, else the epoch."""
+    return F.coalesce(published, F.greatest(*others) if len(others) > 1 else others[0], F.lit("1970-01-01").cast("timestamp"))
+
+
+def stories(frame: DataFrame, rank: Column, group: str, title: str, identity: str, most: int = 3, by: str | None = None) -> DataFrame:
+    """The `most` best rows of different groups and titles, in all or for each value of `by`.
+
+    The best row is taken; rows of its group or title are out for the next one. A row without
+    a group is one of its own. So each of `most` rounds is an aggregation over what is left.
+    """
+    own = F.lit(0) if by is None else F.col(by)
+    left = frame.withColumns({"rank": rank, "_by": own, "_group": F.coalesce(F.col(group).cast("string"), F.concat(F.lit("row "), F.col(identity).cast("string"))), "_title": F.lower(title)})
+    picked = None
+    for turn in range(most):
+        best = left.groupBy("_by").agg(F.max_by(F.struct(*left.columns), F.struct("rank", identity)).alias("row")).select("row.*")
+        picked = best.withColumn("turn", F.lit(turn + 1)) if picked is None else picked.unionByName(best.withColumn("turn", F.lit(turn + 1)))
+        if turn + 1 < most:
+            taken = best.select("_by", F.col("_group").alias("_g"), F.col("_title").alias("_t"))
+            left = left.join(taken, "_by", "left").where("NOT (_group <=> _g) AND NOT (_title <=> _t)").drop("_g", "_t")
+    return picked.drop("_by", "_group", "_title")
+
+
+def header_counts(frame: DataFrame, relevant: str) -> DataFrame:
+    """(total, visible, rejected) in one row; rows without a verdict are visible."""
+    rejected = F.count_if(F.col(relevant) == F.lit(False))
+    return frame.agg(F.count("*").alias("total"), rejected.alias("rejected")).select("total", (F.col("total") - F.col("rejected")).alias("visible"), "rejected")
+
+
+def distinct_stories(frame: DataFrame, month: Column, *keys: str) -> DataFrame:
+    """(month, volume, stories): rows of each month, and how many stories they are by the first key that is there."""
+    story = F.coalesce(*(F.col(k).cast("string") for k in keys))
+    return frame.groupBy(month.alias("month")).agg(F.count("*").alias("volume"), F.count_distinct(story).alias("stories")).where("month IS NOT NULL")
+
+
+def whole_months(months: DataFrame, month: str, now: Column, days: int, start: Column) -> DataFrame:
+    """The months with `complete`: whether all of a month is still kept, `days` days back; `start` is its first instant."""
+    return months.withColumn("complete", F.coalesce(start >= now - F.make_dt_interval(F.lit(days)), F.lit(False)))
+
+
+def record_totals(state: DataFrame, live: DataFrame, month: str) -> DataFrame:
+    """The saved totals with those of months that are still complete; without any live row the state stays as it is."""
+    values = [c for c in state.columns if c != month]
+    fresh = live.where("complete").select(month, F.struct(*values).alias("_new"))
+    joined = state.select(month, F.struct(*values).alias("_old")).join(fresh, month, "full_outer")
+    return joined.select(month, F.coalesce("_new", "_old").alias("v")).select(month, "v.*")
+
+
+def volume_clause(volume: Column, prior: Column, name: Column, to_date: Column) -> Column:
+    """How a month's volume compares with the month before, in words."""
+    change = volume - prior
+    percent = percent_change(volume, prior)
+    share = F.when(percent.isNull(), F.lit("")).otherwise(F.concat(F.lit(" ("), F.abs(percent).cast("string"), F.lit("%)")))
+    moved = F.concat(F.when(change > 0, F.lit("up ")).otherwise("down "), F.abs(change).cast("string"), share, F.lit(" from "), prior.cast("string"), F.lit(" in "), name)
+    same = F.concat(F.lit("the same as the "), prior.cast("string"), F.lit(" in "), name)
+    return F.when(to_date, F.concat(F.lit("against "), prior.cast("string"), F.lit(" in all of "), name)).when(change == 0, same).otherwise(moved)
+
+
+def tone(net_value: Column, bound: float = 0.25) -> Column:
+    """A net value in words."""
+    return F.when(net_value > bound, "leaning favorable").when(net_value < -bound, "leaning unfavorable").when(net_value.isNotNull(), "close to neutral")
+
+
+def joined_list(values: Column) -> Column:
+    """Texts with commas, and before the last one."""
+    n = F.size(values)
+    head = F.array_join(F.slice(values, 1, F.greatest(n - 1, F.lit(0))), ", ")
+    return F.when(n <= 1, F.array_join(values, "")).otherwise(F.concat(head, F.lit(" and "), F.element_at(values, -1)))
+
+
+def summary(volume: Column, period: Column, clause: Column, scored: Column, net_value: Column, outlet: Column, outlet_count: Column) -> Column:
+    """A month in sentences: how many stories, how they compare, their tone, and who carried most of them."""
+
+    def plural(n: Column) -> Column:
+        return F.concat(n.cast("string"), F.when(n == 1, F.lit(" story")).otherwise(" stories"))
+
+    first = F.concat(F.lit("In "), period, F.lit(", "), plural(volume), F.when(volume == 1, F.lit(" was")).otherwise(" were"), F.lit(" found, "), clause, F.lit("."))
+    second = F.when(scored == 0, F.lit("None of these has been scored yet.")).otherwise(F.concat(F.lit("Net sentiment was "), F.format_string("%+.2f", net_value), F.lit(", "), tone(net_value), F.lit(".")))
+    third = F.when(outlet.isNotNull(), F.concat(outlet, F.lit(" carried the most coverage, with "), plural(outlet_count), F.lit(".")))
+    return F.when(volume == 0, first).otherwise(F.concat_ws(" ", first, second, third))
+
+
+def findings_input(frame: DataFrame, month: Column, group: str, at: str, identity: str, most: int = 40) -> DataFrame:
+    """(month, identity, place): the newest row of each story, the `most` newest stories of each month."""
+    story = F.coalesce(F.col(group).cast("string"), F.concat(F.lit("row "), F.col(identity).cast("string")))
+    rows = frame.withColumns({"month": month, "_story": story}).where("month IS NOT NULL")
+    newest = rows.groupBy("month", "_story").agg(F.max(F.struct(at, identity)).alias("x"))
+    place = F.row_number().over(W.partitionBy("month").orderBy(F.col(f"x.{at}").desc(), F.col(f"x.{identity}").desc()))
+    return newest.withColumn("place", place).where(F.col("place") <= most).select("month", f"x.{identity}", "place")
+
+
+def weekly_labels(stories_: DataFrame, line: str, at: str, label: str, labels: Sequence[str]) -> DataFrame:
+    """(line, week, scored, a count per label) over a storyline's frozen members; undated and unscored ones count nowhere."""
+    rows = stories_.where(F.col(at).isNotNull() & F.col(label).isin(*labels))
+    return rows.groupBy(line, dates.week_start(F.col(at)).alias("week")).agg(F.count("*").alias("scored"), *(F.count_if(F.col(label) == x).alias(f"n_{x}") for x in labels))
 
 
 def snapshot(state: DataFrame, live: DataFrame, key: str, complete: str) -> DataFrame:

@@ -167,30 +167,3 @@ def match_storylines(frame: DataFrame, definitions: DataFrame, key: str, texts:
     )
     found = rows.join(known, meets).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("position", "id"))).alias("found"))
     return found.select(F.col("key").alias(key), F.transform("found", lambda x: x["id"]).alias("storylines"))
-
-
-def quoted_people(frame: DataFrame, people: DataFrame, key: str, text_col: str, at: str) -> DataFrame:
-    """(key, name, title): people to whom a text attributes words, in a role that they held then.
-
-    `people` has name, aliases (array), title, since and until (dates or null); it is small
-    by contract. Words are attributed where a full name stands near a verb of saying, or a
-    surname does after the full name came up. Undated rows fit roles without bounds only.
-    """
-    says = r"(?:said|says|told|wrote|added|noted|explained|stated|argued|testified|according\s+to)"
-    gap = r"[^.!?]{0,90}"
-
-    def near(name: Column) -> Column:
-        quoted = F.concat(F.lit(r"(?i)(?:"), F.lit(says + gap), F.lit(r"\b"), name, F.lit(r"\b|\b"), name, F.lit(r"\b" + gap + r"\b" + says + r"\b)"))
-        return F.regexp_like("text", quoted)
-
-    rows = frame.select(F.col(key).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.to_date(F.col(at)).alias("day"))
-    plain = lambda x: F.regexp_replace(x, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-    known = people.withColumn("names", F.transform(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), plain))
-    known = known.withColumn("surname", plain(F.element_at(F.split("name", r"\s+"), -1)))
-    active = (F.col("since").isNull() | F.coalesce(F.col("day") >= F.col("since"), F.lit(False))) & (
-        F.col("until").isNull() | F.coalesce(F.col("day") <= F.col("until"), F.lit(False))
-    )
-    named = F.exists("names", lambda n: F.regexp_like("text", F.concat(F.lit(r"(?i)\b"), n, F.lit(r"\b"))))
-    attributed = F.exists("names", near) | ((F.length("surname") > 3) & near(F.col("surname")))
-    found = rows.join(F.broadcast(known), active & named & attributed)
-    return found.select(F.col("key").alias(key), "name", "title").distinct()

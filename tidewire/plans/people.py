@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions import dates
-from tidewire.operators import feedback, mail
+from tidewire.operators import feedback, mail, quotes
 from tidewire.plans.registry import query, table
 
 
@@ -185,3 +185,22 @@ def chosen_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("c_custkey") % 3
     given = F.when(kind == 0, F.array(*map(F.lit, (" Monthly", "digest", "DIGEST ")))).when(kind == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("digest"), F.lit("other")))
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(mail.known_lists(given, ("digest", "alerts", "monthly")), ",").alias("lists"))
+
+
+@query("""WITH n AS (SELECT n_nationkey, 'Ann ' || n_name AS name FROM nation), t AS (SELECT c_custkey, c_custkey % 7 AS kind, c_nationkey FROM customer)
+SELECT c_custkey, name, 'Head ' || n_nationkey AS title FROM t JOIN n ON n_nationkey = c_nationkey WHERE kind IN (0, 3, 5)""")
+def quoted_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("Ann "), "n_name").alias("name"))
+    people = nation.select("name", F.array().cast("array<string>").alias("aliases"), F.concat(F.lit("Head "), "n_nationkey").alias("title"), F.lit(None).cast("date").alias("since"), F.lit(None).cast("date").alias("until"))
+    kind, name = F.col("c_custkey") % 7, F.col("name")
+    family = F.regexp_replace("name", "^Ann ", "")
+    text = (
+        F.when(kind == 0, F.concat(name, F.lit(" said costs rose.")))
+        .when(kind == 1, F.concat(F.lit("Lawmakers told "), name, F.lit(" about it.")))
+        .when(kind == 2, F.concat(F.lit('"We grow," said '), name, F.lit(", chief of Fairview.")))
+        .when(kind == 3, F.concat(name, F.lit(" leads it. "), family, F.lit(" added that it works.")))
+        .when(kind == 4, F.concat(F.lit("Mayor "), name, F.lit(" said so.")))
+        .when(kind == 5, F.concat(F.lit("Costs rise, according to "), name, F.lit(".")))
+    )
+    rows = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", text.alias("text"), F.lit(None).cast("timestamp").alias("at"))
+    return quotes.quoted_people(rows, people, "c_custkey", ["text"], "at")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewire.functions.urls import canonical_link
@@ -46,3 +48,30 @@ def failure_streaks(stream: DataFrame, key: str, at: str, failed: str, idle_ms:
 
     kind = stream.schema[key].dataType.simpleString()
     return stream.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, {at} timestamp, streak long", "streak long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def session_counts(stream: DataFrame, key: str, at: str, gap: str = "35 minutes", late: str = "2 hours") -> DataFrame:
+    """(key, opened, n) per session: rows no farther apart than the gap; rows later than the watermark don't count."""
+    counted = stream.withWatermark(at, late).groupBy(key, F.session_window(at, gap).alias("_s")).agg(F.count("*").alias("n"))
+    return counted.select(key, F.col("_s.start").alias("opened"), "n")
+
+
+def sliding_counts(stream: DataFrame, key: str, at: str, width: str = "1 hour", slide: str = "15 minutes", late: str = "2 hours") -> DataFrame:
+    """(key, window_start, n) per sliding window."""
+    counted = stream.withWatermark(at, late).groupBy(key, F.window(at, width, slide).alias("_w")).agg(F.count("*").alias("n"))
+    return counted.select(key, F.col("_w.start").alias("window_start"), "n")
+
+
+def deliver(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
+    """Write what is there now to a folder, each key once, however often batches or runs are repeated."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        spark, fresh = batch.sparkSession, batch.dropDuplicates(keys)
+        try:
+            fresh = fresh.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti").select(*batch.columns)
+        except AnalysisException:
+            # Nothing has been delivered to this folder yet.
+            pass
+        fresh.write.mode("append").parquet(path)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
