@@ -236,4 +236,5 @@ def test_pipeline_keeps_columns(spark, tmp_path, docs):
         now = cluster.cut(stage(spark, now, str(tmp_path)))
         assert now.columns == data.columns
     last = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
-    assert last.columns == ["doc_id", "ids", "n_pieces"] and last.count() == now.count()
+    assert last.columns == ["doc_id", "ids", "n_pieces", "same"] and last.count() == now.count()
+    assert last.where("NOT same").isEmpty()
