@@ -84,7 +84,7 @@ def answer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, o_orderkey % 5 = 0 AND (o_orderpriority = '1-URGENT' OR o_orderkey % 3 = 0) AS rejudged,
-  NOT (o_orderkey % 2 = 0) AND NOT (o_orderkey % 3 = 0 AND o_orderdate >= TIMESTAMP '1998-01-01') AS rewritten,
+  NOT (o_orderkey % 2 = 0) AND NOT (o_orderkey % 3 = 0 AND o_orderdate > TIMESTAMP '1998-01-01') AS rewritten,
   CASE WHEN o_orderkey % 7 = 0 THEN 'mediaTracker' WHEN o_orderkey % 2 = 0 THEN 'searchFallback' ELSE '' END AS source FROM orders""")
 def rewrite_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
