@@ -187,7 +187,7 @@ FEW = 32
 #: Sets of a shingle that are dealt to one part of it when all of them meet.
 PART = 1024
 #: Bits of a set's parity, and shingles before a place that are held against meeting twice.
-PARITY_BITS, EARLIER = 1024, 32
+PARITY_BITS, EARLIER = 1024, 16
 
 
 def least_shared(n: int, similarity: float) -> int:
@@ -242,7 +242,10 @@ def node(hashes: np.ndarray) -> int:
 
 
 def shingle_sets(frame: DataFrame, shingle: int) -> DataFrame:
-    """(node, n, print, shingles, parity) of `text`: a digest of the set of shingles, its size, fingerprint and shingles in order."""
+    """(node, n, twins, print, shingles, parity) of `text`: a digest of the set of shingles, its size, fingerprint and shingles in order.
+
+    `twins` says how many shingles are like another one in their upper 32 bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,11 +254,16 @@ def shingle_sets(frame: DataFrame, shingle: int) -> DataFrame:
             flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
             odd = np.concatenate([np.zeros(0, np.int64), *map(parity, sets)])
             rows = np.arange(len(sets) + 1, dtype=np.int32) * (PARITY_BITS // 64)
-            columns = [pa.array([f(x) for x in sets], pa.int64()) for f in (node, len, fingerprint)]
+            columns = [pa.array([f(x) for x in sets], pa.int64()) for f in (node, len, twins, fingerprint)]
             columns += [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for at, x in ((ends, flat), (rows, odd))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "print", "shingles", "parity"])
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "twins", "print", "shingles", "parity"])
+
+    return frame.select("text").mapInArrow(run, "node long, n long, twins long, print long, shingles array<long>, parity array<long>")
 
-    return frame.select("text").mapInArrow(run, "node long, n long, print long, shingles array<long>, parity array<long>")
+
+def twins(hashes: np.ndarray) -> int:
+    upper = hashes >> np.uint64(32)
+    return int((upper[1:] == upper[:-1]).sum())
 
 
 def enough(shared: Column, n: Column, m: Column, similarity: float) -> Column:
@@ -297,7 +305,7 @@ def near_copies(
     texts = given.join(likely.select("id").distinct(), "id")
     parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = shingle_sets(texts, shingle).repartition(parts, "node").join(likely.select("node"), "node", "left_semi")
-    sets = bucketed(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "print", "shingles", "parity"))), "node")
+    sets = bucketed(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "twins", "print", "shingles", "parity"))), "node")
 
     first = cut(prefixes(sets, similarity))
     alone = first.withColumn("part", F.col("node"))
@@ -329,17 +337,22 @@ def pivot_pairs(sets: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(shingle, node, n, place): each set's first shingles, rarest first, that other sets have too."""
-    dealt = sets.select("node", "n", F.explode("shingles").alias("shingle"))
+    """(shingle, node, n, place): each set's first shingles, rarest first, that other sets have too.
+
+    Shingles are told apart by 32 bits here, which can only make more sets meet; as a set's own
+    twins may stand in any order, so many more shingles count as first.
+    """
+    cut_bits = F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int"))
+    dealt = sets.select("node", "n", "twins", F.explode(cut_bits).alias("shingle"))
     shared = dealt.withColumn("sets", F.count("*").over(W.partitionBy("shingle"))).where("sets > 1")
     order = F.sort_array(F.collect_list(F.struct("sets", "shingle")))
-    ordered = shared.groupBy("node", "n").agg(order.alias("found"))
+    ordered = shared.groupBy("node", "n", "twins").agg(order.alias("found"))
     # A set's own shingles come before those it shares.
     own = F.col("n") - F.size("found")
-    most = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    most = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 + F.col("twins")
     taken = F.expr("slice(found, 1, cast(greatest(0, most - own) as int))")
-    placed = ordered.withColumns({"own": own, "most": most}).select("node", "n", "own", F.posexplode(taken).alias("at", "x"))
-    return placed.select(F.col("x.shingle").alias("shingle"), "node", "n", (F.col("own") + F.col("at")).alias("place"))
+    placed = ordered.withColumns({"own": own, "most": most}).select("node", "n", "twins", "own", F.posexplode(taken).alias("at", "x"))
+    return placed.select(F.col("x.shingle").alias("shingle"), "node", "n", (F.col("own") + F.col("at") - F.col("twins")).alias("place"))
 
 
 def reachable(similarity: float) -> Column:
