@@ -143,9 +143,10 @@ def resample(
     largest `key`, which is the log ratio with a Gumbel variable added. Without `share` it
     is the share of 1 among the labels. Reruns agree.
 
-    A null or empty text has no n-grams and a ratio of 0. Rows with null ids get the same
-    random variable each; repeated rows are kept or left together. An empty table gives no
-    rows; without target rows all ratios are 0. Other columns are left out.
+    A null or empty text has no n-grams and a ratio of 0; texts count whole, however long.
+    Rows with null ids get the same random variable each; repeated rows are kept or left
+    together, and of equal keys the smaller id comes first. An empty table gives no rows;
+    without target rows all ratios are 0. Other columns are left out.
     """
     if share is None:
         share = labels.agg(F.avg(F.col(label_col).cast("double"))).first()[0] or 0.0

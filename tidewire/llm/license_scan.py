@@ -101,9 +101,10 @@ def scan(
     votes together cover the share `least` of its k-grams. `score` is the highest
     score of a span, 0 where there is none.
 
-    A null or empty text has no words and no spans. Rows with a null id keep it;
-    repeated rows are scanned each for itself. An empty table gives no rows. Only
-    the named columns are read.
+    A null or empty text has no words and no spans; texts are scanned whole, however
+    long. Rows with a null id keep it; repeated rows are scanned each for itself. Spans of
+    equal start stand in order of their end and label. An empty table gives no rows. Only
+    the named columns are read, whatever else there is.
     """
     found = votes(frame, id_col, text_col, k)
     # Which of a template's positions voted for a diagonal of a document, as bits.

@@ -223,7 +223,12 @@ def decode(frame: DataFrame, model: Model, ids_col: str = "ids", out_col: str =
 
 
 def round_trip(spark: SparkSession, frame: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, n_pieces, decoded_sha256, same) of each row; `same` where decoding gives the text back."""
+    """(id, ids, n_pieces, decoded_sha256, same) of each row; `same` where decoding gives the text back.
+
+    A null or empty text has no ids and decodes to an empty one. Null ids and repeated rows
+    have a row each; texts are encoded whole, however long; an empty table gives no rows;
+    other columns are left out. There are no ties: one path is left of each word's.
+    """
     model = Model.load(path)
     both = decode(encode(frame, model, id_col, text_col, keep_text=True), model)
     return both.select(
