@@ -419,7 +419,11 @@ def xml_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.escape_xml(F.col("text")).alias("xml"))
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, TIMESTAMP '2024-01-01' + page_id * INTERVAL 1 HOUR AS published FROM pages WHERE page_id % 7 <> 0),
+e AS (SELECT url, published, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;') AS title, replace(url, '&', '&amp;') AS link FROM p ORDER BY published DESC, url LIMIT 100)
+SELECT published, url AS link, '<item><title>' || title || '</title><link>' || link || '</link><guid isPermaLink="false">' || link || '</guid><pubDate>' || strftime(published, '%a, %d %b %Y %H:%M:%S GMT')
+  || '</pubDate><description><![CDATA[]]></description></item>' AS xml FROM e""")
 def rss_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id") * 3600)
     title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
