@@ -46,6 +46,14 @@ def bucketed(frame: DataFrame, key: str) -> DataFrame:
     return spark.table(name)
 
 
+def by_place(frame: DataFrame) -> DataFrame:
+    """The frame with its columns named by their places, `_0` and so on; `toDF` gives them their own names back.
+
+    Names with dots or backticks, and names that an operator uses itself, can't get in the way then.
+    """
+    return frame.toDF(*(f"_{i}" for i in range(len(frame.columns))))
+
+
 #: Edges that a task of `components` takes, about.
 EDGES = 250_000
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import importance, language_id, license_scan, media, mixing, quality_rules, sentencepiece, simhash, substring_dedup, toxicity
+from tidewire.llm import alignment, byte_bpe, importance, language_id, license_scan, media, mixing, periodic_runs, quality_rules, sentencepiece, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,8 +141,61 @@ FROM r
 """
 
 
+#: Vocabulary files of the byte-level tokenizers.
+BYTE_RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level tokens of every document, and the text that they decode to."""
+    merges = byte_bpe.Merges.load(BYTE_RANKS)
+    found = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), merges), merges)
+    return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How byte-level tokens and pieces of every document align, and how common their links are."""
+    documents, _ = alignment.align(table(spark, sf_dir, "documents"), alignment.Both.load(BYTE_MODEL, PIECES))
+    return documents.withColumnRenamed("id", "doc_id")
+
+
+def looped(frame: DataFrame) -> DataFrame:
+    """The documents, of which some end in a loop of their own words: a known plant to find runs in.
+
+    h is crc32 of the id as text, g = h div 10. Where h divides by 10 and the text has n > 0
+    words, the words from place a = g % n on repeat with period 1 + (n - a) div (3 + g % 8).
+    """
+    mark = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = frame.select("doc_id", "text", F.floor(mark / 10).alias("g"), F.when(mark % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("words"))
+    sized = chosen.withColumn("n", F.nullif(F.size("words"), F.lit(0)))
+    placed = sized.withColumn("a", F.col("g") % F.col("n"))
+    placed = placed.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    loops = F.array_repeat(F.expr("slice(words, int(a) + 1, int(p))"), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))
+    placed = placed.withColumn("loops", F.flatten(loops))
+    whole = F.concat(F.expr("slice(words, 1, int(a))"), F.expr("slice(loops, 1, int(n - a))"))
+    return placed.select("doc_id", F.coalesce(F.array_join(whole, " "), "text").alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words that repeat four times or more in every document, and what is left without the repeats."""
+    found = periodic_runs.periodic_runs(looped(table(spark, sf_dir, "documents")), texts=False)
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    ranked = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("less"))))
+    return found.withColumn("top", ranked).select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.back")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.less")).alias("period"),
+        F.floor(1000 * F.col("top.length") / -F.col("top.less")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        "collapsed_sha256",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op10_license_scan": op10_license_scan, "op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_media": op4_media, "op5_importance": op5_importance, "op6_sentencepiece": op6_sentencepiece, "op7_quality_rules": op7_quality_rules, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing}
+    return {"op1_substring_dedup": op1_substring_dedup, "op10_license_scan": op10_license_scan, "op11_byte_bpe": op11_byte_bpe, "op12_alignment": op12_alignment, "op13_periodic_runs": op13_periodic_runs, "op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_media": op4_media, "op5_importance": op5_importance, "op6_sentencepiece": op6_sentencepiece, "op7_quality_rules": op7_quality_rules, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
