@@ -21,15 +21,22 @@ def one(spark, column, **values):
     ("function", "given", "want"),
     [
         (text.clean, "  a  b\n", "a b"),
-        (text.sentiment, "Somewhat positive - mild", "somewhat positive"),
+        (text.sentiment, "neuttral to positive", "neutral to positive"),
+        (text.sentiment, "neutral to negative - while we are only mentioned", "neutral to negative"),
+        (text.sentiment, "negative (and more)", "negative"),
+        (text.sentiment, "wildly enthusiastic", None),
         (text.sentiment, "Postive", "positive"),
         (text.csv_field, '=1+"2"', '"\'=1+""2"""'),
         (text.escape_ics, "a,b;c\n", "a\\,b\\;c\\n"),
         (text.plain_numbers, "760k and 1.5 million", "760000 and 1500000"),
+        (text.plain_numbers, "1,234,567 and 1.234 million, 2.125b, 1.0006k, x2k, 3 m", "1234567 and 1234000, 2125000000, 1001, x2k, 3000000"),
         (text.mask_personal, "see https://a.b/c/d or x@y.org", "see https://a.b/… or [email]"),
         (urls.canonical_link, "HTTPS://WWW.Ab.com/x/?b=2&utm_source=q&a=1#top", "https://www.ab.com/x/?a=1&b=2"),
         (urls.vote_link, "http://www.ab.com:80/x/?gclid=1", "ab.com/x"),
         (dates.parse, "Wed, 30 Sep 2026 17:00:00 GMT", datetime(2026, 9, 30, 17)),
+        (dates.parse, "March 5, 2026 5pm", datetime(2026, 3, 5, 17)),
+        (dates.parse, "Mar 5, 2026, 5:07 a.m.", datetime(2026, 3, 5, 5, 7)),
+        (dates.parse, "2026-03-05", datetime(2026, 3, 5)),
         (dates.real_day, "2026-02-30", None),
     ],
 )

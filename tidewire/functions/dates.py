@@ -16,19 +16,20 @@ FORMATS = (
     "d MMM yyyy HH:mm:ss XX",
     "d MMM yyyy HH:mm:ss z",
     "d MMM yyyy",
-    "MMMM d, yyyy h:mm a",
-    "MMMM d, yyyy",
-    "MMM d, yyyy h:mm a",
-    "MMM d, yyyy",
-    "M/d/yyyy",
+    "MMMM d, yyyy[ h[:mm[:ss]] a]",
+    "MMM d, yyyy[ h[:mm[:ss]] a]",
+    "d MMMM yyyy[ h[:mm[:ss]] a]",
+    "M/d/yyyy[ h[:mm[:ss]] a]",
+    "yyyy-MM-dd h[:mm[:ss]] a",
 )
 
 
 def parse(text: Column) -> Column:
     """The instant that a text tells in one of the usual formats, null if in none."""
     bare = F.regexp_replace(F.trim(text), r"^(?i)(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,?\s+", "")
-    bare = F.regexp_replace(bare, r"(?i)(\d)\s*([ap])\.?m\.?\b", "$1 $2M")
-    bare = F.regexp_replace(F.regexp_replace(bare, " pM", " PM"), " aM", " AM")
+    bare = F.regexp_replace(bare, r"(?i)(\d),?\s*a\.?m\b\.?", "$1 AM")
+    bare = F.regexp_replace(bare, r"(?i)(\d),?\s*p\.?m\b\.?", "$1 PM")
+    bare = F.regexp_replace(bare, r"(?i)(\d),?\s+(?:at\s+)?(?=\d{1,2}(?::\d\d)*\s[AP]M)", "$1 ")
     return F.coalesce(*(F.try_to_timestamp(bare, F.lit(f)) for f in FORMATS))
 
 

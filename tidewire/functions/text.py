@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -148,17 +149,19 @@ def json_array(text: Column) -> Column:
     return blank_to_null(F.regexp_extract(bare, r"(?s)(\[.*\])", 1))
 
 
-#: Labels from worst to best, their value, and their anchor on the scale from 0 to 100.
-SENTIMENTS = ("negative", "somewhat negative", "neutral", "somewhat positive", "positive")
+#: Labels from worst to best; their values go from -2 to 2, their anchors from 0 to 100. Fixed values.
+SENTIMENTS = ("negative", "neutral to negative", "neutral", "neutral to positive", "positive")
 
 
 def sentiment(text: Column) -> Column:
-    """One of the five labels, by how a text begins; null where it names none."""
-    bare = F.lower(clean(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*[-–—(].*$", "")))
-    bare = F.regexp_replace(F.regexp_replace(bare, "postive", "positive"), "negitive", "negative")
-    mild = bare.rlike(r"^(?:somewhat|slightly|mildly)\b")
-    tone = F.regexp_extract(bare, r"^(?:(?:somewhat|slightly|mildly)\s+)?(positive|negative|neutral)", 1)
-    return F.when(tone == "neutral", F.lit("neutral")).when(tone != "", F.concat(F.when(mild, F.lit("somewhat ")).otherwise(""), tone))
+    """The label that a text begins with, the longest one; null where it names none.
+
+    What follows a hyphen or a bracket is a remark. Two usual slips of the pen are read as meant.
+    """
+    bare = F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?s)[\s{NBSP}]*[-(].*$", "")))
+    bare = F.replace(F.replace(bare, F.lit("postive"), F.lit("positive")), F.lit("neuttral"), F.lit("neutral"))
+    named = [F.when(F.startswith(bare, F.lit(label)), F.lit(label)) for label in sorted(SENTIMENTS, key=len, reverse=True)]
+    return F.coalesce(*named)
 
 
 def sentiment_score(probabilities: Column) -> Column:
@@ -218,24 +221,36 @@ def title_key(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", " "))
 
 
-#: Endings that `stem` takes off. Fixed values.
-ENDINGS = ("ment", "ments", "ee", "ees", "ing", "ed", "er", "ers", "ies", "es", "s")
+#: Endings that `stem` takes off. Fixed value.
+ENDINGS = r"(ments?|ees?|ing|ed|ers?|ies|es|s)$"
 
 
 def stem(word: Column) -> Column:
     """A word without one usual ending, and then without a doubled last letter; numbers and words of four letters stay."""
-    bare = F.regexp_replace(word, rf"(?:{'|'.join(sorted(ENDINGS, key=len, reverse=True))})$", "")
+    bare = F.regexp_replace(word, ENDINGS, "")
     return F.when((F.length(word) > 4) & ~word.rlike(r"^\d"), F.regexp_replace(bare, r"(.)\1$", "$1")).otherwise(word)
 
 
+def rewritten(text: Column, pattern: str, rewrite: Callable[[Column], Column]) -> Column:
+    """The text with each match of a pattern rewritten by itself."""
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    told = F.transform(found, rewrite)
+    return F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(told, i), F.lit("")))), "")
+
+
+def _whole(unit: int, found: Column) -> Column:
+    value = F.floor(F.regexp_extract(found, r"^[\d.]+", 0).cast("double") * unit + 0.5)
+    return F.when(F.length(F.regexp_extract(found, r"^\d+", 0)) <= 15, value.cast("string")).otherwise(found)
+
+
 def plain_numbers(text: Column) -> Column:
-    """Numbers written alike: no commas, "760k" and "760 thousand" as 760000, likewise millions and billions."""
-    out = F.regexp_replace(text, r"(?<=\d),(?=\d{3})", "")
-    for names, zeros in (("k|thousand", 3), ("m|million", 6), ("b|billion", 9)):
-        # A fraction's digits come out of the zeros that the unit stands for.
-        for digits in (2, 1):
-            out = F.regexp_replace(out, rf"(?i)\b(\d+)\.(\d{{{digits}}})\s?(?:{names})\b", "$1$2" + "0" * (zeros - digits))
-        out = F.regexp_replace(out, rf"(?i)\b(\d+)\s?(?:{names})\b", "$1" + "0" * zeros)
+    """Numbers written alike: no commas, "760k" and "760 thousand" as 760000, likewise millions and billions.
+
+    Fractions count whole, and round to the nearest integer. Numbers of more than 15 digits stay as they are.
+    """
+    out = F.regexp_replace(text, r"(?<=\d),(?=\d{3}\b)", "")
+    for names, unit in (("k|thousand", 10**3), ("m|million", 10**6), ("b|billion", 10**9)):
+        out = rewritten(out, rf"(?i)\b\d+(?:\.\d+)?\s*(?:{names})\b", partial(_whole, unit))
     return out
 
 

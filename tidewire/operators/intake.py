@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.functions import urls
-from tidewire.functions.text import blank_to_null, clean, title_words
+from tidewire.functions.text import blank_to_null, clean, title_key, title_words
 
 #: Shape of a story's short key, and how many of them are kept. Fixed values.
 SHORT_KEY, STORY_KEYS = "^[a-f0-9]{12}$", 20_000
@@ -151,23 +151,25 @@ def contradicts(canonical: Column, url: Column, missing: Column) -> Column:
     return F.coalesce(missing, F.lit(False)) | other
 
 
-def title_variants(title: Column, outlet: Column) -> Column:
-    """A title with and without its outlet, the outlet alone, and both run together, longest first, blanks left out."""
-    bare = F.regexp_replace(clean(title), r"\s+[-|]\s+[^-|]{2,80}$", "")
-    name = clean(outlet)
-    every = F.array_distinct(F.array(clean(title), bare, name, F.concat(bare, name), F.concat_ws(" ", bare, name)))
-    long = F.transform(F.filter(every, lambda x: x != ""), lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))
-    return F.transform(F.sort_array(long, asc=False), lambda x: x["x"])
+def title_variants(title: Column, outlet: Column | None = None) -> Column:
+    """Keys of a title: whole, without the outlet after a dash, the outlet alone, and both run together; longest first, no blanks.
 
+    An `outlet` known otherwise is one more.
+    """
+    whole = clean(title)
+    ending = r"\s+-\s+(.{2,80})$"
+    bare, name = F.regexp_replace(whole, ending, ""), F.regexp_extract(whole, ending, 1)
+    every = [whole, bare, name, F.concat_ws(" ", bare, name), *([] if outlet is None else [outlet, F.concat_ws(" ", bare, outlet)])]
+    keys = F.array_distinct(F.array(*map(title_key, every)))
+    long = F.transform(F.filter(keys, lambda x: x != ""), lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))
+    return F.transform(F.sort_array(long, asc=False), lambda x: x["x"])
 
-def story_snippet(snippet: Column, title: Column, outlet: Column, least: int = 4) -> Column:
-    """A snippet, blank if fewer than `least` words are left of it without the title's variants."""
-    def without(text: Column, variant: Column) -> Column:
-        return F.replace(text, F.lower(variant), F.lit(" "))
 
-    left = F.aggregate(title_variants(title, outlet), F.lower(clean(snippet)), without)
-    count = F.size(F.regexp_extract_all(left, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
-    return F.when(count >= least, clean(snippet)).otherwise("")
+def story_snippet(snippet: Column, title: Column, outlet: Column | None = None, least: int = 4) -> Column:
+    """A snippet, blank if fewer than `least` words are left of it without the title's variants; whole where there is no title."""
+    left = F.aggregate(title_variants(title, outlet), title_key(clean(snippet)), lambda text, variant: clean(F.replace(text, variant, F.lit(" "))))
+    count = F.size(F.filter(F.split(left, " "), lambda w: w != ""))
+    return F.when((clean(title) == "") | (count >= least), clean(snippet)).otherwise("")
 
 
 def merged_sources(fresh: DataFrame, previous: DataFrame, status: DataFrame, source: str) -> DataFrame:

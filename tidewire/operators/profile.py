@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import urls
-from tidewire.functions.text import blank_to_null, clean, first_filled
+from tidewire.functions.text import SENTIMENTS, blank_to_null, clean, first_filled
 
 #: Patterns of death notices, by where they count. Fixed values.
 NOTICE_PATH = r"(?i)(?:^|/)(?:obituaries?|obits?|death-notices?|life-lines/obituaries?)(?:/|$)"
@@ -235,7 +235,7 @@ def is_press(relevant: Column, published: Column, kind: Column, url: Column, sou
     return ~relevant.eqNullSafe(F.lit(False)) & published.isNotNull() & F.coalesce(kind == "News", F.lit(True)) & ~other
 
 
-def is_urgent(label: Column, score: Column, labels: Sequence[str] = ("negative", "somewhat negative"), below: int = 35) -> Column:
+def is_urgent(label: Column, score: Column, labels: Sequence[str] = SENTIMENTS[:2], below: int = 35) -> Column:
     """Whether an alert leads: by label, or by a score below the limit."""
     return F.coalesce(F.lower(clean(label)).isin(*labels), F.lit(False)) | F.coalesce(score < below, F.lit(False))
 
