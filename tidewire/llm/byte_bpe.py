@@ -19,6 +19,7 @@ import base64
 import hashlib
 import heapq
 import pickle
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -107,12 +108,16 @@ Guess = tuple[tuple[int, ...], int, int]
 
 
 class Transducer:
-    """Encodes words byte by byte. Its states are numbers; arcs[state][byte] is (state, tokens)."""
+    """Encodes words byte by byte. Its states are numbers; an arc is (state, tokens), by 256 * state + byte.
 
-    def __init__(self, merges: Merges, most_states: int = 400_000):
+    A word's last byte makes no state: of the guesses it completes one. States and arcs go when there
+    are `most_states`, and are made anew when needed.
+    """
+
+    def __init__(self, merges: Merges, most_states: int = 200_000):
         self.merges, self.most = merges, most_states
         self.token_bytes = merges.bytes_of()
-        self.number = {raw: rank for raw, rank in merges.ranks.items()}
+        self.size = len(self.token_bytes)
         self.children: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
         for raw, rank in merges.ranks.items():
@@ -125,29 +130,24 @@ class Transducer:
                         self.token.append(-1)
                     at = self.children[at][byte]
                 self.token[at] = rank
-        self.both: dict[tuple[int, int], bool] = {}
+        self.both: dict[int, bool] = {}
         self.spines: tuple[dict[int, list[tuple[int, int]]], ...] = ({}, {})
         self.clear()
 
     def clear(self) -> None:
-        self.states: list[tuple[Guess, ...]] = []
-        self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.numbers: dict[tuple[Guess, ...], int] = {}
-        self.start = self.state((((), -1, 0),))
-
-    def state(self, guesses: tuple[Guess, ...]) -> int:
-        if (found := self.numbers.get(guesses)) is None:
-            found = self.numbers[guesses] = len(self.states)
-            self.states.append(guesses)
-            self.arcs.append({})
-        return found
+        self.states: list[tuple[Guess, ...]] = [(((), -1, 0),)]
+        self.numbers: dict[tuple[Guess, ...], int] = {self.states[0]: 0}
+        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
 
     def stay(self, left: int, right: int) -> bool:
-        """Whether merging leaves two tokens side by side as they are."""
-        if (known := self.both.get((left, right))) is None:
-            if len(self.both) > 8 * self.most:
+        """Whether merging leaves two tokens side by side as they are; a word's first token (left -1) always stays."""
+        if left < 0:
+            return True
+        key = left * self.size + right
+        if (known := self.both.get(key)) is None:
+            if len(self.both) > 2 * self.most:
                 self.both.clear()
-            known = self.both[left, right] = self._stay(left, right)
+            known = self.both[key] = self._stay(left, right)
         return known
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -186,14 +186,15 @@ class Transducer:
         """Where a byte leads, made now and kept."""
         guesses: list[Guess] = []
         children, stay = self.children, self.stay
-        for passed, last, node in self.states[state]:
+        for guess in self.states[state]:
+            passed, last, node = guess
             at = children[node].get(byte)
             if at is None:
                 continue
             if children[at]:
                 guesses.append((passed, last, at))
             token = self.token[at]
-            if token >= 0 and (last < 0 or stay(last, token)):
+            if token >= 0 and stay(last, token):
                 guesses.append(((*passed, token), token, 0))
         # All guesses have passed what the first of them and the others have in common.
         shared, first = 0, guesses[0][0]
@@ -201,23 +202,37 @@ class Transducer:
             shared += 1
         if shared:
             guesses = [(p[shared:], last, node) for p, last, node in guesses]
-        target = self.state(tuple(guesses))
-        found = self.arcs[state][byte] = (target, first[:shared])
+        made = tuple(guesses)
+        target = self.numbers.get(made)
+        if target is None:
+            target = self.numbers[made] = len(self.states)
+            self.states.append(made)
+        found = self.arcs[state << 8 | byte] = (target, first[:shared])
         return found
 
+    def finish(self, state: int, byte: int) -> tuple[int, ...]:
+        """The tokens of the one guess that a word's last byte completes."""
+        for passed, last, node in self.states[state]:
+            at = self.children[node].get(byte)
+            if at is not None and (token := self.token[at]) >= 0 and self.stay(last, token):
+                return (*passed, token)
+        raise ValueError("the vocabulary lacks a byte")
+
     def encode(self, word: bytes) -> list[int]:
         """Tokens of one word."""
-        if (whole := self.number.get(word)) is not None:
+        if (whole := self.merges.ranks.get(word)) is not None:
             return [whole]
+        if not word:
+            return []
         if len(self.states) > self.most:
             self.clear()
-        arcs, state, out = self.arcs, self.start, []
-        for byte in word:
-            state, tokens = arcs[state].get(byte) or self.arc(state, byte)
+        arcs, state, out = self.arcs, 0, []
+        for byte in memoryview(word)[:-1]:
+            state, tokens = arcs.get(state << 8 | byte) or self.arc(state, byte)
             if tokens:
                 out += tokens
-        # One guess ends with the word.
-        return out + [t for passed, _, node in self.states[state] if node == 0 for t in passed]
+        out += self.finish(state, word[-1])
+        return out
 
 
 class Words(dict):
@@ -227,14 +242,14 @@ class Words(dict):
     for before the next change.
     """
 
-    def __init__(self, transducer: Transducer, most: int = 250_000):
+    def __init__(self, transducer: Transducer, most: int = 200_000):
         super().__init__()
         self.transducer, self.most, self.old = transducer, most, {}
 
     def __missing__(self, word: str) -> bytes:
         made = self.old.get(word)
         if made is None:
-            made = np.array(self.transducer.encode(word.encode()), "<u4").tobytes()
+            made = array("I", self.transducer.encode(word.encode())).tobytes()
         if len(word) <= 64:
             if len(self) >= self.most:
                 self.old = dict(self)
@@ -337,8 +352,10 @@ def learned(kind: type, name: str, shared: Broadcast) -> object:
     return _learned[kind.__name__, name]
 
 
-def encode(frame: DataFrame, merges: Merges, id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN) -> DataFrame:
-    """(id, ids, ids_sha256) of each row: the tokens of each match of `pattern` in turn.
+def encode(
+    frame: DataFrame, merges: Merges, id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN, decoded: bool = False
+) -> DataFrame:
+    """(id, ids, ids_sha256) of each row: the tokens of each match of `pattern` in turn; and `decoded` from them, if asked for.
 
     `ids_sha256` digests the ids as little-endian unsigned 32-bit integers. A null or empty text
     has no ids. Null ids and repeated rows have a row each; texts are encoded whole, and words
@@ -350,16 +367,19 @@ def encode(frame: DataFrame, merges: Merges, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = learned(Encoder, name, shared) if pattern == PATTERN else Encoder(shared.value, pattern)
+        decoder = learned(Decoder, name, shared) if decoded else None
         for whole in batches:
             for batch in tw.slices(whole, "text"):
                 raw = [encoder.ids(t.as_py() or "") for t in batch.column(1)]
                 ends = np.cumsum([0, *(len(x) // 4 for x in raw)]).astype(np.int32)
                 flat = np.frombuffer(b"".join(raw), "<u4").view(np.int32)
-                digests = pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), digests], ["id", "ids", "ids_sha256"])
+                columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())]
+                if decoder is not None:
+                    columns.append(pa.array([decoder.text(np.frombuffer(x, "<u4").tolist()) for x in raw], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "ids_sha256", "decoded"][: len(columns)])
 
     rows = frame.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, ids_sha256 string")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, ids_sha256 string" + ", decoded string" * decoded)
 
 
 def decode(frame: DataFrame, merges: Merges, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

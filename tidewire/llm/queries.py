@@ -148,8 +148,7 @@ BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level tokens of every document, and the text that they decode to."""
-    merges = byte_bpe.Merges.load(BYTE_RANKS)
-    found = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), merges), merges)
+    found = byte_bpe.encode(table(spark, sf_dir, "documents"), byte_bpe.Merges.load(BYTE_RANKS), decoded=True)
     return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
