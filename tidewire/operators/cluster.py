@@ -122,6 +122,12 @@ def average_linkage(links: DataFrame, sizes: DataFrame, least: float = 0.5, max_
     raise RuntimeError(f"groups did not settle in {max_rounds} rounds")
 
 
+def cut(frame: DataFrame) -> DataFrame:
+    """The frame, computed once and read back from the checkpoint folder."""
+    checkpoint_folder(frame.sparkSession)
+    return frame.checkpoint()
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder: the one set, or the one that `spark.checkpoint.dir` names.
 
