@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import dates, urls
 from tidewire.functions.text import blank_to_null, clean, escape_xml, first_filled, url_safe_digest
+from tidewire.operators.cluster import cut
+from tidewire.operators.ordered import nearest, openers, running
 from tidewire.operators.profile import is_urgent
 
 #: Days of the week as they are written. Fixed values.
@@ -69,18 +71,30 @@ def also_covered(members: DataFrame, group: str, place: str, link: str, title: s
 
 
 def packed(lines: DataFrame, place: str, line: str, header: str, most: int = 2000) -> DataFrame:
-    """(message, body): lines of a bounded list packed in order into messages of `most` characters at most, each under the header."""
-    room = most - len(header)
-    folded = lines.agg(F.sort_array(F.collect_list(F.struct(F.col(place).alias("p"), F.col(line).alias("x")))).alias("rows"))
-    start = F.array().cast("array<string>")
-
-    def add(done: Column, row: Column) -> Column:
-        last = F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(""))
-        fits = (F.size(done) > 0) & (F.length(last) + F.length(row["x"]) <= room)
-        return F.when(fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, row["x"])))).otherwise(F.concat(done, F.array(row["x"])))
+    """(message, body): lines packed in order into messages of `most` characters at most, each under the header.
 
-    made = folded.select(F.posexplode(F.aggregate("rows", start, add)).alias("message", "body"))
-    return made.select("message", F.concat(F.lit(header), F.col("body")).alias("body"))
+    A line too long for a message has one to itself. Each line gets the one that would open the next
+    message if it opened one, by running sums of lengths, and the chain of openers follows. Places are
+    distinct; a null or empty line stands in no message.
+    """
+    room = most - len(header)
+    kept = lines.where(F.length(line) > 0).select(F.col(place).alias("place"), F.col(line).alias("line"))
+    summed = cut(running(kept, [F.col("place")], {"i": F.lit(1), "upto": F.length("line")}))
+    # The next message opens at the first line that ends beyond this one's begin and the room.
+    begin = F.col("upto") - F.length("line")
+    ends = summed.select("i", F.lit(0).alias("_all"), "upto")
+    asked = summed.select(F.lit(0).alias("_all"), "i", (begin + room + 1).alias("upto"))
+    met = nearest(asked, ends, ["_all"], "upto", 1000 * most, "end")
+    at = met.join(ends.select(F.col("upto").alias("end"), F.col("i").alias("j")), "end", "left")
+    # A line that fills its message alone ends beyond the room itself; then the next one opens, if there is one.
+    step = F.when(F.col("j").isNotNull(), F.greatest(F.col("j"), F.col("i") + 1))
+    following = ends.select(F.col("i").alias("following"))
+    steps = at.withColumn("step", step).join(following, F.col("step") == F.col("following"), "left").select("_all", "i", "following")
+    chain = openers(steps, ["_all"], "i", "following").select("i", F.lit(1).alias("opens"))
+    counted = running(summed.join(chain, "i", "left"), [F.col("i")], {"n": F.col("opens")})
+    # A message's lines are bounded by its room.
+    bodies = counted.groupBy((F.col("n") - 1).cast("int").alias("message")).agg(F.sort_array(F.collect_list(F.struct("i", "line"))).alias("rows"))
+    return bodies.select("message", F.concat(F.lit(header), F.array_join(F.transform("rows", lambda r: r["line"]), "")).alias("body"))
 
 
 def weekday(day: Column) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewire.operators.ordered import running
+
 
 def for_run(pending: DataFrame, at: str, tie: str, batch: int, requests: int, oldest_first: bool = False) -> DataFrame:
     """The rows that one run takes: newest first, or oldest first in a sweep, `batch` for each request."""
@@ -54,8 +56,9 @@ def newest_months(state: DataFrame, month: str, most: int = 120) -> DataFrame:
 
 
 def leading(frame: DataFrame, urgent: Column, place: str, out: str = "rank") -> DataFrame:
-    """A bounded list with urgent rows before others, each part in its own order; `out` numbers it."""
-    return frame.withColumn(out, F.row_number().over(W.orderBy(F.when(urgent, 0).otherwise(1), place)))
+    """Rows with urgent ones before others, each part in its own order; `out` numbers them all. Places are distinct."""
+    ranked = running(frame.withColumn("_late", F.when(urgent, 0).otherwise(1)), [F.col("_late"), F.col(place)], {out: F.lit(1)})
+    return ranked.withColumn(out, F.col(out).cast("int")).drop("_late")
 
 
 def page(frame: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
@@ -95,12 +98,9 @@ def findings_order(months: DataFrame, month: str = "month") -> DataFrame:
 
 
 def within_bytes(entries: DataFrame, section: str, place: str, size: str, most: int, frame_bytes: int = 0) -> DataFrame:
-    """The entries of a bounded digest that fit into `most` bytes: the last ones of the last sections go first.
-
-    A digest is one mail, so its entries are few and stand in one order.
-    """
-    total = F.sum(size).over(W.orderBy(section, place).rowsBetween(W.unboundedPreceding, 0))
-    return entries.withColumn("_upto", total + frame_bytes).where(F.col("_upto") <= most).drop("_upto")
+    """The entries of a digest that fit into `most` bytes: the last ones of the last sections go first. Section and place are distinct together."""
+    summed = running(entries, [F.col(section), F.col(place)], {"_upto": F.col(size)})
+    return summed.where(F.col("_upto") + frame_bytes <= most).drop("_upto")
 
 
 def excerpt_candidates(frame: DataFrame, relevant: Column, category: Column, brand: str, url: Column, paywalled: Column, named: Column, at: str, tie: str, most: int = 150) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.operators.archive import hours
+from tidewire.operators.cluster import cut
+from tidewire.operators.ordered import nearest, openers
 
 
 def resolve_votes(votes: DataFrame, item: str = "item", vote: str = "vote", label: str = "label", at: str = "at") -> DataFrame:
@@ -63,27 +65,22 @@ def fixed_windows(frame: DataFrame, key: str, at: str, seconds: int, limit: int)
     return counted.withColumns({"allowed": F.least("n", F.lit(limit)).cast("long"), "refused": F.greatest(F.col("n") - limit, F.lit(0)).cast("long")})
 
 
-def batches(frame: DataFrame, key: str, at: str, gap_minutes: int = 35) -> DataFrame:
+def batches(frame: DataFrame, key: str, at: str, gap_minutes: int = 35, stretch_hours: int = 24) -> DataFrame:
     """(key, opened, n): alerts merged into batches, each open for `gap_minutes` after its first one.
 
-    A batch's end counts from its first alert, not its last, so this is a fold over a
-    key's distinct minutes: their number is bounded by time, not by alerts.
+    A batch's end counts from its first alert, not its last. Each second at which a key has alerts
+    gets the second that would open the next batch, and the chain of openers from the first
+    one on is found by doubled steps; no key's alerts are gathered. A key's seconds are
+    looked through by stretches of `stretch_hours`. Alerts without a time or a key are left out.
     """
-    step = gap_minutes * 60
-    seconds = frame.where(F.col(at).isNotNull()).groupBy(key, F.unix_seconds(F.col(at).cast("timestamp")).alias("s")).agg(F.count("*").alias("n"))
-    each = seconds.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("rows"))
-    empty = F.array().cast("array<struct<opened:bigint,n:bigint>>")
-
-    def add(done: Column, row: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joins = F.coalesce(row["s"] < last["opened"] + step, F.lit(False))
-        grown = F.struct(last["opened"].alias("opened"), (last["n"] + row["n"]).alias("n"))
-        new = F.struct(row["s"].alias("opened"), row["n"].alias("n"))
-        kept = F.when(joins, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(done)
-        return F.concat(kept, F.array(F.when(joins, grown).otherwise(new)))
-
-    folded = each.select(key, F.explode(F.aggregate("rows", empty, add)).alias("b"))
-    return folded.select(key, F.timestamp_seconds("b.opened").alias("opened"), "b.n")
+    step, width = gap_minutes * 60, stretch_hours * 3600
+    rows = frame.where(F.col(at).isNotNull() & F.col(key).isNotNull())
+    seconds = cut(rows.groupBy(key, F.unix_seconds(F.col(at).cast("timestamp")).alias("s")).agg(F.count("*").alias("n")))
+    marks = seconds.select(key, "s")
+    ends = nearest(marks.select(key, F.col("s").alias("own"), (F.col("s") + step).alias("s")), marks, [key], "s", width, "following")
+    chain = openers(ends.select(key, F.col("own").alias("s"), "following"), [key], "s", "following")
+    opened = nearest(seconds, chain, [key], "s", width, "opened", later=False)
+    return opened.groupBy(key, F.timestamp_seconds("opened").alias("opened")).agg(F.sum("n").alias("n"))
 
 
 def new_alerts(items: DataFrame, seen: DataFrame, key: str, seeded: bool) -> DataFrame:
