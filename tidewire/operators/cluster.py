@@ -182,8 +182,8 @@ def groups(frame: DataFrame, identity: str, title: str, text: str, at: str, outl
     return base.select("id").join(placed.distinct(), "id", "left").select("id", F.coalesce("group", "id").alias("group"))
 
 
-def nearest(queries: DataFrame, examples: DataFrame, query_id: str, query_terms: str, example_id: str, example_terms: str, most: int) -> DataFrame:
-    """(query_id, example_id, score, rank): each query's examples of the highest term overlap, ties by id.
+def overlaps(queries: DataFrame, examples: DataFrame, query_id: str, query_terms: str, example_id: str, example_terms: str) -> DataFrame:
+    """(query_id, example_id, score): term overlap of queries and examples that share a term.
 
     Pairs meet on terms; examples are a bounded library, and its inverted terms are
     aggregated per pair, so a pair is one row whatever it shares.
@@ -192,8 +192,14 @@ def nearest(queries: DataFrame, examples: DataFrame, query_id: str, query_terms:
     e = examples.select(F.col(example_id).alias("e"), F.array_distinct(example_terms).alias("et"))
     met = q.select("q", F.size("qt").alias("nq"), F.explode("qt").alias("term")).join(e.select("e", F.size("et").alias("ne"), F.explode("et").alias("term")), "term")
     scored = met.groupBy("q", "e").agg((F.count("*") / F.greatest(F.lit(1), F.least(F.first("nq"), F.first("ne")))).alias("score"))
-    rank = F.row_number().over(W.partitionBy("q").orderBy(F.col("score").desc(), "e"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= most).select(F.col("q").alias(query_id), F.col("e").alias(example_id), "score", "rank")
+    return scored.select(F.col("q").alias(query_id), F.col("e").alias(example_id), "score")
+
+
+def nearest(queries: DataFrame, examples: DataFrame, query_id: str, query_terms: str, example_id: str, example_terms: str, most: int) -> DataFrame:
+    """(query_id, example_id, score, rank): each query's examples of the highest term overlap, ties by id."""
+    scored = overlaps(queries, examples, query_id, query_terms, example_id, example_terms)
+    rank = F.row_number().over(W.partitionBy(query_id).orderBy(F.col("score").desc(), example_id))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
 def same_story(left_link: Column, right_link: Column, left_title: Column, right_title: Column, left_terms: Column, right_terms: Column) -> Column:
