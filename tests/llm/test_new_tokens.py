@@ -18,6 +18,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tests.llm import brute
 from tidewire.llm import alignment, byte_bpe, periodic_runs, queries
 
@@ -255,3 +256,19 @@ def test_nulls_repeats_clashes_and_empty_tables(spark, empty):
     runs = periodic_runs.periodic_runs(docs)
     assert runs.count() == n
     assert {r["collapsed"] for r in runs.where(F.size("runs") > 0).collect()} == (set() if empty else {"a b c"})
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_keep_columns_of_any_name(spark, tmp_path, empty):
+    draw = random.Random(3)
+    prose = [" ".join(f"w{draw.randrange(900)}" for _ in range(200)) for _ in range(6)]
+    found = [*prose, prose[0], prose[1] + " end", None, ""]
+    rows = [(i, t, "en", f"s{i % 2}", len(t or ""), i, i, i, i, i) for i, t in enumerate(found)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept_id int, kept_key int, `a.b` int, `c``d` int, gone int"
+    docs = spark.createDataFrame(rows, schema).limit(0 if empty else 99)
+    spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, str(tmp_path))
+        assert left.columns == docs.columns
+        assert all(r[0] == r[5] == r[6] == r[7] == r[8] == r[9] for r in left.collect())
+        assert (left.count() > 0) != empty

@@ -33,17 +33,43 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def bucketed(frame: DataFrame, key: str) -> DataFrame:
-    """The frame written to the shared folder in buckets of `key`: joins on it don't shuffle it again.
+def bucketed(frame: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """The frame written to the shared folder in buckets of `key`, and the table's name: joins on it don't shuffle it again.
 
-    As many buckets as shuffles have partitions; the frame should come partitioned so.
+    As many buckets as shuffles have partitions; the frame should come partitioned so. `discard`
+    removes the table.
     """
     spark = frame.sparkSession
     name = f"cut_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_folder(spark)}/{name}"
     frame.write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
+
+
+def discard(spark: SparkSession, name: str) -> None:
+    """Remove a table that `bucketed` wrote, with its files, once nothing reads it any more."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bits of the map that `thinned` broadcasts: at most 2**19 rows of a word of it.
+MAP_BITS = 25
+
+
+def thinned(frame: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of `frame` whose `key` may be in `wanted`, all that are and few others: less to shuffle for a join.
+
+    Keys are hashed to the bits of a map of fixed size, which alone is broadcast. It lets more
+    rows pass the more keys are wanted, and never holds back one that is.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << MAP_BITS))
+    word, bit = F.shiftright(place, 6), F.expr("1L").cast("long")
+    bit = F.call_function("shiftleft", bit, (place % 64).cast("int"))
+    bits = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    met = frame.join(F.broadcast(bits), word == F.col("_word")).where(bit.bitwiseAND(F.col("_bits")) != 0)
+    return met.drop("_word", "_bits")
 
 
 def by_place(frame: DataFrame) -> DataFrame:

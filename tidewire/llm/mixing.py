@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewire.llm.cluster import cut
+from tidewire.llm.cluster import by_place, cut
 
 SEPARATORS = r"\x20\x09-\x0D"
 
@@ -140,6 +140,8 @@ def apply(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
     Nulls, empty and long texts, ties and repeated rows as in `mix`; columns may have any name.
     """
-    found = mix(frame, id_col, text_col, source_col, carry=tuple(frame.columns), **mixing)
+    own = by_place(frame)
+    named = [own.columns[frame.columns.index(c)] for c in (id_col, text_col, source_col)]
+    found = mix(own, *named, carry=tuple(own.columns), **mixing)
     taken = found.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return taken.select("row.*")
+    return taken.select("row.*").toDF(*frame.columns)

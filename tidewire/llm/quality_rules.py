@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.cluster import cut
+from tidewire.llm.cluster import by_place, cut
 from tidewire.llm.text import SPACE
 
 #: Words of a window whose repetition counts.
@@ -259,7 +259,9 @@ def keep(frame: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Rows meet their verdict by id and text, so null ids and repeated rows get the one of
     their own text; null, empty and long texts as in `statistics`. Columns may have any name.
     """
-    found, _ = judge(frame, labels, id_col, text_col, **learning)
+    own = by_place(frame)
+    id_at, text_at = (own.columns[frame.columns.index(c)] for c in (id_col, text_col))
+    found, _ = judge(own, labels.withColumnRenamed(id_col, id_at), id_at, text_at, **learning)
     kept = found.where("kept").select(F.col("id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("kept_key"))
-    return frame.join(kept, same, "left_semi")
+    same = F.col(id_at).eqNullSafe(F.col("kept_id")) & (F.xxhash64(F.coalesce(F.col(text_at), F.lit(""))) == F.col("kept_key"))
+    return own.join(kept, same, "left_semi").toDF(*frame.columns)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewire.llm.cluster import bucketed, components, cut
+from tidewire.llm.cluster import bucketed, components, cut, discard, thinned
 
 #: Bits of a fingerprint.
 BITS = 64
@@ -297,15 +297,15 @@ def near_copies(
     rows = cut(shingle_sketches(given, shingle, similarity))
     nodes = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("need").alias("need"), F.count("*").alias("copies")))
     # Only texts whose sketch has enough shingles of other texts can have a similar one.
-    seen = W.partitionBy("shingle")
     dealt = rows.select("node", F.explode("shingles").alias("shingle"))
-    dealt = dealt.withColumn("other", F.min("node").over(seen) != F.max("node").over(seen)).where("other")
-    hits = dealt.groupBy("node").agg(F.count("*").alias("hits"))
-    likely = nodes.join(hits, "node").where("hits >= need * copies").select("node", F.col("least").alias("id"))
-    texts = given.join(likely.select("id").distinct(), "id")
+    shared = dealt.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("shingle")
+    shared = cut(shared)
+    hits = thinned(dealt, "shingle", shared).join(shared, "shingle").groupBy("node").agg(F.count("*").alias("hits"))
+    likely = cut(nodes.join(hits, "node").where("hits >= need * copies").select("node", F.col("least").alias("id")))
+    texts = thinned(given, "id", likely).join(likely.select("id").distinct(), "id")
     parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = shingle_sets(texts, shingle).repartition(parts, "node").join(likely.select("node"), "node", "left_semi")
-    sets = bucketed(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "twins", "print", "shingles", "parity"))), "node")
+    sets, name = bucketed(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "twins", "print", "shingles", "parity"))), "node")
 
     first = cut(prefixes(sets, similarity))
     alone = first.withColumn("part", F.col("node"))
@@ -315,6 +315,7 @@ def near_copies(
     more = similar(all_pairs(labelled, sets, similarity), sets, similarity)
     # What still links is joined on the level of the groups that there are.
     higher = cut(components(with_root(with_root(more, "a", labels, "x"), "b", labels, "y"), "x", "y"))
+    discard(frame.sparkSession, name)
     rooted = with_root(with_root(nodes.select("node", "least"), "node", labels, "low"), "low", higher, "root")
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
     return rows.select("id", "node").join(rooted.join(named, "root").select("node", "component"), "node").select("id", "component")
@@ -344,7 +345,8 @@ def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     """
     cut_bits = F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int"))
     dealt = sets.select("node", "n", "twins", F.explode(cut_bits).alias("shingle"))
-    shared = dealt.withColumn("sets", F.count("*").over(W.partitionBy("shingle"))).where("sets > 1")
+    counts = cut(dealt.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1"))
+    shared = thinned(dealt, "shingle", counts).join(counts, "shingle")
     order = F.sort_array(F.collect_list(F.struct("sets", "shingle")))
     ordered = shared.groupBy("node", "n", "twins").agg(order.alias("found"))
     # A set's own shingles come before those it shares.

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import text as tw
-from tidewire.llm.cluster import cut
+from tidewire.llm.cluster import by_place, cut
 
 
 class BitVector:
@@ -408,7 +408,8 @@ def apply(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", **re
     Nulls, empty and long texts, repeated rows and empty tables as in `dedup`; columns may
     have any name.
     """
-    others = tuple(c for c in frame.columns if c != text_col)
-    found = dedup(frame, id_col, text_col, carry=(*others, text_col), **removal)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"row.{text_col}"))
-    return found.select(*(text.alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in frame.columns))
+    own, at = by_place(frame), frame.columns.index(text_col)
+    text_at = own.columns[at]
+    found = dedup(own, own.columns[frame.columns.index(id_col)], text_at, carry=tuple(own.columns), **removal)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"row.{text_at}"))
+    return found.select(*(text if c == text_at else F.col(f"row.{c}") for c in own.columns)).toDF(*frame.columns)
