@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import mixing, quality_rules, sentencepiece, simhash, substring_dedup
-from tidewire.llm.cluster import cut
+from tidewire.llm.cluster import by_place, cut
 from tidewire.llm.queries import PIECES, table
 
 
@@ -27,8 +27,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts count whole; an empty table gives no rows; columns of any name stay.
     """
     found = simhash.near_copies(docs, shingle=5, similarity=0.8)
-    gone = found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = found.where("id <> component").select(F.col("id").alias("gone")).distinct()
+    own = by_place(docs)
+    left = own.join(gone, own[own.columns[docs.columns.index("doc_id")]] == gone["gone"], "left_anti")
+    return left.toDF(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,17 +38,17 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Null texts stay null, texts without repeats stay as they are, however long; rows without an
     id and repeated rows stay, the latter without removing each other's words. `n_chars`
-    follows the text. An empty table gives no rows.
+    follows the text. An empty table gives no rows; columns of any name stay.
     """
-    left = substring_dedup.apply(docs, window=50)
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return substring_dedup.apply(docs, window=50).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them.
 
     A null source is one of its own; null and empty texts are of no size and may be taken;
-    repeated rows are taken each for itself; an empty table gives no rows.
+    repeated rows are taken each for itself; texts count whole, however long; an empty table gives
+    no rows; columns of any name stay.
     """
     return mixing.apply(docs)
 
