@@ -10,14 +10,11 @@ from tidewire.operators import intake
 from tidewire.streaming import state as streams
 
 
-def test_listings_and_posts(spark):
+def test_listings(spark):
     html = '<a href="/news/one#x">A headline that is long</a><a href="/news/one">Again the headline, longer</a><a href="/about">About this paper</a><a href="/news/two">Short</a>'
     rows = spark.createDataFrame([(1, html, "https://a.example/list")], "id int, html string, base string")
     found = [(r["title"], r["link"]) for r in intake.listing_items(rows, "id", "html", "base", "^/news/").collect()]
     assert found == [("A headline that is long", "https://a.example/news/one")]
-    posts = '{"post_id":"77","creation_time":1700000000,"message":"caf\\u00e9 \\"x\\"\\nline"} {"post_id":"78","x":1}'
-    found = intake.embedded_posts(spark.createDataFrame([(1, posts)], "id int, html string"), "id", "html").collect()
-    assert [(r["post"], r["text"], r["at"]) for r in found] == [("77", 'café "x" line', datetime(2023, 11, 14, 22, 13, 20))]
 
 
 def test_comments_with_replies(spark):

@@ -70,14 +70,6 @@ def test_merge_copies(spark):
     assert (row["id"], row["title"], row["terms"], row["relevant"]) == (2, "t", ["b", "a", "c"], True)
 
 
-def test_dedupe_titles_keeps_other_outlets(spark):
-    frame = spark.createDataFrame(
-        [(1, "A b", "x", "x.org", False, False), (2, "a B!", "x", "y.org", False, False), (3, "A b", "z", "z.org", False, False), (4, "", None, None, False, False)],
-        "pos int, title string, outlet string, domain string, curated boolean, aggregated boolean",
-    )
-    assert sorted(r["pos"] for r in resolve.dedupe_titles(frame, "pos").collect()) == [1, 3, 4]
-
-
 def test_retention_refuses_before_exempting(spark):
     now = dates.instant("2026-01-01")
     frame = spark.createDataFrame([(1, datetime(2020, 1, 1), True, False), (2, datetime(2020, 1, 1), False, False), (3, datetime(2025, 12, 1), True, True), (4, datetime(2027, 1, 1), True, False)], "id int, at timestamp, ex boolean, no boolean")

@@ -240,16 +240,6 @@ def linked_comments(frame: DataFrame, id_col: str, json_col: str, most: int = 25
     return rows.withColumn("place", place).where(F.col("place") <= most).select("id", "place", "author", "text", "at")
 
 
-def embedded_posts(frame: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, place, post, text, at) of posts in a social page's embedded data: their ids, messages unescaped, creation times."""
-    pattern = r'"post_id":"(\d+)"[^{}]{0,400}?"creation_time":(\d{9,11})[^{}]{0,400}?"message":"((?:[^"\\]|\\.)*)"'
-    at = F.posexplode(F.regexp_extract_all(html_col, F.lit(pattern), F.lit(0))).alias("place", "raw")
-    rows = frame.select(F.col(id_col).alias("id"), at)
-    message = F.from_json(F.concat(F.lit('{"m":"'), F.regexp_extract("raw", pattern, 3), F.lit('"}')), "m string")["m"]
-    seconds = F.regexp_extract("raw", pattern, 2).try_cast("long")
-    return rows.select("id", "place", F.regexp_extract("raw", pattern, 1).alias("post"), clean(message).alias("text"), F.timestamp_seconds(seconds).alias("at"))
-
-
 def listing_items(frame: DataFrame, id_col: str, html_col: str, base_col: str, path: str, least: int = 12) -> DataFrame:
     """(id, place, title, link) of a listing page's links whose path fits a pattern and whose text is a headline; the first of each address."""
     anchor = r"""(?is)<a\b[^>]*?href\s*=\s*["']([^"'#]+)[^"']*["'][^>]*>(.*?)</a>"""

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import blank_to_null, title_key
+from tidewire.operators.cluster import cut
 
 
 def first_rows(frame: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
@@ -101,42 +102,80 @@ def duplicates(frame: DataFrame, key: Column, identity: str) -> DataFrame:
     return keyed.join(groups, "key").select("identity", "first", "copies")
 
 
-def dedupe_titles(frame: DataFrame, position: str, title: str = "title", outlet: str = "outlet", domain: str = "domain", curated: str = "curated", aggregated: str = "aggregated") -> DataFrame:
-    """Rows without those that an earlier row of the same title replaces, in order of position.
+def resolve_titles(frame: DataFrame, position: str, title: str = "title", outlet: str = "outlet", domain: str = "domain", curated: str = "curated", aggregated: str = "aggregated", most_rounds: int = 10_000) -> DataFrame:
+    """(position, slot, rank) of each row: which rows of one title become one, and in which order they fill it.
 
-    A row goes if an earlier row kept has its title and its domain, or its title and its
-    outlet, or its title where one of the two is curated and the other comes from an
-    aggregator. Which row was kept last under a title decides about the third, so rows of a
-    title are walked in order; equal titles in other outlets stay. Rows without a title stay.
+    Rows are taken in order of position. A row of a title joins the slot that its domain has (an
+    aggregator's: its domain and outlet) unless it is curated. Else it replaces the title's newest slot if
+    it is curated and that is an aggregator's, or joins it if that is curated and the row an aggregator's.
+    Else it meets the slot of its outlet: a curated row replaces one that isn't, a publisher's row one
+    of an aggregator, and where either is an aggregator's it joins. Else it opens a slot of its own.
 
-    Within a title only the first row of each (domain, outlet, curated, aggregated) can be
-    kept by the first rule, so the others go before titles are gathered: a title's group has
-    a row per outlet, not per copy.
+    `slot` is the position that opened it; of its rows the least `rank` leads, and later ranks
+    fill what is blank: those that replaced come first, the last one foremost, then the opener, then
+    those that joined. Rows without a title have slots of their own. Positions are distinct.
+
+    Titles that have neither curated nor aggregated rows are one aggregation. The others go in
+    rounds: each round finds every title's first row that opens or replaces, settles the rows before
+    it as joining, and tells the rows behind it; there are as many rounds as the most changes of a title.
     """
-    keyed = frame.withColumn("_key", title_key(F.col(title)))
-    untitled = keyed.where("_key = ''").drop("_key")
-    kinds = ["_key", domain, outlet, curated, aggregated]
-    filled = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in kinds]
-    # Rows with neither domain nor outlet are nobody's copy.
-    nowhere = F.when(F.coalesce(F.col(domain), F.col(outlet), F.lit("")) == "", F.col(position)).alias("_own")
-    firsts = keyed.where("_key <> ''").groupBy(*filled, nowhere).agg(F.min(position).alias(position))
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        domains, outlets, kept = set(), set(), []
-        last = None
-        for row in group.sort_values(position).to_dict("records"):
-            crossed = last is not None and {(last[curated], last[aggregated]), (row[curated], row[aggregated])} == {("true", "false"), ("false", "true")}
-            if (row[domain] and row[domain] in domains) or (row[outlet] and row[outlet] in outlets) or crossed:
-                continue
-            domains.add(row[domain])
-            outlets.add(row[outlet])
-            kept.append(row[position])
-            last = row
-        return pd.DataFrame({position: kept})
-
-    kind = frame.schema[position].dataType.simpleString()
-    kept = firsts.groupBy("_key").applyInPandas(walk, f"{position} {kind}")
-    return keyed.where("_key <> ''").join(kept, position, "left_semi").drop("_key").unionByName(untitled)
+    keyed = frame.select(
+        F.col(position).alias("pos"), title_key(F.col(title)).alias("key"), F.coalesce(F.col(outlet), F.lit("")).alias("o"), F.coalesce(F.col(domain), F.lit("")).alias("site"),
+        F.coalesce(curated, F.lit(False)).alias("c"), F.coalesce(aggregated, F.lit(False)).alias("g"),
+    )
+    keyed = keyed.withColumn("d", F.when(F.col("site") == "", "").when(F.col("g"), F.concat_ws("|", "site", "o")).otherwise(F.concat(F.col("site"), F.lit("|")))).drop("site")
+    titled = keyed.where("key <> ''")
+    mixed = titled.groupBy("key").agg(F.bool_or(F.col("c") | F.col("g")).alias("mixed"))
+    told = titled.join(mixed, "key")
+    plain = told.where("NOT mixed AND d <> ''")
+    firsts = plain.groupBy("key", "d").agg(F.min("pos").alias("slot"))
+    done = [plain.join(firsts, ["key", "d"]).select("pos", "slot", F.when(F.col("pos") == F.col("slot"), 0).otherwise(F.col("pos")).cast("long").alias("rank"))]
+    alone = keyed.where("key = ''").select("pos").union(told.where("NOT mixed AND d = ''").select("pos"))
+    done.append(alone.select("pos", F.col("pos").alias("slot"), F.lit(0).cast("long").alias("rank")))
+
+    slot, flag = frame.schema[position].dataType.simpleString(), F.lit(None).cast("boolean")
+    empty = {f"{x}_slot": F.lit(None).cast(slot) for x in "doa"} | {f"{x}_{y}": flag for x in "oa" for y in "cg"}
+    now = cut(told.where("mixed").drop("mixed").withColumns(empty))
+    by_domain = F.col("d_slot").isNotNull() & ~F.col("c")
+    over_newest = F.col("c") & ~F.col("a_c") & F.col("a_g")
+    to_newest = F.col("a_c") & ~F.col("c") & F.col("g")
+    over_outlet = F.col("o_slot").isNotNull() & ((F.col("c") & ~F.col("o_c")) | (F.col("o_g") & ~F.col("g")))
+    to_outlet = F.col("o_slot").isNotNull() & (F.col("o_g") | F.col("g"))
+    # The first of these that holds; the empty ones are false, for what a title doesn't have yet is null.
+    deed = F.when(by_domain, "join").when(over_newest, "replace").when(to_newest, "join").when(over_outlet, "replace").when(to_outlet, "join").otherwise("open")
+    where = F.when(by_domain, F.col("d_slot")).when(over_newest | to_newest, F.col("a_slot")).when(over_outlet | to_outlet, F.col("o_slot")).otherwise(F.col("pos"))
+    for _ in range(most_rounds):
+        seen = now.withColumns({"deed": deed, "where": where})
+        change = F.struct("pos", F.col("where").alias("slot"), "deed", "d", "o", "c", "g")
+        events = seen.where("deed <> 'join'").groupBy("key").agg(F.min_by(change, "pos").alias("e"))
+        met = cut(seen.join(events, "key", "left"))
+        if met.isEmpty():
+            break
+        settled = met.where("e IS NULL OR pos <= e.pos")
+        rank = F.when(F.col("deed") == "open", 0).when(F.col("deed") == "replace", -F.col("pos")).otherwise(F.col("pos"))
+        done.append(settled.select("pos", F.col("where").alias("slot"), rank.cast("long").alias("rank")))
+        opened = F.col("e.deed") == "open"
+        outlet_now = (F.col("o") != "") & (F.col("o") == F.col("e.o"))
+        # A slot's flags are those of its newest leader.
+        led = {x: first | F.coalesce(F.col(f"{x}_slot") == F.col("e.slot"), F.lit(False)) for x, first in (("o", outlet_now), ("a", opened))}
+        now = met.where("e IS NOT NULL AND pos > e.pos").select(
+            "pos", "key", "o", "c", "g", "d", F.when((F.col("d") != "") & (F.col("d") == F.col("e.d")), F.col("e.slot")).otherwise(F.col("d_slot")).alias("d_slot"),
+            F.when(outlet_now, F.col("e.slot")).otherwise(F.col("o_slot")).alias("o_slot"), F.when(opened, F.col("e.slot")).otherwise(F.col("a_slot")).alias("a_slot"),
+            *(F.when(led[x], F.col(f"e.{y}")).otherwise(F.col(f"{x}_{y}")).alias(f"{x}_{y}") for x in "oa" for y in "cg"),
+        )
+    else:
+        raise RuntimeError(f"titles did not settle in {most_rounds} rounds")
+    every = done[0]
+    for more in done[1:]:
+        every = every.unionByName(more)
+    return every.select(F.col("pos").alias(position), "slot", "rank")
+
+
+def resolved(frame: DataFrame, found: DataFrame, position: str, fill: Sequence[str] = (), union: Sequence[str] = (), earliest: Sequence[str] = (), verdict: str | None = None) -> DataFrame:
+    """One row per slot of `resolve_titles`: its leading row, filled up by the others in order of rank."""
+    ranked = frame.join(found, position).withColumn("_worth", -F.col("rank")).drop("rank")
+    merged = merge_copies(ranked, "slot", "_worth", position, fill, union, earliest, verdict)
+    return merged.select(*frame.columns)
 
 
 def merge_comments(frame: DataFrame, key: str, position: str, author: str, text: str) -> DataFrame:

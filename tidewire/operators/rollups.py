@@ -144,18 +144,22 @@ def stories(frame: DataFrame, rank: Column, group: str, title: str, identity: st
     """The `most` best rows of different groups and titles, in all or for each value of `by`.
 
     The best row is taken; rows of its group or title are out for the next one. A row without
-    a group is one of its own. So each of `most` rounds is an aggregation over what is left.
+    a group is one of its own. So each of `most` rounds is an aggregation over what is left, of
+    which ids and titles alone are carried; whole rows are fetched once for what was taken.
+    There is a taken row for each value of `by`, which should be few; identities are distinct.
     """
     own = F.lit(0) if by is None else F.col(by)
-    left = frame.withColumns({"rank": rank, "_by": own, "_group": F.coalesce(F.col(group).cast("string"), F.concat(F.lit("row "), F.col(identity).cast("string"))), "_title": F.lower(title)})
+    named = {"rank": rank, "_by": own, "_group": F.coalesce(F.col(group).cast("string"), F.concat(F.lit("row "), F.col(identity).cast("string"))), "_title": F.lower(title)}
+    ranked = frame.withColumns(named)
+    left = ranked.select(F.col(identity).alias("_id"), *named)
     picked = None
     for turn in range(most):
-        best = left.groupBy("_by").agg(F.max_by(F.struct(*left.columns), F.struct("rank", identity)).alias("row")).select("row.*")
-        picked = best.withColumn("turn", F.lit(turn + 1)) if picked is None else picked.unionByName(best.withColumn("turn", F.lit(turn + 1)))
+        best = left.groupBy("_by").agg(F.max_by(F.struct("_id", "_group", "_title"), F.struct("rank", "_id")).alias("row")).select("_by", F.col("row._id").alias("_id"), F.col("row._group").alias("_g"), F.col("row._title").alias("_t"))
+        taken = best.select("_id", F.lit(turn + 1).alias("turn"))
+        picked = taken if picked is None else picked.unionByName(taken)
         if turn + 1 < most:
-            taken = best.select("_by", F.col("_group").alias("_g"), F.col("_title").alias("_t"))
-            left = left.join(taken, "_by", "left").where("NOT (_group <=> _g) AND NOT (_title <=> _t)").drop("_g", "_t")
-    return picked.drop("_by", "_group", "_title")
+            left = left.join(F.broadcast(best.drop("_id")), "_by", "left").where("NOT (_group <=> _g) AND NOT (_title <=> _t)").drop("_g", "_t")
+    return ranked.drop("_by", "_group", "_title").join(picked, F.col(identity) == F.col("_id")).drop("_id")
 
 
 def header_counts(frame: DataFrame, relevant: str) -> DataFrame:

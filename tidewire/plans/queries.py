@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import dates, text, urls
 from tidewire.operators import archive, cluster, evaluate, resolve, rollups, rules, state
-from tidewire.plans import answers, choices, displays, intakes, libraries, markups, people, profiles, queues, reports, wordings  # noqa: F401 - they register their queries
+from tidewire.plans import answers, choices, displays, intakes, libraries, markups, people, profiles, queues, reports, states, wordings  # noqa: F401 - they register their queries
 from tidewire.plans.registry import QUERIES, SQL, query, table  # noqa: F401
 from tidewire.sinks import outputs
 from tidewire.sources import feeds

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -63,15 +62,22 @@ def sliding_counts(stream: DataFrame, key: str, at: str, width: str = "1 hour",
 
 
 def deliver(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Write what is there now to a folder, each key once, however often batches or runs are repeated."""
+    """Write what is there now to a folder, each key once, however often batches or runs are repeated.
+
+    Which keys were delivered is told by a folder of keys alone, inside `path`, where readers of the
+    rows pass it over: rows that were delivered are not read again. Keys are written after their rows,
+    so a run that ends between the two delivers that batch's rows again rather than losing them.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
-        spark, fresh = batch.sparkSession, batch.dropDuplicates(keys)
-        try:
-            fresh = fresh.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti").select(*batch.columns)
-        except AnalysisException:
-            # Nothing has been delivered to this folder yet.
-            pass
+        spark, fresh, told = batch.sparkSession, batch.dropDuplicates(keys), f"{path}/_delivered"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(told)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            fresh = fresh.join(spark.read.parquet(told).distinct(), keys, "left_anti").select(*batch.columns)
+        # Both folders get the same rows.
+        fresh = fresh.persist()
         fresh.write.mode("append").parquet(path)
+        fresh.select(*keys).write.mode("append").parquet(told)
+        fresh.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
