@@ -134,11 +134,15 @@ def agency_link(text: Column, domain: str, fallback: Column) -> Column:
     return F.coalesce(F.get(F.filter(found, lambda u: urls.in_domains(urls.host(u), [domain])), F.lit(0)), fallback)
 
 
-def agency_text(text: Column, title: Column, ends: str = r"(?i)(?:Meeting Location:|Additional Details:)") -> Column:
+#: Where a description's practical details begin, and a line that only tells times. Fixed values.
+DETAILS = r"(?i)(?:Meeting Location:|Additional Details:)"
+TIMES = r"(?i)^\d{1,2}(?::\d{2})?\s*(?:am|pm)?\s*-\s*\d{1,2}(?::\d{2})?\s*(?:am|pm)$"
+
+
+def agency_text(text: Column, title: Column, ends: str = DETAILS) -> Column:
     """The lines of a description before its practical details, without addresses, times and the title itself."""
     lines = F.transform(F.split(F.get(F.split(text, ends), F.lit(0)), "\n"), lambda x: F.trim(F.regexp_replace(x, r"https?://\S+", "")))
-    times = r"(?i)^\d{1,2}(?::\d{2})?\s*(?:am|pm)?\s*-\s*\d{1,2}(?::\d{2})?\s*(?:am|pm)$"
-    kept = F.filter(lines, lambda x: (x != "") & (F.lower(x) != F.lower(title)) & ~x.rlike(times))
+    kept = F.filter(lines, lambda x: (x != "") & (F.lower(x) != F.lower(title)) & ~x.rlike(TIMES))
     return clean(F.array_join(kept, ". "))
 
 

@@ -32,19 +32,28 @@ def _any(words: Sequence[str]) -> str:
     return f"(?:{'|'.join(words)})"
 
 
-#: Another organization: a preposition before a capital.
+#: Another organization: a preposition before a capital. Fixed value.
 OTHER = r"\b(?:of|at|with|from|for)\s+(?:the\s+)?[A-Z]"
+#: Who speaks for others. Fixed value.
 SPOKES = r"(?i:\bspokes(?:person|woman|man)\b)"
 #: A character of the sentence that names no other organization.
 STEP = rf"(?:(?!{OTHER})(?:\b{_any(ABBREVIATIONS)}\.|[^;.!?]))"
 SAYS = rf"(?i:(?:(?:also|later|then|recently)\s+)?{_any(VERBS)}\b)"
 FILLER = rf"(?i:(?:{_any([*FILLERS, BRAND])}\s+){{0,10}})"
-#: What may follow a name that words are attributed to, and what may stand before it.
-FOLLOWS = rf"(?:['’]?\s+{SAYS}|,\s*{STEP}{{0,160}}?,\s*{SAYS}|,\s*{STEP}{{0,60}}?{SPOKES}(?![^.;]{{0,80}}?{OTHER})|\s*:\s*[\"“])"
-LEADS = (
-    rf"(?:{SPOKES}\s+|{SPOKES}\s+(?:for|at|of)\s+[^,.]{{1,60}},\s*|(?i:\baccording\s+to\s+){FILLER}|[”\"’',]\s*(?i:said|says|wrote)\s+{FILLER}(?=[^,.;]{{1,60}}?(?:[,.;]|$))"
-    rf"|[^\s(\[“\"'][”\"’]\s*[,—–-]?\s*|[—–]\s*)"
+#: The clauses by which words are attributed to a name, what they are and on which side of it they stand. Bounds and words are fixed values.
+CLAUSES = (
+    ("after", "a verb of saying", rf"['’]?\s+{SAYS}"),
+    ("after", "a clause and a verb", rf",\s*{STEP}{{0,160}}?,\s*{SAYS}"),
+    ("after", "speaking for somebody", rf",\s*{STEP}{{0,60}}?{SPOKES}(?![^.;]{{0,80}}?{OTHER})"),
+    ("after", "a colon and a quotation", r"\s*:\s*[\"“]"),
+    ("before", "a title of a speaker", rf"{SPOKES}\s+"),
+    ("before", "a speaker for somebody", rf"{SPOKES}\s+(?:for|at|of)\s+[^,.]{{1,60}},\s*"),
+    ("before", "according to", rf"(?i:\baccording\s+to\s+){FILLER}"),
+    ("before", "a quotation and a verb", rf"[”\"’',]\s*(?i:said|says|wrote)\s+{FILLER}(?=[^,.;]{{1,60}}?(?:[,.;]|$))"),
+    ("before", "the end of a quotation", r"[^\s(\[“\"'][”\"’]\s*[,—–-]?\s*"),
+    ("before", "a dash", r"[—–]\s*"),
 )
+FOLLOWS, LEADS = (f"(?:{'|'.join(p for own, _, p in CLAUSES if own == side)})" for side in ("after", "before"))
 #: The rest of the sentence names no other organization.
 PURE = rf"(?!(?:\b{_any(ABBREVIATIONS)}\.|[^.!?]){{0,100}}?{OTHER})"
 #: No title of others stands before.
