@@ -164,7 +164,9 @@ def _path(node: Node, path: tuple, at: int) -> bool:
 class Field:
     """Where a value is: a selector below the item (blank: the item), an attribute or the text, the first match or every one.
 
-    `itself` lets the item be the match; `without` names elements whose text doesn't count.
+    `itself` lets the item be the match; `without` names elements whose text doesn't count. `outward`
+    asks for the texts of so many elements around the match, cleaned and cut to `most` characters,
+    from the nearest on: their places are 0, 1 and so on.
     """
 
     name: str
@@ -173,6 +175,8 @@ class Field:
     every: bool = False
     itself: bool = False
     without: str = ""
+    outward: int = 0
+    most: int = 0
 
 
 @dataclass(frozen=True)
@@ -215,6 +219,14 @@ class Compiled:
                     else:
                         met = [n for n in below if selector.meets(n)]
                     for n in met if own.every else met[:1]:
+                        if own.outward:
+                            at = n.parent
+                            for level in range(own.outward):
+                                if at is None:
+                                    break
+                                yield rule.name, item.place, outer, around, own.name, turn, level, " ".join(at.text(without).split())[: own.most]
+                                at = at.parent
+                            continue
                         text = n.attributes.get(own.attribute) if own.attribute else n.text(without)
                         if text is not None:
                             yield rule.name, item.place, outer, around, own.name, turn, n.place, text

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewire.functions import dates, urls
 from tidewire.functions.text import clean, first_filled
 from tidewire.operators.resolve import threads
+from tidewire.sources.markup import Field, Rule, filled
 
 #: Marks in a page's data: a post's address, its message and time, a comment's text, author, time and depth. Fixed values.
 POST_URL = r'"wwwURL":"(https:\\/\\/www\.facebook\.com\\/[^"]*?\\/posts\\/[^"]+?)"'
@@ -72,6 +74,73 @@ def preloaded_comments(frame: DataFrame, id_col: str, html_col: str) -> DataFram
     return threads(numbered, "id", "place", F.col("first") | (F.col("depth") == 0)).select("id", "place", "root", "author", "text", "at")
 
 
+#: Where a post's own page tells what it is; comments that it shows, by what screen readers are told; and links to posts.
+POST = Rule("post", "", (
+    *(Field("text", f"meta[{kind}='{name}']", "content") for name in ("og:description", "twitter:description", "description") for kind in ("property", "name")),
+    *(Field("title", f"meta[{kind}='{name}']", "content") for name in ("og:title", "twitter:title") for kind in ("property", "name")),
+    Field("link", "link[rel='canonical']", "href"), *(Field("link", f"meta[{kind}='og:url']", "content") for kind in ("property", "name")),
+    *(Field("date", f"meta[{kind}='{name}']", "content") for name in ("article:published_time", "article:modified_time") for kind in ("property", "name")),
+))
+SHOWN = Rule("shown", "[aria-label^='Comment by'], [aria-label*=' comment by'], [data-testid='UFI2Comment/body'], .UFICommentBody", (Field("aria", "", "aria-label"), Field("text")))
+LINKS = Rule("links", "a[href]", (Field("href", "", "href"), Field("own"), Field("around", outward=6, most=1201)))
+#: How long ago something was, at a text's end; and the words of a post's buttons. Fixed values.
+AGO = r"(?i)\b(?:\d+[mhd](?:\d+)?|(?:about\s+)?(?:an?\s+hour|\d+\s+(?:minutes?|hours?|days?))\s+ago)$"
+BUTTONS, POST_PATH = r"(?i)\b(?:Like|Comment|Share|Full Story)\b", r"(?i)/posts/|story\.php|permalink\.php"
+RELATIVE = r"(?i)\b(?:(\d+)\s*([mhd])|(\d+)\s+(minutes?|hours?|days?)|an?\s+hour)\s*·"
+
+
+def relative_time(text: Column, now: Column) -> Column:
+    """The instant that "3h ·" or "an hour ·" in a text lies before `now`; null without one."""
+    part = lambda i: F.regexp_extract(clean(text), RELATIVE, i)
+    amount = F.coalesce(F.nullif(part(1), F.lit("")), F.nullif(part(3), F.lit("")), F.lit("1")).try_cast("int")
+    unit = F.lower(F.substring(first_filled(part(2), part(4), F.lit("h")), 1, 1))
+    seconds = F.when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86_400)
+    return F.when(clean(text).rlike(RELATIVE), F.timestamp_micros(F.unix_micros(now) - amount.cast("long") * seconds * 1_000_000))
+
+
+def post_pages(found: DataFrame, pages: DataFrame, id_col: str, name: Column, url: Column, html: Column) -> DataFrame:
+    """(id, title, link, at, text) of posts' own pages, from rows of `POST`: what their heads tell, else the name and address asked for."""
+    said = found.where("rule = 'post'").groupBy("id").agg(filled("text").alias("text"), filled("title").alias("title"), filled("link").alias("link"), filled("date", dates.parse(clean(F.col("text")))).alias("at"))
+    asked = pages.select(F.col(id_col).alias("id"), name.alias("name"), url.alias("url"), F.timestamp_seconds(F.nullif(F.regexp_extract(html, r'"(?:creation_time|publish_time)":(\d{9,12})\b', 1), F.lit("")).try_cast("long")).alias("made"))
+    joined = asked.join(said, "id", "left")
+    text = F.coalesce("text", F.lit(""))
+    title = F.concat(first_filled(F.col("title"), F.col("name")), F.lit(" post"), F.when(text != "", F.concat(F.lit(": "), F.substring(text, 1, 80))).otherwise(""))
+    return joined.select("id", clean(title).alias("title"), first_filled(F.col("link"), F.col("url")).alias("link"), F.coalesce("at", "made").alias("at"), text.alias("text"))
+
+
+def shown_comments(found: DataFrame) -> DataFrame:
+    """(id, item, author, text) of comments that a page shows, from rows of `SHOWN`; of copies the first."""
+    own = found.where("rule = 'shown'").groupBy("id", "item").agg(filled("aria").alias("aria"), filled("text").alias("text"))
+    author = F.regexp_replace(F.regexp_replace(F.coalesce("aria", F.lit("")), r"(?i)^Comment by\s+", ""), r"(?i)\s+(?:about\s+)?(?:an?\s+hour|\d+\s+(?:minutes?|hours?|days?))\s+ago$", "")
+    named = own.withColumn("author", author)
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), "(?i)^Top fan", "")
+    leads = (F.col("author") != "") & F.startswith(F.lower(bare), F.lower("author"))
+    rest = F.regexp_replace(clean(F.when(leads, F.substring(bare, F.length("author") + 1, F.length(bare))).otherwise(bare)), "(?i)^Top fan", "")
+    text = F.trim(F.regexp_replace(F.regexp_replace(rest, AGO, ""), r"(?i)\d+[mhd](?:\d+)?$", ""))
+    told = named.select("id", "item", "author", text.alias("text")).where("text <> ''")
+    return told.groupBy("id", "author", "text").agg(F.min("item").alias("item")).select("id", "item", "author", "text")
+
+
+def linked_posts(found: DataFrame, pages: DataFrame, id_col: str, base: Column, now: Column, most: int = 1200) -> DataFrame:
+    """(id, item, link, text, at) of posts that a page links to, from rows of `LINKS`: the first link of each.
+
+    A post's text is that of the nearest element around its link that has more than the link's own
+    text and is not too long, else the shortest one cut.
+    """
+    rows = found.where("rule = 'links'")
+    own = rows.groupBy("id", "item").agg(filled("href").alias("href"), F.length(F.coalesce(filled("own"), F.lit(""))).alias("n")).where(F.col("href").rlike(POST_PATH))
+    around = rows.where("field = 'around' AND text <> ''").select("id", "item", "place", F.col("text").alias("level")).join(own, ["id", "item"])
+    fits = F.length("level").between(F.greatest(F.lit(20), F.col("n") + 1), F.lit(most))
+    best = around.groupBy("id", "item", "href").agg(
+        F.min_by("level", F.when(fits, F.col("place"))).alias("fit"), F.min_by("level", F.struct(F.length("level"), "place")).alias("short")
+    )
+    bases = pages.select(F.col(id_col).alias("id"), base.alias("base"))
+    text = clean(F.regexp_replace(F.coalesce("fit", F.substring("short", 1, most)), BUTTONS, " "))
+    told = best.join(bases, "id").select("id", "item", urls.post_link(urls.resolve(F.replace("href", F.lit("&amp;"), F.lit("&")), F.col("base"))).alias("link"), text.alias("text")).where("text <> '' AND link <> ''")
+    firsts = told.groupBy("id", "link").agg(F.min_by(F.struct("item", "text"), "item").alias("x"))
+    return firsts.select("id", "x.item", "link", "x.text", relative_time(F.col("x.text"), now).alias("at"))
+
+
 def merged_posts(pages: DataFrame, posts: DataFrame, key: str) -> DataFrame:
     """Posts as their page tells them, with what their own address told in its place where it told anything.
 
