@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.functions import dates
-from tidewire.functions.text import SENTIMENTS, percent_change
+from tidewire.functions.text import SENTIMENTS, blank_to_null, percent_change
 
 
 def share_of_voice(frame: DataFrame, month: Column, entities: Column, known: Sequence[str], start: str | None = None) -> DataFrame:
@@ -135,6 +135,27 @@ def members(frame: DataFrame, group: str, at: str, identity: str) -> DataFrame:
     return frame.withColumn("place", place).join(lead, group)
 
 
+def digest(frame: DataFrame, group: str, section: str, at: str, identity: str, shown: Mapping[str, Column], order: Sequence[str], brand: str, label: str, score: str) -> tuple[DataFrame, DataFrame]:
+    """A digest as data: its entries, and the other reports of each.
+
+    Entries are (story, place, section, at, lead, the `shown` columns, label, score): the newest report of a
+    story leads its entry and decides its section; `place` is the section's in `order`, stories of
+    other sections are left out. Labels and scores are shown in the brand's section only. The
+    other reports are (story, place, the `shown` columns) rows, newest first from 2, for a story may be
+    of any size. A row without a group is a story of its own. Entries are read by place, then newest first.
+    """
+    own = F.coalesce(F.concat(F.lit("story "), F.col(group).cast("string")), F.concat(F.lit("row "), F.col(identity).cast("string")))
+    placed = members(frame.withColumn("story", own), "story", at, identity)
+    position = F.array_position(F.array(*map(F.lit, order)), F.col(section))
+    is_brand = F.col(section) == brand
+    entries = placed.where(F.col("place") == 1).withColumn("_place", position).where("_place > 0").select(
+        "story", F.col("_place").alias("place"), F.col(section).alias("section"), F.col(at).alias("at"), F.col(identity).alias("lead"), *(c.alias(n) for n, c in shown.items()),
+        F.when(is_brand, blank_to_null(F.col(label))).alias("label"), F.when(is_brand, F.col(score)).alias("score"),
+    )
+    others = placed.where(F.col("place") > 1).join(entries.select("story"), "story").select("story", "place", *(c.alias(n) for n, c in shown.items()))
+    return entries, others
+
+
 def sort_time(published: Column, *others: Column) -> Column:
     """The time by which a row is sorted: its publication, else the latest of its other known times, else the epoch."""
     return F.coalesce(published, F.greatest(*others) if len(others) > 1 else others[0], F.lit("1970-01-01").cast("timestamp"))
