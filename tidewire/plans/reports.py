@@ -97,9 +97,9 @@ def joined_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", rollups.joined_list(F.col("roles")).alias("roles"), "last")
 
 
-@query(r"""WITH o AS (SELECT o_orderkey AS k, o_orderdate::TIMESTAMP AS at, o_orderpriority AS section, CASE WHEN o_custkey % 3 > 0 THEN o_custkey END AS g, o_orderstatus AS outlet, o_totalprice AS score FROM orders),
-s AS (SELECT *, coalesce('story ' || g, 'row ' || k) AS story FROM o), r AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY at DESC, k DESC) AS n, count(*) OVER (PARTITION BY story) AS members FROM s)
-SELECT story, CASE section WHEN '1-URGENT' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END::INTEGER AS place, section, at, k AS lead, outlet, CASE WHEN section = '1-URGENT' THEN 'neutral' END AS label, CASE WHEN section = '1-URGENT' THEN score END AS score, members - 1 AS others
+@query(r"""WITH o AS (SELECT o_orderkey AS k, o_orderdate::TIMESTAMP AS t, o_orderpriority AS section, CASE WHEN o_custkey % 3 > 0 THEN o_custkey END AS g, o_orderstatus AS outlet, o_totalprice AS score FROM orders),
+s AS (SELECT *, coalesce('story ' || g, 'row ' || k) AS story FROM o), r AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY t DESC, k DESC) AS n, count(*) OVER (PARTITION BY story) AS members FROM s)
+SELECT story, CASE section WHEN '1-URGENT' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END::INTEGER AS place, section, t AS "at", k AS lead, outlet, CASE WHEN section = '1-URGENT' THEN 'neutral' END AS label, CASE WHEN section = '1-URGENT' THEN score END AS score, members - 1 AS others
 FROM r WHERE n = 1 AND section IN ('1-URGENT', '3-MEDIUM', '5-LOW')""")
 def digest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as reports, customers as stories: the entries of three sections, and how many other reports each has."""
