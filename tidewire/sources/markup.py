@@ -305,7 +305,7 @@ def comments(found: DataFrame, least: int = 12, most: int = 1200) -> DataFrame:
     comments of a page the first stays; what answered one that went belongs to the next around it.
     """
     of_item = found.groupBy("id", "item").agg(
-        F.first("outer").alias("outer"), filled("author", refuse=NO_COMMENT).alias("author"), filled("text").alias("text"),
+        F.first("within").alias("within"), filled("author", refuse=NO_COMMENT).alias("author"), filled("text").alias("text"),
         filled("date", dates.parse(clean(F.col("text")))).alias("at"),
     )
     author = F.trim(F.regexp_replace(F.coalesce("author", F.lit("")), r"(?i)\s+says:?$", ""))
@@ -313,18 +313,10 @@ def comments(found: DataFrame, least: int = 12, most: int = 1200) -> DataFrame:
     good = told.where((F.length("text") >= least) & ~F.col("text").rlike(NO_COMMENT))
     firsts = good.groupBy("id", F.lower("author"), F.lower("text")).agg(F.min("item").alias("item")).select("id", "item")
     kept = good.join(firsts, ["id", "item"])
-    # Each round takes items whose outer one went to the one around that; depth bounds the rounds.
-    around = of_item.select("id", F.col("item").alias("outer"), F.col("outer").alias("next"))
-    own = kept.select("id", F.col("item").alias("outer"), F.lit(True).alias("there"))
-    now = kept.withColumn("thread", F.lit(None).cast("int"))
-    for _ in range(NESTED):
-        now = now.join(own, ["id", "outer"], "left").join(around, ["id", "outer"], "left")
-        now = now.withColumns({"thread": F.when(F.col("there"), F.col("outer")).otherwise(F.col("thread")), "outer": F.when(F.col("there").isNull(), F.col("next"))}).drop("there", "next")
-    return now.select("id", "item", "thread", "author", "text", "at")
-
-
-#: Comments around a comment that went, one after the other, that are passed over to find one that stayed.
-NESTED = 3
+    # The elements around an item are few; the nearest of them that is a comment kept itself is what it answers.
+    around = kept.select("id", "item", F.posexplode("within").alias("far", "thread"))
+    threads = around.join(kept.select("id", F.col("item").alias("thread")), ["id", "thread"]).groupBy("id", "item").agg(F.min_by("thread", "far").alias("thread"))
+    return kept.join(threads, ["id", "item"], "left").select("id", "item", "thread", "author", "text", "at")
 
 
 #: Days and months as they are written. Fixed values.
