@@ -36,8 +36,8 @@ def listed(page: Column, title: Column, words: Column) -> Column:
     return F.when(kind == 0, rows).when(kind == 1, chips).otherwise(slots)
 
 
-@query(r"""WITH p AS (SELECT page_id, page_id % 3 AS k, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, trim(regexp_replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
-  replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&') AS words FROM pages)
+@query(r"""WITH p AS (SELECT page_id, page_id % 3 AS k, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, trim(regexp_replace(regexp_replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS title,
+  regexp_replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&quot;', '"'), '&amp;?', '&', 'g') AS words FROM pages)
 SELECT page_id AS id, CASE k WHEN 0 THEN 'rows' WHEN 1 THEN 'chips' ELSE 'slots' END AS rule, title, CASE k WHEN 0 THEN root || '/n/' || page_id WHEN 1 THEN 'https://else.example/n/' || page_id ELSE root || '/newsroom/' || page_id END AS link,
   CASE k WHEN 0 THEN TIMESTAMP '2026-03-05 10:00:00' WHEN 1 THEN TIMESTAMP '2026-03-05' END AS at, trim(regexp_replace(CASE WHEN k = 2 THEN words || 'more' ELSE words || ' more' END, '\s+', ' ', 'g')) AS description, CASE k WHEN 0 THEN 'Blog' WHEN 1 THEN 'One Two' ELSE '' END AS category FROM p WHERE title <> ''""")
 def listing_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ DEFAULT = ("article", "main", ".entry-content")
 
 @query(r"""WITH p AS (SELECT page_id AS id, regexp_extract(url, '^https?://(?:www\.)?([^/?#:]+)', 1) AS host, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS article, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1) AS footer FROM pages),
 r AS (SELECT id, 'org' AS rule, CASE WHEN trim(h1) <> '' THEN h1 ELSE article END AS t FROM p WHERE regexp_matches(host, '(^|\.)example\.org$') UNION ALL SELECT id, 'net', footer FROM p WHERE regexp_matches(host, '(^|\.)example\.net$') UNION ALL SELECT id, 'default', article FROM p)
-SELECT id, rule, md5(trim(regexp_replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[\s\x{00a0}]+', ' ', 'g'))) AS digest FROM r WHERE trim(t) <> ''""")
+SELECT id, rule, md5(trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g'), '[\s\x{00a0}]+', ' ', 'g'))) AS digest FROM r WHERE trim(t) <> ''""")
 def article_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of every page's article by the selectors of its host, and by those for all."""
     found = markup.extract(table(spark, sf_dir, "pages"), "page_id", "html", "url", markup.article_rules(HOSTS, DEFAULT))

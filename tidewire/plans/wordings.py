@@ -75,7 +75,7 @@ def date_wordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS name FROM pages)
-SELECT page_id, CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Four more words here. ' || name ELSE CASE WHEN trim(name) = '' THEN 'Only three more' ELSE '' END END AS snippet FROM p""")
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN trim('Four more words here. ' || name) ELSE CASE WHEN trim(name) = '' THEN 'Only three more' ELSE '' END END AS snippet FROM p""")
 def snippet_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snippets that repeat their page's title and outlet, and what they say besides."""
     name, kind = F.regexp_extract("html", r"<title>(.*?)</title>", 1), F.col("page_id") % 3

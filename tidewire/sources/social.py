@@ -11,10 +11,11 @@ from tidewire.functions.text import clean, first_filled
 from tidewire.operators.resolve import threads
 from tidewire.sources.markup import Field, Rule, filled
 
-#: Marks in a page's data: a post's address, its message and time, a comment's text, author, time and depth. Fixed values.
+#: Marks in a page's data: a post's address, its message and time, a comment's text, author, time and depth. Fixed values;
+#: loops give nothing back, so that long texts need no deep stack.
 POST_URL = r'"wwwURL":"(https:\\/\\/www\.facebook\.com\\/[^"]*?\\/posts\\/[^"]+?)"'
-MESSAGE, CREATED = r'"message":\{"text":"((?:[^"\\]|\\.)*)"', r'"creation_time":(\d{9,12})\b'
-BODY, NAME = r'"body":\{"text":"((?:[^"\\]|\\.)*)"', r'"name":"((?:[^"\\]|\\.)*)"'
+MESSAGE, CREATED = r'"message":\{"text":"((?:[^"\\]++|\\.)*+)"', r'"creation_time":(\d{9,12})\b'
+BODY, NAME = r'"body":\{"text":"((?:[^"\\]++|\\.)*+)"', r'"name":"((?:[^"\\]++|\\.)*+)"'
 COMMENTED, DEPTH = r'"created_time":(\d{9,12})', r'"depth":(\d+)'
 
 
