@@ -345,11 +345,12 @@ def digest(vocabulary: object) -> str:
 
 def learned(kind: type, name: str, shared: Broadcast) -> object:
     """An encoder or decoder of a broadcast vocabulary of that digest, one for each process and kind; the last few stay."""
-    if (kind.__name__, name) not in _learned:
+    key = (f"{kind.__module__}.{kind.__qualname__}", name)
+    if key not in _learned:
         while len(_learned) >= 3:
             _learned.pop(next(iter(_learned)))
-        _learned[kind.__name__, name] = kind(shared.value)
-    return _learned[kind.__name__, name]
+        _learned[key] = kind(shared.value)
+    return _learned[key]
 
 
 def encode(
