@@ -90,3 +90,8 @@ def test_streamed_sessions_and_delivery(spark, tmp_path):
         stream = spark.readStream.schema(SCHEMA).parquet(folder)
         streams.deliver(stream, out, ["key", "at"], str(tmp_path / f"ck{_}")).awaitTermination(120)
     assert spark.read.parquet(out).count() == 5
+
+
+def test_short_titles_leave_other_words_whole(spark):
+    rows = spark.createDataFrame([("Only three more", "E. - The Post"), ("e e The Post e", "E. - The Post"), ("Ten words are here", "E. - The Post")], "s string, t string")
+    assert [r[0] for r in rows.select(intake.story_snippet(F.col("s"), F.col("t"))).collect()] == ["", "", "Ten words are here"]

@@ -166,8 +166,12 @@ def title_variants(title: Column, outlet: Column | None = None) -> Column:
 
 
 def story_snippet(snippet: Column, title: Column, outlet: Column | None = None, least: int = 4) -> Column:
-    """A snippet, blank if fewer than `least` words are left of it without the title's variants; whole where there is no title."""
-    left = F.aggregate(title_variants(title, outlet), title_key(clean(snippet)), lambda text, variant: clean(F.replace(text, variant, F.lit(" "))))
+    """A snippet, blank if fewer than `least` words are left of it without the title's variants; whole where there is no title.
+
+    Variants are whole words: a short title takes no letters out of other words.
+    """
+    apart = lambda text: F.concat(F.lit(" "), F.replace(text, F.lit(" "), F.lit("  ")), F.lit(" "))  # noqa: E731 - each word has its own spaces
+    left = F.aggregate(title_variants(title, outlet), title_key(clean(snippet)), lambda text, variant: clean(F.replace(apart(text), apart(variant), F.lit(" "))))
     count = F.size(F.filter(F.split(left, " "), lambda w: w != ""))
     return F.when((clean(title) == "") | (count >= least), clean(snippet)).otherwise("")
 

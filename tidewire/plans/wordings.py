@@ -78,7 +78,8 @@ def date_wordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT page_id, CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN trim('Four more words here. ' || name) ELSE CASE WHEN trim(name) = '' THEN 'Only three more' ELSE '' END END AS snippet FROM p""")
 def snippet_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snippets that repeat their page's title and outlet, and what they say besides."""
-    name, kind = F.regexp_extract("html", r"<title>(.*?)</title>", 1), F.col("page_id") % 3
+    # A dot of the SQL stands for all but a line feed.
+    name, kind = F.regexp_extract("html", r"<title>([^\n]*?)</title>", 1), F.col("page_id") % 3
     title = F.when(F.trim(name) == "", "").otherwise(F.concat(name, F.lit(" - The Tide-Wire Post")))
     given = F.when(kind == 0, F.concat(name, F.lit(" The Tide Wire Post "), name)).when(kind == 1, F.concat(F.lit("Four more words here. "), name)).otherwise("Only three more")
     told = table(spark, sf_dir, "pages").select("page_id", name.alias("name"), title.alias("title"), given.alias("given"))
