@@ -6,6 +6,8 @@ from datetime import date, datetime
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidewire.operators import quotes
 
 BRAND = r"(?i)\b(?:acme\s+(?:health|mutual)(?:\s+of\s+Northland)?)(?:['’]s)?"
@@ -58,3 +60,15 @@ def test_roles_and_stored_names(spark, people):
     found = quotes.quoted_people(frame, people, "id", ["a"], "at", stored="kept")
     assert sorted((r["id"], r["name"]) for r in found.collect()) == [(1, "Ron Gadd"), (4, "Mia Torres"), (5, "Ada Lovell")]
     assert {r["name"] for r in quotes.titles(found).collect()} == {"Ron Gadd", "Mia Torres", "Ada Lovell"}
+
+
+def test_patterns_are_matched_on_held_names_alone(spark):
+    """Only where a text holds a name is a pattern matched, and rows of one file are spread before that."""
+    rows = spark.createDataFrame([(1, "Ann Lee said so.")], "id int, text string").withColumn("at", F.lit(None).cast("timestamp"))
+    people = spark.createDataFrame([("Ann Lee", [], "Head")], "name string, aliases array<string>, title string").select("*", F.lit(None).cast("date").alias("since"), F.lit(None).cast("date").alias("until"))
+    found = quotes.quoted_people(rows, people, "id", ["text"], "at")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    condition = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert condition.index("Contains(") < condition.index("RLIKE")
+    assert "RepartitionByExpression" in plan
+    assert [tuple(r) for r in found.collect()] == [(1, "Ann Lee", "Head")]

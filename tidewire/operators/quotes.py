@@ -110,9 +110,12 @@ def quoted_people(frame: DataFrame, people: DataFrame, key: str, texts: Sequence
     last = F.transform("names", lambda n: F.element_at(F.split(F.trim(n), r"\s+"), -1))
     known = known.withColumn("surnames", F.array_distinct(F.filter(last, lambda s: F.length(s) > 3)))
     held = F.exists("texts", lambda t: F.exists("names", lambda n: F.contains(F.lower(t), F.lower(F.trim(n)))))
-    met = rows.join(F.broadcast(known), active(F.col("day"), F.col("since"), F.col("until")) & (held | F.array_contains("stored", F.col("name"))))
+    # A small file is one task's, which matching keeps long: rows are spread first.
+    spread = rows.repartition("key", "texts")
     quoted = F.exists("texts", lambda t: is_quoted(t, F.col("names"), F.col("surnames")))
-    found = met.where(F.array_contains("stored", F.col("name")) | quoted)
+    # Patterns are matched within the same condition, or the optimizer puts them before the names and matches all pairs.
+    told = F.array_contains("stored", F.col("name")) | F.when(held, quoted).otherwise(False)
+    found = spread.join(F.broadcast(known), active(F.col("day"), F.col("since"), F.col("until")) & told)
     return found.select(F.col("key").alias(key), "name", "title").distinct()
 
 
