@@ -183,3 +183,11 @@ def test_leading_terms_meet_all_pairs(spark):
             first[r["id"]].add(r["term"])
         near = [(a, b) for a in vector for b in vector if a < b and sum(w * vector[b].get(t, 0) for t, w in vector[a].items()) >= least]
         assert near and all(first[a] & first[b] for a, b in near)
+
+
+def test_numbers_are_rewritten_once(spark):
+    """Each unit's pattern stands in the plan twice, to split a text and to find in it; nothing is computed again for each match."""
+    rows = spark.createDataFrame([("2k and 3 million, 1,000 or 1.5b",), (None,), ("",)], "t string").select(text.plain_numbers(F.col("t")).alias("t"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 3
+    assert [r["t"] for r in rows.collect()] == ["2000 and 3000000, 1000 or 1500000000", None, ""]

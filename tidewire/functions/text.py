@@ -231,11 +231,20 @@ def stem(word: Column) -> Column:
     return F.when((F.length(word) > 4) & ~word.rlike(r"^\d"), F.regexp_replace(bare, r"(.)\1$", "$1")).otherwise(word)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that it names more than once: the value is computed one time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def rewritten(text: Column, pattern: str, rewrite: Callable[[Column], Column]) -> Column:
     """The text with each match of a pattern rewritten by itself."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    told = F.transform(found, rewrite)
-    return F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(told, i), F.lit("")))), "")
+
+    def joined(x: Column) -> Column:
+        told = F.transform(F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1)), rewrite)
+        between = F.split(x, pattern, -1)
+        return once(told, lambda t: F.array_join(F.transform(between, lambda y, i: F.concat(y, F.coalesce(F.get(t, i), F.lit("")))), ""))
+
+    return once(text, joined)
 
 
 def _whole(unit: int, found: Column) -> Column:

@@ -52,14 +52,15 @@ SELECT c_custkey, 'about ' || n || ' and ' || n || ' or ' || n * 1000 || ', not
 def number_wordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole amounts written with commas, as thousands with three decimals and as millions with up to four."""
     n = F.floor(F.abs("c_acctbal")).cast("long") + 1000
-    rows = table(spark, sf_dir, "customer").select("c_custkey", n.alias("n"))
+    # One file of one row group would be one task's.
+    rows = table(spark, sf_dir, "customer").select("c_custkey", n.alias("n")).repartition("c_custkey")
     parts = F.concat(
         F.lit("about "), F.format_number("n", 0), F.lit(" and "), F.format_string("%d.%03d", F.floor(F.col("n") / 1000), F.col("n") % 1000), F.lit(" thousand or "),
         F.format_string("%d.%03d", F.floor(F.col("n") / 1000), F.col("n") % 1000), F.lit("m, not x"), F.col("n").cast("string"), F.lit("k"),
     )
-    told = text.plain_numbers(parts)
-    numbers = text.numbers(F.concat(F.regexp_replace(told, "x.*$", ""), F.lit("5")))
-    return rows.select("c_custkey", told.alias("text"), F.concat(F.lit("["), F.array_join(F.transform(numbers, lambda x: x.cast("long").cast("string")), ", "), F.lit("]")).alias("numbers"))
+    told = rows.select("c_custkey", text.plain_numbers(parts).alias("text"))
+    numbers = text.numbers(F.concat(F.regexp_replace("text", "x.*$", ""), F.lit("5")))
+    return told.select("c_custkey", "text", F.concat(F.lit("["), F.array_join(F.transform(numbers, lambda x: x.cast("long").cast("string")), ", "), F.lit("]")).alias("numbers"))
 
 
 @query("""SELECT o_orderkey, o_orderdate::TIMESTAMP + INTERVAL (o_custkey % 24) HOUR + INTERVAL (CASE o_orderkey % 3 WHEN 0 THEN 0 ELSE 7 END) MINUTE AS at FROM orders""")
