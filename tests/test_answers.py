@@ -126,3 +126,12 @@ def test_social_pages_by_their_elements(spark):
     linked = {r["link"]: (r["text"], r["at"]) for r in social.linked_posts(found, pages, "id", F.col("url"), now).collect()}
     first = next(k for k in linked if "/posts/123" in k)
     assert linked[first] == ("The insurer wants to offer cheaper health plans.3h ·3h", datetime(2026, 6, 12, 15)) and sorted(x for x, _ in linked.values())[0] == "More of it" and len(linked) == 2
+
+
+def test_a_session_reads_days_of_wanted_meetings_once(spark):
+    """Rows of other committees and without a day go before a day is read, and a day is parsed in one place."""
+    rows = spark.createDataFrame([(1, '{"data":[{"MeetingDate":"Monday, January 5, 2026","LongName":"Health"},{"MeetingDate":"Someday","LongName":"Health"}]}')], "id int, json string")
+    found = prose.session_meetings(rows, "id", "json", "https://law.example", "(?i)health", F.lit(date(2026, 1, 1)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MMMM d yyyy") <= 14  # 36 before
+    assert [(r["id"], r["day"]) for r in found.collect()] == [(1, "2026-01-05")]

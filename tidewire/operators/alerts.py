@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import dates, urls
-from tidewire.functions.text import blank_to_null, clean, escape_xml, first_filled, url_safe_digest
+from tidewire.functions.text import blank_to_null, clean, escape_xml, first_filled, once, url_safe_digest
 from tidewire.operators.cluster import cut
 from tidewire.operators.ordered import nearest, openers, running
 from tidewire.operators.profile import is_urgent
@@ -112,8 +112,8 @@ def dated(month: Column, day: Column, year: Column, name: Column, today: Column)
     at = lambda y: F.try_to_date(F.concat_ws(" ", month, day.cast("string"), y.cast("string")), "MMMM d yyyy")
     fits = lambda d: d.isNotNull() & (known.isNull() | (weekday(d) == known))
     later = lambda d: (d >= today) & (weekday(d) == known)
-    given, this, following = at(year), at(low), at(low + 1)
-    return F.when(year.isNotNull(), F.when(fits(given), given)).when(later(this), this).when(later(following), following)
+    this, following = at(low), at(low + 1)
+    return F.when(year.isNotNull(), once(at(year), lambda given: F.when(fits(given), given))).when(later(this), this).when(later(following), following)
 
 
 def local_clock(at: Column, zone: str = dates.ZONE) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import dates
-from tidewire.functions.text import clean, first_filled, truncate
+from tidewire.functions.text import clean, first_filled, once, truncate
 from tidewire.operators.alerts import dated, session_key
 from tidewire.sources.markup import DAY, MONTH, Field, Rule, filled
 
@@ -56,11 +56,11 @@ class Template:
         day = dated(part(self.month), part(self.day).try_cast("int"), part(self.year).try_cast("int"), part(self.weekday), today)
         clock = dates.clock(part(self.hour).try_cast("int"), F.coalesce(part(self.minute).try_cast("int"), F.lit(0)), part(self.meridiem))
         time = F.when(part(self.hour).isNotNull(), clock).otherwise("")
-        told = F.struct(
-            F.lit(self.kind).alias("kind"), F.date_format(day, "yyyy-MM-dd").alias("day"), time.alias("time"),
+        told = lambda d: F.struct(
+            F.lit(self.kind).alias("kind"), F.date_format(d, "yyyy-MM-dd").alias("day"), time.alias("time"),
             F.concat(F.lit(self.heading), topic).alias("title"), truncate(sentence, 300).alias("body"),
         )
-        return F.when(sentence.rlike(self.pattern) & day.isNotNull(), told)
+        return F.when(sentence.rlike(self.pattern), once(day, lambda d: F.when(d.isNotNull(), told(d))))
 
 
 _WHEN = rf"(?:({DAY}),?\s+)?({MONTH})\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:,?\s*(\d{{4}}))?"
@@ -108,8 +108,14 @@ def session_meetings(frame: DataFrame, id_col: str, json_col: str, base: str, co
     data = F.from_json(json_col, f"struct<data: array<struct<{MEETING.replace(' string', ': string')}>>>")["data"]
     parsed = frame.select(F.col(id_col).alias("id"), data.alias("data"))
     rows = parsed.select("id", F.posexplode("data").alias("place", "m"))
+    # Days are read last, and only where there is one: what can't be read as a date costs most.
+    title = first_filled(clean(F.col("m.LongName")), clean(F.col("m.CommName")))
+    rows = rows.where(title.rlike(committees) & clean(F.col("m.MeetingDate")).rlike(LONG_DAY))
     part = lambda i: F.regexp_extract(clean(F.col("m.MeetingDate")), LONG_DAY, i)
-    day = dated(part(2), part(3).try_cast("int"), part(4).try_cast("int"), part(1), today)
+    own = F.struct(*(part(i).alias(c) for i, c in enumerate(("name", "month", "day", "year"), 1)))
+    day = once(own, lambda p: dated(p["month"], p["day"].try_cast("int"), p["year"].try_cast("int"), p["name"], today))
+    rows = rows.withColumn("at", day)
+    day = F.col("at")
     start = r"(?i)^(\d{1,2}):(\d{2})\s*([AP])M$"
     clock = lambda i: F.regexp_extract(clean(F.col("m.StartTime")), start, i)
     time = F.when(clean(F.col("m.StartTime")).rlike(start), dates.clock(clock(1).try_cast("int"), clock(2).try_cast("int"), clock(3))).otherwise("")
@@ -119,8 +125,7 @@ def session_meetings(frame: DataFrame, id_col: str, json_col: str, base: str, co
     body = F.array_join(F.filter(F.array(place, clean(F.col("m.notes"))), lambda x: x != ""), ". ")
     published = F.col("m.Published").eqNullSafe("1")
     link = F.concat_ws("/", F.lit(base), F.lit("committee"), F.when(published, "agenda").otherwise("detail"), session_key(day).cast("string"), F.when(published, F.col("m.CommitteeMeetingID")).otherwise(F.col("m.PermanentID")))
-    title = first_filled(clean(F.col("m.LongName")), clean(F.col("m.CommName")))
     good = rows.select("id", "place", F.date_format(day, "yyyy-MM-dd").alias("day"), time.alias("time"), title.alias("title"), body.alias("body"), link.alias("url"))
-    good = good.where(F.col("day").isNotNull() & F.col("title").rlike(committees))
+    good = good.where("day IS NOT NULL")
     nothing = parsed.where("data IS NULL").select("id", *(F.lit(None).cast(good.schema[c].dataType).alias(c) for c in good.columns[1:]))
     return good.unionByName(nothing)

@@ -28,7 +28,7 @@ def comment_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(".</p><p>Comments are open until October 5.</p>"),
     )
     page = F.concat(F.lit('<div class="usa-accordion"><h4><button class="usa-accordion__button">'), "o_orderpriority", F.lit(' (closed)</button></h4><div class="usa-accordion__content">'), text, F.lit("</div></div>"))
-    pages = table(spark, sf_dir, "orders").select("o_orderkey", page.alias("html"), F.lit("").alias("url"))
+    pages = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey", "o_orderpriority").repartition("o_orderkey").select("o_orderkey", page.alias("html"), F.lit("").alias("url"))
     found = cut(markup.extract(pages, "o_orderkey", "html", "url", prose.SECTIONS))
     return prose.comment_periods(found, pages, "o_orderkey", F.lit(TODAY).cast("date"))
 
@@ -46,7 +46,8 @@ def session_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     other = row.withField("LongName", F.lit("Committee on Roads"))
     json = F.when(status == "P", '{"data": "none"}').otherwise(F.to_json(F.struct(F.array(row, other, row.withField("MeetingDate", F.lit("Someday"))).alias("data"))))
-    frame = table(spark, sf_dir, "orders").select("o_orderkey", json.alias("json"))
+    # A file of one row group would be one task's.
+    frame = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey", "o_orderstatus").repartition("o_orderkey").select("o_orderkey", json.alias("json"))
     return prose.session_meetings(frame, "o_orderkey", "json", "https://law.example", "(?i)health|insurance", F.lit(TODAY).cast("date")).drop("place")
 
 
