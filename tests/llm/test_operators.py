@@ -394,6 +394,31 @@ def test_near_copies_in_a_crowd(spark):
     assert {r["id"]: r["component"] for r in found.collect()} == {i: roots.get(i, i) for i in docs}
 
 
+def test_few_of_a_crowd_meet_in_pairs(spark, monkeypatch):
+    """Copies around the similarity in question: most are joined before all that are left meet."""
+    draw = random.Random(12)
+    docs = {}
+    for i in range(400):
+        text = [f"w{j}" for j in range(150)]
+        for j in range(draw.choice((2, 2, 3))):
+            text[draw.randrange(150)] = f"x{i}y{j}"
+        docs[i] = " ".join(text)
+    sets = {i: frozenset(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in docs.items()}
+    roots = joined({(a, b) for a, b in itertools.combinations(docs, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])})
+    met = []
+    every = simhash.all_pairs
+
+    def counted(*given):
+        found = every(*given)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(simhash, "all_pairs", counted)
+    found = simhash.near_copies(spark.createDataFrame(list(docs.items()), DOC))
+    assert {r["id"]: r["component"] for r in found.collect()} == {i: roots.get(i, i) for i in docs}
+    assert met[0] <= 400, met
+
+
 # Mixing
 
 

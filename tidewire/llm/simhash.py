@@ -186,6 +186,8 @@ def near_duplicates(
 FEW = 32
 #: Sets of a shingle that are dealt to one part of it when all of them meet.
 PART = 1024
+#: Sets of a shingle that all meet at once; of more, each first meets `STARS` others a round, for `ROUNDS` rounds at most.
+MEET, STARS, ROUNDS = 64, 8, 4
 #: Bits of a set's parity, and shingles before a place that are held against meeting twice.
 PARITY_BITS, EARLIER = 1024, 16
 
@@ -286,7 +288,8 @@ def near_copies(
     how many texts have them, one of the first n - ceil(similarity * n) + 1 is among the other's
     first ones. Texts meet on these, and where so many shingles are left behind the first they
     share that the similarity can be reached. A large group of copies would meet in the square
-    of its size; so each shingle's texts first meet a single one of them, which joins the group,
+    of its size; so each shingle's texts first meet a single one of them, which joins the group;
+    those of crowded shingles then meet a few others in rounds, until a round joins nothing;
     and then only texts that are not joined yet meet.
 
     Rows without an id are left out; repeated rows have a row each. Texts count whole, however
@@ -310,7 +313,7 @@ def near_copies(
     first = cut(prefixes(sets, similarity))
     alone = first.withColumn("part", F.col("node"))
     links = similar(pivot_pairs(sets).union(star_pairs(alone, similarity)).distinct(), sets, similarity)
-    labels = cut(components(links))
+    labels = crowds_joined(cut(components(links)), first, sets, similarity)
     labelled = with_root(first, "node", labels, "part")
     more = similar(all_pairs(labelled, sets, similarity), sets, similarity)
     # What still links is joined on the level of the groups that there are.
@@ -374,6 +377,44 @@ def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return ordered_pairs(rows.alias("x").join(stars.alias("y"), "shingle").where(reachable(similarity)))
 
 
+def crowds_joined(labels: DataFrame, first: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """`labels` (node, root) with what links in shingles of more than `MEET` sets, each round with other stars.
+
+    A set that is similar to many of a crowd meets one of them soon, so few such sets are left
+    to meet all. Rounds end when one links nothing, and links are true ones: who meets here
+    decides only what is left for `all_pairs`.
+    """
+    large = first.groupBy("shingle").agg(F.count("*").alias("size")).where(F.col("size") > MEET).select("shingle")
+    crowd = cut(first.join(large, "shingle").join(sets.select("node", "parity"), "node"))
+    if crowd.isEmpty():
+        return labels
+    for turn in range(ROUNDS):
+        links = cut(similar(crowd_pairs(with_root(crowd, "node", labels, "part"), similarity, turn), sets, similarity))
+        if links.isEmpty():
+            break
+        labels = cut(components(labels.select(F.col("root").alias("a"), F.col("node").alias("b")).union(links)))
+    return labels
+
+
+def crowd_pairs(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """(a, b): each shingle's sets with up to `STARS` of them that are in other parts and may be similar.
+
+    The stars are others for each shingle and turn.
+    """
+    star = F.min_by(F.struct("node", "n", "place", "part", "parity"), F.xxhash64("node", "shingle", F.lit(turn)))
+    ray = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(STARS)).alias("ray")
+    stars = rows.groupBy("shingle", ray).agg(star.alias("s")).select("shingle", "s.*")
+    return ordered_pairs(rows.alias("x").join(stars.alias("y"), "shingle").where(reachable(similarity) & few_alone(similarity)))
+
+
+def few_alone(similarity: float) -> Column:
+    """Whether the parities of x and y differ in no more places than similar sets have shingles alone."""
+    apart = reduce(lambda p, q: p + q, (distance(F.get("x.parity", F.lit(i)), F.get("y.parity", F.lit(i))) for i in range(PARITY_BITS // 64)))
+    # Sets that have d shingles alone share (n + m - d) / 2.
+    size = F.col("x.n") + F.col("y.n")
+    return enough((size - apart) / 2, F.col("x.n"), F.col("y.n"), similarity)
+
+
 def all_pairs(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): all sets of a shingle that are in different parts and may be similar.
 
@@ -392,12 +433,8 @@ def all_pairs(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     left = right.where("part <> largest").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     once = (F.col("y.part") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
-    apart = reduce(lambda p, q: p + q, (distance(F.get("x.parity", F.lit(i)), F.get("y.parity", F.lit(i))) for i in range(PARITY_BITS // 64)))
-    # Sets that have d shingles alone share (n + m - d) / 2.
-    size = F.col("x.n") + F.col("y.n")
-    close = enough((size - apart) / 2, F.col("x.n"), F.col("y.n"), similarity)
     first = ~F.arrays_overlap("x.before", "y.before")
-    return ordered_pairs(left.alias("x").join(right.alias("y"), ["shingle", "salt"]).where(reachable(similarity) & once & close & first))
+    return ordered_pairs(left.alias("x").join(right.alias("y"), ["shingle", "salt"]).where(reachable(similarity) & once & few_alone(similarity) & first))
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
