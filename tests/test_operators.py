@@ -168,6 +168,55 @@ def test_stories_of_many_copies_are_those_of_all_pairs(spark):
     assert found == {i: 0 for i in range(210)} | {300: 300, 301: 300, 302: 302}
 
 
+def test_stories_write_no_pairs_that_cannot_link(spark):
+    """Pages of common words: nearly all pairs share some, and none of them is written."""
+    import random
+    from pathlib import Path
+
+    draw = random.Random(9)
+    words = [f"{a}{b}ustrolk" for a in "bcdfghklmnprstvz" for b in "aeiou"]
+    rows = [(i, f"{words[i % 80]} {words[i * 7 % 79]}", " ".join(draw.sample(words, 20)), f"o{i}", "n") for i in range(400)]
+    frame = spark.createDataFrame(rows, "id long, title string, text string, outlet string, block string").withColumn("at", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 60))
+    folder = Path(cluster.checkpoint_folder(spark).removeprefix("file:"))
+    room = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before, links = room(), cluster.average_linkage
+    found = []
+    cluster.average_linkage = lambda *given: (found.append(room() - before), links(*given))[1]
+    try:
+        assert cluster.groups(frame, "id", "title", "text", "at", "outlet", "block", F.lit(False)).count() == 400
+    finally:
+        cluster.average_linkage = links
+    assert found[0] < 600_000, found
+
+
+def test_pairs_of_parts_are_all_pairs(spark, monkeypatch):
+    """Parts and slices of a few rows, times on both sides of buckets' ends."""
+    import random
+
+    monkeypatch.setattr(cluster, "PART", 8)
+    monkeypatch.setattr(cluster, "SLICE", 3)
+    draw = random.Random(10)
+    day = 86_400
+    rows = [(i, draw.randrange(12 * day), draw.choice("mn"), [f"t{draw.randrange(9)}" for _ in range(draw.randrange(1, 9))], [f"t{draw.randrange(9)}" for _ in range(draw.randrange(3))]) for i in range(90)]
+    rows[1] = (1, rows[0][1] + 3 * day, rows[0][2], *rows[0][3:])
+    rows[2] = (2, rows[0][1] - 3 * day, rows[0][2], *rows[0][3:])
+    frame = spark.createDataFrame(rows, "id long, s long, block string, full array<string>, own array<string>").withColumn("at", F.timestamp_seconds("s"))
+    frequencies = cluster.inverse_frequencies(frame, F.concat("full", "own")).cache()
+    vectors = [{}, {}]
+    for found, c in zip(vectors, ("full", "own")):
+        for r in cluster.vectors(frame, "id", F.col(c), frequencies).collect():
+            found.setdefault(r["id"], {})[r["term"]] = r["w"]
+    want = {}
+    for a, x in enumerate(rows):
+        for b, y in enumerate(rows[:a]):
+            full, title = (sum(w * v.get(b, {}).get(t, 0) for t, w in v.get(a, {}).items()) for v in vectors)
+            if x[2] == y[2] and abs(x[1] - y[1]) <= 3 * day and (full >= 0.45 or title >= 0.5 or full >= 0.25 and title >= 0.2):
+                want[b, a] = (round(full, 9), round(title, 9))
+    packed = frame.select("id", "at", "block").join(cluster.packed_vectors(frame, frequencies), "id")
+    got = [((r["a"], r["b"]), (round(r["full_cosine"], 9), round(r["title_cosine"], 9))) for r in cluster.likely_pairs(packed, 3).collect()]
+    assert len(got) == len(want) > 100 and dict(got) == want and {(0, 1), (0, 2)} <= set(want)
+
+
 def test_leading_terms_meet_all_pairs(spark):
     import random
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,12 +16,12 @@ from tidewire.operators.profile import bare_title
 
 
 def inverse_frequencies(frame: DataFrame, terms: Column, rows: Column | None = None) -> DataFrame:
-    """(term, idf): ln((N + 1) / (df + 1)) + 1 over rows, each of which stands for `rows` of them."""
+    """(term, idf, df): ln((N + 1) / (df + 1)) + 1 over rows, each of which stands for `rows` of them."""
     each = F.lit(1) if rows is None else rows
     n = frame.agg(F.sum(each).alias("n"))
     told = frame.select(each.alias("k"), F.explode(F.array_distinct(terms)).alias("term"))
     frequency = told.groupBy("term").agg(F.sum("k").alias("df")).crossJoin(F.broadcast(n))
-    return frequency.select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    return frequency.select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"), "df")
 
 
 def term_weights(counted: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -42,14 +47,6 @@ def cosine_search(queries: DataFrame, weights: DataFrame) -> DataFrame:
     return x.join(y, "term").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
 
 
-def cosine_pairs(left: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(a, b, cosine) of candidate pairs, from `vectors`; pairs without a common term have 0."""
-    x = left.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"))
-    y = left.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
-    dot = candidates.select("a", "b").join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    return candidates.join(dot, ["a", "b"], "left").withColumn("cosine", F.coalesce("dot", F.lit(0.0))).drop("dot")
-
-
 def leading(weights: DataFrame, least: float) -> DataFrame:
     """(id, term) of `vectors`: each row's rarest terms, up to where the rest is shorter than `least`.
 
@@ -61,24 +58,108 @@ def leading(weights: DataFrame, least: float) -> DataFrame:
     return counted.withColumn("rest", rest).where(F.col("rest") >= least * least - 1e-9).select("id", "term")
 
 
-def band_pairs(frame: DataFrame, identity: str, at: str, days: int, block: str, terms: DataFrame) -> DataFrame:
-    """(a, b): pairs of rows of a block within so many days of each other that share one of `terms`, (id, term).
+#: Rows of a block and time bucket that meet others as one part, and rows of it that are multiplied at once.
+PART, SLICE = 16_384, 512
 
-    The time band is an equality join: every row is in its own bucket of `days` days, and
-    its probes go to that bucket and the two beside it. No term is left out, so terms of
-    large groups of copies give pairs in the square of the group.
-    """
-    bucket = F.floor(F.unix_seconds(at) / (days * 86_400)).cast("long")
-    placed = frame.select(F.col(identity).alias("id"), F.col(at).alias("at"), F.col(block).alias("block"), bucket.alias("bucket"))
-    left = placed.join(terms.distinct(), "id")
-    right = left.withColumn("bucket", F.explode(F.array(*(F.col("bucket") + i for i in (-1, 0, 1)))))
-    met = left.alias("x").join(right.alias("y"), ["block", "bucket", "term"])
-    close = F.abs(F.unix_micros("x.at") - F.unix_micros("y.at")) <= days * 86_400_000_000
-    return met.where(close & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
+def packed_vectors(rows: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """(id, full, own) of (id, full, own): terms by their hash with the weights of `vectors`.
 
-#: The least cosines of text, or else of title, that two related stories have.
-LEAST_FULL, LEAST_TITLE = 0.25, 0.5
+    Terms of one row alone are left out of `full` after weighing, as they meet nothing. Rows are
+    dealt by id once, and only the table of frequencies meets their terms.
+    """
+    tag = lambda c, title: F.transform(c, lambda t: F.struct(F.lit(title).alias("title"), t.alias("term")))
+    tagged = F.concat(tag("full", False), tag("own", True))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = rows.select("id", "full", "own").repartition(parts, "id").select("id", F.explode(tagged).alias("x")).groupBy("id", "x.title", "x.term").agg(F.count("*").alias("tf"))
+    weighted = counted.join(frequencies, "term").withColumn("w", (F.log("tf") + 1) * F.col("idf"))
+    taken = F.struct(F.xxhash64("term").alias("t"), "w")
+    title = F.col("title")
+    found = weighted.groupBy("id").agg(
+        *(F.collect_list(F.when(kept, taken)).alias(c) for c, kept in (("full", ~title & (F.col("df") > 1)), ("own", title))),
+        *(F.sqrt(F.sum(F.when(kept, F.col("w") * F.col("w")))).alias(f"{c}_norm") for c, kept in (("full", ~title), ("own", title))),
+    )
+    scaled = lambda c: F.transform(c, lambda x: F.struct(x["t"].alias("t"), (x["w"] / F.col(f"{c}_norm")).alias("w"))).alias(c)
+    return found.select("id", scaled("full"), scaled("own"))
+
+
+def postings(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, weight) of `packed_vectors`, in order of terms, then rows."""
+    inner = lists.flatten()
+    rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    terms, weights = (inner.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    order = np.argsort(terms, kind="stable")
+    return rows[order], terms[order], weights[order]
+
+
+def product(x: tuple, y: tuple, low: int, n: int, m: int) -> np.ndarray:
+    """Dot products of the `n` rows of x from `low` on with the `m` rows of y."""
+    found = np.zeros((n, m))
+    inside = (x[0] >= low) & (x[0] < low + n)
+    rows, terms, weights = (part[inside] for part in x)
+    each, starts = np.unique(terms, return_index=True)
+    ends = np.append(starts[1:], len(terms))
+    first, last = np.searchsorted(y[1], each), np.searchsorted(y[1], each, "right")
+    for i in np.flatnonzero(last > first):
+        a, b = slice(starts[i], ends[i]), slice(first[i], last[i])
+        found[(rows[a] - low)[:, None], y[0][b]] += weights[a][:, None] * y[2][b]
+    return found
+
+
+def likely_pairs(placed: DataFrame, days: int) -> DataFrame:
+    """(a, b, full_cosine, title_cosine): pairs within so many days whose cosines `related` may take.
+
+    `placed` has (id, at, block) and packed vectors. Rows of a block are in time buckets of `days`
+    days and meet those of their own and the next one. Buckets are dealt to parts of about
+    `PART` rows; each pair of parts is one task's table, multiplied there in slices, so that only pairs
+    that may link are ever written. The work grows with the pairs within reach; memory doesn't.
+    """
+    bucket = F.floor(F.unix_seconds("at") / (days * 86_400)).cast("long")
+    dated = placed.select("id", F.unix_micros("at").alias("at"), "block", bucket.alias("bucket"), "full", "own")
+    sizes = dated.groupBy("block", "bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    after = sizes.select("block", (F.col("bucket") - 1).alias("bucket"), F.col("parts").alias("next"))
+    before = sizes.select("block", (F.col("bucket") + 1).alias("bucket"), F.col("parts").alias("last"))
+    sizes = sizes.join(after, ["block", "bucket"], "left").join(before, ["block", "bucket"], "left").fillna(0, ["next", "last"])
+    dealt = dated.join(F.broadcast(sizes), ["block", "bucket"])
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    # The table that a row goes to: (bucket of the left, its part, whether the right is of the next bucket, its part).
+    at = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    place = lambda bucket, x, beside, y, left: F.struct(bucket.alias("of"), x.alias("x"), F.lit(beside).alias("beside"), y.alias("y"), left.alias("left"))
+    own, here = F.col("part"), F.col("bucket")
+    tables = F.concat(
+        F.transform(at(F.col("parts")), lambda p: place(here, F.least(own, p), False, F.greatest(own, p), own <= p)),
+        F.transform(at(F.col("next")), lambda p: place(here, own, True, p, F.lit(True))),
+        F.transform(at(F.col("last")), lambda p: place(here - 1, p, True, own, F.lit(False))),
+    )
+    sent = dealt.select("id", "at", "block", F.explode(tables).alias("to"), "full", "own").select("id", "at", "block", "to.*", "full", "own")
+    reach = days * 86_400_000_000
+    kind = placed.schema["id"].dataType.simpleString()
+    names = ["a", "b", "full_cosine", "title_cosine"]
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        same = table["x"][0] == table["y"][0] and not table["beside"][0].as_py()
+        left = table.filter(table["left"]).combine_chunks()
+        right = left if same else table.filter(pa.compute.invert(table["left"])).combine_chunks()
+        ids, times = [t["id"] for t in (left, right)], [t["at"].to_numpy() for t in (left, right)]
+        if not len(left) or not len(right):
+            return pa.table([left["id"][:0], left["id"][:0], pa.array([], pa.float64()), pa.array([], pa.float64())], names)
+        both = {c: [postings(t[c].combine_chunks()) for t in (left, right)] for c in ("full", "own")}
+        out = []
+        for low in range(0, len(left), SLICE):
+            n = min(SLICE, len(left) - low)
+            full, title = (product(*both[c], low, n, len(right)) for c in ("full", "own"))
+            near = np.abs(times[0][low : low + n, None] - times[1][None, :]) <= reach
+            # A shade under what `related` takes; shared figures and outlets are looked at after.
+            likely = (full >= 0.45 - 1e-9) | (title >= 0.5 - 1e-9) | ((full >= 0.25 - 1e-9) & (title >= 0.2 - 1e-9))
+            i, j = np.nonzero(near & likely)
+            if same:
+                i, j = i[i + low < j], j[i + low < j]
+            out.append(pa.table([ids[0].take(pa.array(i + low)), ids[1].take(pa.array(j)), pa.array(full[i, j]), pa.array(title[i, j])], names))
+        return pa.concat_tables(out)
+
+    found = sent.groupBy("block", "of", "x", "beside", "y").applyInArrow(meet, f"a {kind}, b {kind}, full_cosine double, title_cosine double")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "full_cosine", "title_cosine")
 
 
 def related(same_outlet: Column, opinion: Column, title: Column, full: Column, figure: Column) -> Column:
@@ -128,6 +209,13 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame, written once to the checkpoint folder as Parquet: tables of words take far less room so."""
+    path = f"{checkpoint_folder(frame.sparkSession)}/stored_{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder: the one set, or the one that `spark.checkpoint.dir` names.
 
@@ -158,16 +246,11 @@ def groups(frame: DataFrame, identity: str, title: str, text: str, at: str, outl
     key = F.xxhash64("block", "at", "outlet", "opinion", "own", "full", F.when(F.size("own") == 0, F.col("id")))
     checkpoint_folder(frame.sparkSession)
     # Term columns are long expressions: they are computed once, and plans stay short.
-    dated = dated.select("id", "at", "outlet", "block", "opinion", "own", "full", key.alias("key")).checkpoint()
+    dated = stored(dated.select("id", "at", "outlet", "block", "opinion", "own", "full", key.alias("key")))
     kept = ("at", "outlet", "block", "opinion", "own", "full")
-    rows = dated.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in kept)).checkpoint()
-    frequencies = inverse_frequencies(rows, F.col("full"), F.col("rows")).checkpoint()
-    full, own = (vectors(rows, "id", F.col(c), frequencies).checkpoint() for c in ("full", "own"))
-    # What `related` links has at least one of these cosines, in text or in title.
-    terms = leading(full, LEAST_FULL).union(leading(own, LEAST_TITLE).select("id", F.concat(F.lit("title "), "term")))
-    pairs = band_pairs(rows, "id", "at", days, "block", terms).checkpoint()
-    scored = cosine_pairs(full, pairs).withColumnRenamed("cosine", "full_cosine")
-    scored = cosine_pairs(own, scored).withColumnRenamed("cosine", "title_cosine")
+    rows = stored(dated.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in kept)))
+    frequencies = stored(inverse_frequencies(rows, F.col("full"), F.col("rows")))
+    scored = likely_pairs(rows.select("id", "at", "block").join(packed_vectors(rows, frequencies), "id"), days)
     # Years are too common to tell stories apart.
     figures = F.filter("full", lambda t: t.rlike(r"^\d{3,}$") & ~t.rlike(r"^(?:19|20)\d\d$"))
     side = rows.select("id", "outlet", "opinion", figures.alias("figures"))
