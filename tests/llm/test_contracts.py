@@ -177,6 +177,31 @@ def test_components(spark):
     assert {x: got.get(x, x) for x in root} == {x: find(x) for x in root}
 
 
+@pytest.mark.parametrize("edges_a_part", [250_000, 7])
+def test_rounds_of_components_take_few_tasks(spark, monkeypatch, edges_a_part):
+    monkeypatch.setattr(cluster, "EDGES", edges_a_part)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    context, group = spark.sparkContext, f"components of {edges_a_part}"
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup(group, group)
+        edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(90, i) for i in range(70, 90)], "a int, b int")
+        got = {r["node"]: r["root"] for r in cluster.components(edges).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(1, 61)} | {i: 70 for i in range(71, 91)}
+    track = context.statusTracker()
+    jobs = [track.getJobInfo(j) for j in track.getJobIdsForGroup(group)]
+    stages = [track.getStageInfo(s) for s in {s for j in jobs if j for s in j.stageIds}]
+    tasks = sum(s.numTasks for s in stages if s and s.numCompletedTasks)
+    # The first distinct and its count; rounds have a task a step where the edges fit one part.
+    assert edges_a_part == 7 or 0 < tasks < 200
+
+
 def test_media_inside(spark):
     inner = media.bitmap(bytes(192 * 2))
     rows = spark.createDataFrame([(1, bytearray(b"head" + inner), "image/png"), (2, bytearray(inner), "text/plain"), (3, None, None), (4, bytearray(b"BM no"), None)], "id int, data binary, kind string")

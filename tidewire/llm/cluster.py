@@ -90,8 +90,9 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds:
     Alternating large-star and small-star steps: each step is one aggregate over the
     edges, and their number falls quickly, so nothing but edge counts reaches the
     driver. A node's neighbours are reduced to their minimum by aggregation, never
-    gathered. What a round leaves is written in as many parts as its edges need. Self
-    loops and edges with a null end are ignored. A frame without edges has no nodes.
+    gathered. Each step of a round has as many parts as its edges need; edges that fit
+    one part aren't shuffled. Self loops and edges with a null end are ignored. A frame
+    without edges has no nodes.
     """
 
     def parts(n: int) -> int:
@@ -107,11 +108,12 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds:
         # Large star: each node's larger neighbours go to the least of it and its neighbours.
         both = now.union(now.select(F.col("b"), F.col("a"))).coalesce(parts(2 * n))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b")
+        large = large.coalesce(parts(n)).distinct()
         # Small star: a node and its smaller neighbours go to the least of these.
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
-        now = cut(small.where("a <> b").distinct().coalesce(parts(n)))
+        now = cut(small.where("a <> b").coalesce(parts(2 * n)).distinct().coalesce(parts(n)))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))

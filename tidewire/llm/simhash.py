@@ -386,11 +386,11 @@ def crowds_joined(labels: DataFrame, first: DataFrame, sets: DataFrame, similari
     """
     large = first.groupBy("shingle").agg(F.count("*").alias("size")).where(F.col("size") > MEET).select("shingle")
     crowd = cut(first.join(large, "shingle").join(sets.select("node", "parity"), "node"))
-    if crowd.isEmpty():
+    if not crowd.head(1):
         return labels
     for turn in range(ROUNDS):
         links = cut(similar(crowd_pairs(with_root(crowd, "node", labels, "part"), similarity, turn), sets, similarity))
-        if links.isEmpty():
+        if not links.head(1):
             break
         labels = cut(components(labels.select(F.col("root").alias("a"), F.col("node").alias("b")).union(links)))
     return labels
