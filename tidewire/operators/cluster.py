@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,8 @@ def leading(weights: DataFrame, least: float) -> DataFrame:
 
 #: Rows of a block and time bucket that meet others as one part, and rows of it that are multiplied at once.
 PART, SLICE = 16_384, 512
+#: A term is common if one pair of rows in so many has it on both sides; products of rare ones that are added at once.
+RARE, AT_ONCE = 128, 1 << 20
 
 
 def packed_vectors(rows: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -83,39 +86,77 @@ def packed_vectors(rows: DataFrame, frequencies: DataFrame) -> DataFrame:
     return found.select("id", scaled("full"), scaled("own"))
 
 
-def postings(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, weight) of `packed_vectors`, in order of terms, then rows."""
+def entries(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, weight) of `packed_vectors`, in order of rows."""
     inner = lists.flatten()
     rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    terms, weights = (inner.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-    order = np.argsort(terms, kind="stable")
-    return rows[order], terms[order], weights[order]
+    return rows, *(inner.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
 
 
-def product(x: tuple, y: tuple, low: int, n: int, m: int) -> np.ndarray:
-    """Dot products of the `n` rows of x from `low` on with the `m` rows of y."""
-    found = np.zeros((n, m))
-    inside = (x[0] >= low) & (x[0] < low + n)
-    rows, terms, weights = (part[inside] for part in x)
-    each, starts = np.unique(terms, return_index=True)
-    ends = np.append(starts[1:], len(terms))
-    first, last = np.searchsorted(y[1], each), np.searchsorted(y[1], each, "right")
-    for i in np.flatnonzero(last > first):
-        a, b = slice(starts[i], ends[i]), slice(first[i], last[i])
-        found[(rows[a] - low)[:, None], y[0][b]] += weights[a][:, None] * y[2][b]
-    return found
+class Products:
+    """Dot products of rows of x with all rows of y, both as `entries`.
+
+    Terms that many rows of both have are columns of two matrices; for each of the others the
+    rows of x that have it meet those of y.
+    """
+
+    def __init__(self, x: tuple, y: tuple, n: int, m: int):
+        shared = np.intersect1d(x[1], y[1])
+        x, y = (self.numbered(part, shared) for part in (x, y))
+        counts = [np.bincount(part[1], minlength=len(shared)) for part in (x, y)]
+        common = counts[0] * counts[1] * RARE > n * m
+        self.m, self.k = m, int(common.sum())
+        self.column = np.where(common, np.cumsum(common) - 1, -1)
+        self.x = x
+        often = common[y[1]]
+        self.matrix = self.dense(*(part[often] for part in y), m)
+        rows, terms, weights = (part[~often] for part in y)
+        order = np.argsort(terms, kind="stable")
+        self.rows, self.weights = rows[order], weights[order]
+        self.many = np.where(common, 0, counts[1])
+        self.first = np.cumsum(self.many) - self.many
+
+    @staticmethod
+    def numbered(part: tuple, shared: np.ndarray) -> tuple:
+        at = np.searchsorted(shared, part[1])
+        kept = np.flatnonzero(np.isin(part[1], shared))
+        return part[0][kept], at[kept], part[2][kept]
+
+    def dense(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((n, self.k))
+        out[rows, self.column[terms]] = weights
+        return out
+
+    def of(self, low: int, n: int) -> np.ndarray:
+        """The products of the `n` rows of x from `low` on."""
+        inside = slice(*np.searchsorted(self.x[0], (low, low + n)))
+        rows, terms, weights = (part[inside] for part in self.x)
+        rows = rows - low
+        often = self.column[terms] >= 0
+        found = self.dense(rows[often], terms[often], weights[often], n) @ self.matrix.T
+        rows, terms, weights = (part[~often] for part in (rows, terms, weights))
+        many = self.many[terms]
+        upto = np.cumsum(many)
+        stops = np.searchsorted(upto, np.arange(0, int(upto[-1]) if len(upto) else 0, AT_ONCE), "right")
+        for a, b in zip(stops, [*stops[1:], len(many)], strict=False):
+            each = many[a:b]
+            place = np.arange(each.sum()) + np.repeat(self.first[terms[a:b]] - (np.cumsum(each) - each), each)
+            np.add.at(found.reshape(-1), np.repeat(rows[a:b] * self.m, each) + self.rows[place], np.repeat(weights[a:b], each) * self.weights[place])
+        return found
 
 
 def likely_pairs(placed: DataFrame, days: int) -> DataFrame:
     """(a, b, full_cosine, title_cosine): pairs within so many days whose cosines `related` may take.
 
-    `placed` has (id, at, block) and packed vectors. Rows of a block are in time buckets of `days`
-    days and meet those of their own and the next one. Buckets are dealt to parts of about
-    `PART` rows; each pair of parts is one task's table, multiplied there in slices, so that only pairs
-    that may link are ever written. The work grows with the pairs within reach; memory doesn't.
+    `placed` has (id, at, block) and packed vectors, and may have `kin`: pairs that have the same one
+    are left out. Rows of a block are in time buckets of `days` days and meet those of their own and
+    the next one. Buckets are dealt to parts of about `PART` rows; each pair of parts is one task's
+    table, multiplied there in slices, so that only pairs that may link are ever written. The work
+    grows with the pairs within reach; memory doesn't.
     """
     bucket = F.floor(F.unix_seconds("at") / (days * 86_400)).cast("long")
-    dated = placed.select("id", F.unix_micros("at").alias("at"), "block", bucket.alias("bucket"), "full", "own")
+    kin = F.coalesce(*(["kin"] if "kin" in placed.columns else []), F.xxhash64("id"))
+    dated = placed.select("id", F.unix_micros("at").alias("at"), "block", bucket.alias("bucket"), kin.alias("kin"), "full", "own")
     sizes = dated.groupBy("block", "bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     after = sizes.select("block", (F.col("bucket") - 1).alias("bucket"), F.col("parts").alias("next"))
     before = sizes.select("block", (F.col("bucket") + 1).alias("bucket"), F.col("parts").alias("last"))
@@ -131,7 +172,7 @@ def likely_pairs(placed: DataFrame, days: int) -> DataFrame:
         F.transform(at(F.col("next")), lambda p: place(here, own, True, p, F.lit(True))),
         F.transform(at(F.col("last")), lambda p: place(here - 1, p, True, own, F.lit(False))),
     )
-    sent = dealt.select("id", "at", "block", F.explode(tables).alias("to"), "full", "own").select("id", "at", "block", "to.*", "full", "own")
+    sent = dealt.select("id", "at", "block", "kin", F.explode(tables).alias("to"), "full", "own").select("id", "at", "block", "kin", "to.*", "full", "own")
     reach = days * 86_400_000_000
     kind = placed.schema["id"].dataType.simpleString()
     names = ["a", "b", "full_cosine", "title_cosine"]
@@ -144,18 +185,22 @@ def likely_pairs(placed: DataFrame, days: int) -> DataFrame:
         ids, times = [t["id"] for t in (left, right)], [t["at"].to_numpy() for t in (left, right)]
         if not len(left) or not len(right):
             return pa.table([left["id"][:0], left["id"][:0], pa.array([], pa.float64()), pa.array([], pa.float64())], names)
-        both = {c: [postings(t[c].combine_chunks()) for t in (left, right)] for c in ("full", "own")}
+        full, title = (Products(*(entries(t[c].combine_chunks()) for t in (left, right)), len(left), len(right)) for c in ("full", "own"))
+        kin = [t["kin"].to_numpy() for t in (left, right)]
         out = []
         for low in range(0, len(left), SLICE):
             n = min(SLICE, len(left) - low)
-            full, title = (product(*both[c], low, n, len(right)) for c in ("full", "own"))
-            near = np.abs(times[0][low : low + n, None] - times[1][None, :]) <= reach
+            x, y = full.of(low, n), title.of(low, n)
             # A shade under what `related` takes; shared figures and outlets are looked at after.
-            likely = (full >= 0.45 - 1e-9) | (title >= 0.5 - 1e-9) | ((full >= 0.25 - 1e-9) & (title >= 0.2 - 1e-9))
-            i, j = np.nonzero(near & likely)
+            i, j = np.nonzero((x >= 0.25 - 1e-9) | (y >= 0.5 - 1e-9))
+            x, y = x[i, j], y[i, j]
+            i += low
+            likely = (x >= 0.45 - 1e-9) | (y >= 0.2 - 1e-9)
+            likely &= (np.abs(times[0][i] - times[1][j]) <= reach) & (kin[0][i] != kin[1][j])
             if same:
-                i, j = i[i + low < j], j[i + low < j]
-            out.append(pa.table([ids[0].take(pa.array(i + low)), ids[1].take(pa.array(j)), pa.array(full[i, j]), pa.array(title[i, j])], names))
+                likely &= i < j
+            i, j = pa.array(i[likely]), pa.array(j[likely])
+            out.append(pa.table([ids[0].take(i), ids[1].take(j), pa.array(x[likely]), pa.array(y[likely])], names))
         return pa.concat_tables(out)
 
     found = sent.groupBy("block", "of", "x", "beside", "y").applyInArrow(meet, f"a {kind}, b {kind}, full_cosine double, title_cosine double")
@@ -168,39 +213,45 @@ def related(same_outlet: Column, opinion: Column, title: Column, full: Column, f
     return F.when(same_outlet | opinion, title >= 0.8).otherwise(across)
 
 
-def average_linkage(links: DataFrame, sizes: DataFrame, least: float = 0.5, max_rounds: int = 60) -> DataFrame:
+def average_linkage(links: DataFrame, sizes: DataFrame, least: float = 0.5) -> DataFrame:
     """(id, group): groups merged while the share of linked pairs between two is over `least`, best first.
 
     `links` has (a, b), a < b; `sizes` has (id, n) of every linked row, which stands for n equal ones.
     Rows with the same links, to each other too, are one group at once. Then in each round all
     pairs of groups merge that are each other's best; of equal shares a pair's digest decides, so
     that large groups merge in few rounds. A group is named by its least id. Links are counted
-    between groups by aggregation; no group is gathered.
+    between groups by aggregation; no group is gathered. The best pair of all merges in every
+    round, so rounds end; there are as many as it takes.
     """
-    checkpoint_folder(links.sparkSession)
-    x, y = (sizes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}")) for side in "ab")
-    now = links.join(x, "a").join(y, "b").select("a", "b", (F.col("na") * F.col("nb")).alias("n")).checkpoint()
-    members = sizes.select("id", F.col("id").alias("group"), "n").checkpoint()
     both = links.select("a", "b").union(links.select("b", "a"))
     digest = lambda c: F.xxhash64(c).cast("decimal(38,0)")
     around = both.groupBy("a").agg(F.sum(digest("b")).alias("s"), F.count("*").alias("k")).withColumn("s", F.col("s") + digest("a"))
-    same = around.withColumn("into", F.min("a").over(W.partitionBy("s", "k")))
-    merged = same.where("into <> a").select("into", F.col("a").alias("from")).checkpoint()
-    for _ in range(max_rounds):
-        members = members.join(merged, F.col("group") == F.col("from"), "left").select("id", F.coalesce("into", "group").alias("group"), "n").checkpoint()
-        moved = now.join(merged, F.col("a") == F.col("from"), "left").select(F.coalesce("into", "a").alias("a"), "b", "n")
-        moved = moved.join(merged, F.col("b") == F.col("from"), "left").select("a", F.coalesce("into", "b").alias("b"), "n").where("a <> b")
-        now = moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("n")).checkpoint()
-        whole = members.groupBy("group").agg(F.sum("n").alias("size"))
-        x, y = (whole.select(F.col("group").alias(side), F.col("size").alias(f"n{side}")) for side in "ab")
-        close = now.join(x, "a").join(y, "b").withColumn("share", F.col("n") / (F.col("na") * F.col("nb"))).where(F.col("share") > least)
-        rank = F.struct("share", F.xxhash64("a", "b").alias("h"), "a", "b")
-        ends = close.select(F.explode(F.array("a", "b")).alias("end"), rank.alias("rank"))
-        best = ends.groupBy("end").agg(F.max("rank").alias("rank"))
-        merged = best.groupBy("rank.a", "rank.b").agg(F.count("*").alias("k")).where("k = 2").select(F.col("a").alias("into"), F.col("b").alias("from")).checkpoint()
+    told = sizes.join(around.withColumnRenamed("a", "id"), "id")
+    alike = told.groupBy("s", "k").agg(F.min("id").alias("group"), F.sum("n").alias("size"))
+    # Tables are written and read again: what is known of a checkpoint's size is multiplied from
+    # round to round, until planning takes longer than the work.
+    members = stored(told.join(alike, ["s", "k"]).select("id", "group", "size"))
+    ends = {side: members.select(F.col("id").alias(side), F.col("group").alias(f"{side}_into"), F.col("size").alias(f"n{side}")) for side in "ab"}
+    x, y = (sizes.select(F.col("id").alias(side), F.col("n").alias(f"k{side}")) for side in "ab")
+    moved = links.select("a", "b").join(x, "a").join(y, "b").join(ends["a"], "a").join(ends["b"], "b")
+    moved = moved.select(F.col("a_into").alias("a"), F.col("b_into").alias("b"), (F.col("ka") * F.col("kb")).alias("n"), "na", "nb")
+    members = members.drop("size")
+    for turn in count(1):
+        swapped = F.col("a") > F.col("b")
+        sorted_ends = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", F.when(swapped, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swapped, F.col("na")).otherwise(F.col("nb")).alias("nb"))
+        now = stored(moved.where("a <> b").select(*sorted_ends).groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb")))
+        close = now.withColumn("share", F.col("n") / (F.col("na") * F.col("nb"))).where(F.col("share") > least)
+        rank = F.struct("share", F.xxhash64("a", "b").alias("h"), "a", "b", (F.col("na") + F.col("nb")).alias("size"))
+        best = close.select(F.explode(F.array("a", "b")).alias("end"), rank.alias("rank")).groupBy("end").agg(F.max("rank").alias("rank"))
+        pairs = best.groupBy("rank.a", "rank.b").agg(F.count("*").alias("k"), F.first("rank.size").alias("size")).where("k = 2")
+        merged = stored(pairs.select(F.explode(F.array("a", "b")).alias("from"), F.col("a").alias("into"), "size"))
         if merged.isEmpty():
-            return members.select("id", "group")
-    raise RuntimeError(f"groups did not settle in {max_rounds} rounds")
+            return members
+        members = members.join(merged.select("from", "into"), F.col("group") == F.col("from"), "left").select("id", F.coalesce("into", "group").alias("group"))
+        members = members if turn % 8 else stored(members)
+        x, y = (merged.select(F.col("from").alias(side), F.col("into").alias(f"{side}_into"), F.col("size").alias(f"{side}_size")) for side in "ab")
+        moved = now.join(x, "a", "left").join(y, "b", "left")
+        moved = moved.select(*(F.coalesce(f"{side}_into", side).alias(side) for side in "ab"), "n", *(F.coalesce(f"{side}_size", f"n{side}").alias(f"n{side}") for side in "ab"))
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -250,21 +301,47 @@ def groups(frame: DataFrame, identity: str, title: str, text: str, at: str, outl
     kept = ("at", "outlet", "block", "opinion", "own", "full")
     rows = stored(dated.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in kept)))
     frequencies = stored(inverse_frequencies(rows, F.col("full"), F.col("rows")))
-    scored = likely_pairs(rows.select("id", "at", "block").join(packed_vectors(rows, frequencies), "id"), days)
+    # Titles of the same terms are related whatever else differs: such pairs needn't be found.
+    kin = F.when(F.size("own") > 0, F.xxhash64("block", F.sort_array("own")))
+    scored = likely_pairs(rows.select("id", "at", "block", kin.alias("kin")).join(packed_vectors(rows, frequencies), "id"), days)
     # Years are too common to tell stories apart.
     figures = F.filter("full", lambda t: t.rlike(r"^\d{3,}$") & ~t.rlike(r"^(?:19|20)\d\d$"))
     side = rows.select("id", "outlet", "opinion", figures.alias("figures"))
     x = scored.join(side.toDF("a", "xo", "xp", "xf"), "a").join(side.toDF("b", "yo", "yp", "yf"), "b")
     same_outlet = (F.col("xo") != "") & (F.col("xo") == F.col("yo"))
     links = x.where(related(same_outlet, F.col("xp") | F.col("yp"), F.col("title_cosine"), F.col("full_cosine"), F.arrays_overlap("xf", "yf"))).select("a", "b")
-    links = links.checkpoint()
-    linked = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    found = average_linkage(links, rows.join(linked, "id", "left_semi").select("id", F.col("rows").alias("n")))
-    named = rows.select("key", F.col("id").alias("node")).join(found.withColumnRenamed("id", "node"), "node", "left").select("key", F.coalesce("group", "node").alias("group"))
+    nodes, links, sizes = alike_rows(rows.select("id", "at", kin.alias("kin"), "rows"), stored(links), days)
+    found = average_linkage(links, sizes).withColumnRenamed("id", "node")
+    grouped = nodes.join(found, "node", "left").select("id", F.coalesce("group", "node").alias("group"))
+    named = rows.select("key", "id").join(grouped, "id", "left").select("key", F.coalesce("group", "id").alias("group"))
     placed = dated.select("id", "key").join(named, "key").select("id", "group")
     return base.select("id").join(placed.distinct(), "id", "left").select("id", F.coalesce("group", "id").alias("group"))
 
 
+def alike_rows(rows: DataFrame, links: DataFrame, days: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, node), (a, b), (id, n): rows that have the same links stand in one node; links of nodes, and sizes of linked ones.
+
+    `rows` has (id, at, kin, rows), `links` (a, b) of rows that are not of one kin. Those of a kin
+    are linked within `days` days, and these links are only made between nodes: rows of a kin and
+    time whose other links are the same are one node, named by its least id.
+    """
+    digest = F.sum(F.xxhash64("b").cast("decimal(38,0)"))
+    around = links.union(links.select("b", "a")).groupBy("a").agg(digest.alias("s"), F.count("*").alias("k")).withColumnRenamed("a", "id")
+    known = rows.select("id", "at", "kin", "rows").join(around, "id", "left").where("kin IS NOT NULL OR k IS NOT NULL")
+    known = stored(known.withColumn("alike", F.xxhash64("kin", "at", "s", "k", F.when(F.col("kin").isNull(), F.col("id")))))
+    told = stored(known.groupBy("alike").agg(F.min("id").alias("node"), F.sum("rows").alias("n"), F.first("kin").alias("kin"), F.first("at").alias("at")))
+    nodes = stored(known.select("id", "alike").join(told.select("alike", "node"), "alike").select("id", "node"))
+    x, y = (nodes.select(F.col("id").alias(side), F.col("node").alias(f"{side}_node")) for side in "ab")
+    other = links.join(x, "a").join(y, "b").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+    bucket = F.floor(F.unix_seconds("at") / (days * 86_400))
+    x = told.where("kin IS NOT NULL").select("kin", bucket.alias("bucket"), F.lit(False).alias("beside"), F.unix_micros("at").alias("at"), "node")
+    y = x.union(x.select("kin", F.col("bucket") - 1, F.lit(True), "at", "node")).toDF("kin", "bucket", "y_beside", "y_at", "b")
+    met = x.join(y, ["kin", "bucket"]).where((F.abs(F.col("at") - F.col("y_at")) <= days * 86_400_000_000) & (F.col("y_beside") | (F.col("node") < F.col("b"))))
+    both = stored(other.union(met.select(F.least("node", "b"), F.greatest("node", "b"))))
+    linked = both.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return nodes, both, told.select(F.col("node").alias("id"), "n").join(linked, "id", "left_semi")
+
+
 def overlaps(queries: DataFrame, examples: DataFrame, query_id: str, query_terms: str, example_id: str, example_terms: str) -> DataFrame:
     """(query_id, example_id, score): term overlap of queries and examples that share a term.
 
