@@ -62,7 +62,7 @@ def leading(weights: DataFrame, least: float) -> DataFrame:
 #: Rows of a block and time bucket that meet others as one part, and rows of it that are multiplied at once.
 PART, SLICE = 16_384, 512
 #: A term is common if one pair of rows in so many has it on both sides; products of rare ones that are added at once.
-RARE, AT_ONCE = 128, 1 << 20
+RARE, AT_ONCE = 256, 1 << 20
 
 
 def packed_vectors(rows: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -71,12 +71,12 @@ def packed_vectors(rows: DataFrame, frequencies: DataFrame) -> DataFrame:
     Terms of one row alone are left out of `full` after weighing, as they meet nothing. Rows are
     dealt by id once, and only the table of frequencies meets their terms.
     """
-    tag = lambda c, title: F.transform(c, lambda t: F.struct(F.lit(title).alias("title"), t.alias("term")))
+    tag = lambda c, title: F.transform(c, lambda t: F.struct(F.lit(title).alias("title"), F.xxhash64(t).alias("t")))
     tagged = F.concat(tag("full", False), tag("own", True))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = rows.select("id", "full", "own").repartition(parts, "id").select("id", F.explode(tagged).alias("x")).groupBy("id", "x.title", "x.term").agg(F.count("*").alias("tf"))
-    weighted = counted.join(frequencies, "term").withColumn("w", (F.log("tf") + 1) * F.col("idf"))
-    taken = F.struct(F.xxhash64("term").alias("t"), "w")
+    counted = rows.select("id", "full", "own").repartition(parts, "id").select("id", F.explode(tagged).alias("x")).groupBy("id", "x.title", "x.t").agg(F.count("*").alias("tf"))
+    weighted = counted.join(frequencies.select(F.xxhash64("term").alias("t"), "idf", "df"), "t").withColumn("w", (F.log("tf") + 1) * F.col("idf"))
+    taken = F.struct("t", "w")
     title = F.col("title")
     found = weighted.groupBy("id").agg(
         *(F.collect_list(F.when(kept, taken)).alias(c) for c, kept in (("full", ~title & (F.col("df") > 1)), ("own", title))),
@@ -101,7 +101,7 @@ class Products:
     """
 
     def __init__(self, x: tuple, y: tuple, n: int, m: int):
-        shared = np.intersect1d(x[1], y[1])
+        shared = np.intersect1d(np.unique(x[1]), np.unique(y[1]), assume_unique=True)
         x, y = (self.numbered(part, shared) for part in (x, y))
         counts = [np.bincount(part[1], minlength=len(shared)) for part in (x, y)]
         common = counts[0] * counts[1] * RARE > n * m
@@ -119,7 +119,8 @@ class Products:
     @staticmethod
     def numbered(part: tuple, shared: np.ndarray) -> tuple:
         at = np.searchsorted(shared, part[1])
-        kept = np.flatnonzero(np.isin(part[1], shared))
+        kept = np.flatnonzero(np.append(shared, 0)[at] == part[1])
+        kept = kept[at[kept] < len(shared)]
         return part[0][kept], at[kept], part[2][kept]
 
     def dense(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
