@@ -66,7 +66,7 @@ RARE, AT_ONCE = 256, 1 << 20
 
 
 def packed_vectors(rows: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """(id, full, own) of (id, full, own): terms by their hash with the weights of `vectors`.
+    """(id, full, own, full_w, own_w) of (id, full, own): terms by their hash, and their weights of `vectors`.
 
     Terms of one row alone are left out of `full` after weighing, as they meet nothing. Rows are
     dealt by id once, and only the table of frequencies meets their terms.
@@ -82,15 +82,14 @@ def packed_vectors(rows: DataFrame, frequencies: DataFrame) -> DataFrame:
         *(F.collect_list(F.when(kept, taken)).alias(c) for c, kept in (("full", ~title & (F.col("df") > 1)), ("own", title))),
         *(F.sqrt(F.sum(F.when(kept, F.col("w") * F.col("w")))).alias(f"{c}_norm") for c, kept in (("full", ~title), ("own", title))),
     )
-    scaled = lambda c: F.transform(c, lambda x: F.struct(x["t"].alias("t"), (x["w"] / F.col(f"{c}_norm")).alias("w"))).alias(c)
-    return found.select("id", scaled("full"), scaled("own"))
+    scaled = lambda c: F.transform(f"{c}.w", lambda w: w / F.col(f"{c}_norm")).alias(f"{c}_w")
+    return found.select("id", F.col("full.t").alias("full"), F.col("own.t").alias("own"), scaled("full"), scaled("own"))
 
 
-def entries(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def entries(terms: pa.ListArray, weights: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, weight) of `packed_vectors`, in order of rows."""
-    inner = lists.flatten()
-    rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    return rows, *(inner.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    rows = np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))
+    return rows, *(c.flatten().to_numpy(zero_copy_only=False) for c in (terms, weights))
 
 
 class Products:
@@ -146,19 +145,21 @@ class Products:
         return found
 
 
-def likely_pairs(placed: DataFrame, days: int) -> DataFrame:
+def likely_pairs(placed: DataFrame, days: int, dates: DataFrame | None = None) -> DataFrame:
     """(a, b, full_cosine, title_cosine): pairs within so many days whose cosines `related` may take.
 
     `placed` has (id, at, block) and packed vectors, and may have `kin`: pairs that have the same one
     are left out. Rows of a block are in time buckets of `days` days and meet those of their own and
     the next one. Buckets are dealt to parts of about `PART` rows; each pair of parts is one task's
     table, multiplied there in slices, so that only pairs that may link are ever written. The work
-    grows with the pairs within reach; memory doesn't.
+    grows with the pairs within reach; memory doesn't. `dates` may have (at, block) of the same rows,
+    so that buckets are counted without making the vectors for it.
     """
+    packed = ("full", "own", "full_w", "own_w")
     bucket = F.floor(F.unix_seconds("at") / (days * 86_400)).cast("long")
     kin = F.coalesce(*(["kin"] if "kin" in placed.columns else []), F.xxhash64("id"))
-    dated = placed.select("id", F.unix_micros("at").alias("at"), "block", bucket.alias("bucket"), kin.alias("kin"), "full", "own")
-    sizes = dated.groupBy("block", "bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dated = placed.select("id", F.unix_micros("at").alias("at"), "block", bucket.alias("bucket"), kin.alias("kin"), *packed)
+    sizes = (dated if dates is None else dates.select("block", bucket.alias("bucket"))).groupBy("block", "bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     after = sizes.select("block", (F.col("bucket") - 1).alias("bucket"), F.col("parts").alias("next"))
     before = sizes.select("block", (F.col("bucket") + 1).alias("bucket"), F.col("parts").alias("last"))
     sizes = sizes.join(after, ["block", "bucket"], "left").join(before, ["block", "bucket"], "left").fillna(0, ["next", "last"])
@@ -173,7 +174,7 @@ def likely_pairs(placed: DataFrame, days: int) -> DataFrame:
         F.transform(at(F.col("next")), lambda p: place(here, own, True, p, F.lit(True))),
         F.transform(at(F.col("last")), lambda p: place(here - 1, p, True, own, F.lit(False))),
     )
-    sent = dealt.select("id", "at", "block", "kin", F.explode(tables).alias("to"), "full", "own").select("id", "at", "block", "kin", "to.*", "full", "own")
+    sent = dealt.select("id", "at", "block", "kin", F.explode(tables).alias("to"), *packed).select("id", "at", "block", "kin", "to.*", *packed)
     reach = days * 86_400_000_000
     kind = placed.schema["id"].dataType.simpleString()
     names = ["a", "b", "full_cosine", "title_cosine"]
@@ -186,7 +187,7 @@ def likely_pairs(placed: DataFrame, days: int) -> DataFrame:
         ids, times = [t["id"] for t in (left, right)], [t["at"].to_numpy() for t in (left, right)]
         if not len(left) or not len(right):
             return pa.table([left["id"][:0], left["id"][:0], pa.array([], pa.float64()), pa.array([], pa.float64())], names)
-        full, title = (Products(*(entries(t[c].combine_chunks()) for t in (left, right)), len(left), len(right)) for c in ("full", "own"))
+        full, title = (Products(*(entries(t[c].combine_chunks(), t[f"{c}_w"].combine_chunks()) for t in (left, right)), len(left), len(right)) for c in ("full", "own"))
         kin = [t["kin"].to_numpy() for t in (left, right)]
         out = []
         for low in range(0, len(left), SLICE):
@@ -304,7 +305,7 @@ def groups(frame: DataFrame, identity: str, title: str, text: str, at: str, outl
     frequencies = stored(inverse_frequencies(rows, F.col("full"), F.col("rows")))
     # Titles of the same terms are related whatever else differs: such pairs needn't be found.
     kin = F.when(F.size("own") > 0, F.xxhash64("block", F.sort_array("own")))
-    scored = likely_pairs(rows.select("id", "at", "block", kin.alias("kin")).join(packed_vectors(rows, frequencies), "id"), days)
+    scored = likely_pairs(rows.select("id", "at", "block", kin.alias("kin")).join(packed_vectors(rows, frequencies), "id"), days, rows)
     # Years are too common to tell stories apart.
     figures = F.filter("full", lambda t: t.rlike(r"^\d{3,}$") & ~t.rlike(r"^(?:19|20)\d\d$"))
     side = rows.select("id", "outlet", "opinion", figures.alias("figures"))
