@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
@@ -65,16 +66,33 @@ PART, SLICE = 16_384, 512
 RARE, AT_ONCE = 256, 1 << 20
 
 
+def counted_terms(rows: DataFrame) -> DataFrame:
+    """(id, title, t, tf): the terms of each row's `full` and `own`, by their hash, and how often it has them."""
+    hashed = rows.select("id", *(F.transform(c, lambda t: F.xxhash64(t)).alias(c) for c in ("full", "own")))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                for title, lists in ((False, part.column(1)), (True, part.column(2))):
+                    at, terms = lists.value_parent_indices().to_numpy(), lists.flatten().to_numpy()
+                    order = np.lexsort((terms, at))
+                    at, terms = at[order], terms[order]
+                    first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (terms[1:] != terms[:-1]))[: len(at)])
+                    tf = np.diff(np.append(first, len(at)))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at[first])), pa.array(np.full(len(first), title)), pa.array(terms[first]), pa.array(tf)], ["id", "title", "t", "tf"])
+
+    return hashed.mapInArrow(run, f"id {kind}, title boolean, t long, tf long")
+
+
 def packed_vectors(rows: DataFrame, frequencies: DataFrame) -> DataFrame:
     """(id, full, own, full_w, own_w) of (id, full, own): terms by their hash, and their weights of `vectors`.
 
-    Terms of one row alone are left out of `full` after weighing, as they meet nothing. Rows are
-    dealt by id once, and only the table of frequencies meets their terms.
+    Terms of one row alone are left out of `full` after weighing, as they meet nothing. A row's terms
+    are counted where it is; they are dealt by term to meet the frequencies, and back by id.
     """
-    tag = lambda c, title: F.transform(c, lambda t: F.struct(F.lit(title).alias("title"), F.xxhash64(t).alias("t")))
-    tagged = F.concat(tag("full", False), tag("own", True))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = rows.select("id", "full", "own").repartition(parts, "id").select("id", F.explode(tagged).alias("x")).groupBy("id", "x.title", "x.t").agg(F.count("*").alias("tf"))
+    counted = counted_terms(rows)
     weighted = counted.join(frequencies.select(F.xxhash64("term").alias("t"), "idf", "df"), "t").withColumn("w", (F.log("tf") + 1) * F.col("idf"))
     taken = F.struct("t", "w")
     title = F.col("title")
